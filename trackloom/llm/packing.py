@@ -21,6 +21,8 @@ into pieces.
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,29 +50,91 @@ class PackConfig:
     nodes: int = 2000
 
 
-class WordIds(dict):
-    """Packed token ids of a word, made at its first use. The tokenizer never joins across white space."""
+def simple(letters: str) -> bool:
+    """Latin letters that stay letters under NFC and lower-casing."""
+    return max(letters) < "\u0250" and "\u0130" not in letters and unicodedata.is_normalized("NFC", letters)
 
-    LIMIT = 400_000
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class WordIds(dict):
+    """Packed token ids of each word seen. The tokenizer never joins across white space.
 
-        self.encode = Tokenizer.from_file(path).encode
+    Missing words are encoded many at a time. A run of letters is one unit to the
+    tokenizer whatever ASCII punctuation follows it, and ASCII letters are lower-cased
+    by it, so words are reduced to such units first.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 40:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = ids
-        return ids
+    LIMIT = 500_000
+    CHUNK = 2000
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def encode_text(text: str, ids: WordIds) -> bytes:
-    """Token ids of a text as little-endian unsigned 32-bit numbers."""
-    words = _WORD.findall(text) if _ODD.search(text) else text.split()
-    return b"".join([ids[w] for w in words])
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.asarray(ids, dtype="<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Add the words that are missing."""
+        if len(self) > self.LIMIT:
+            self.clear()
+        words = words - self.keys()
+        split, units = [], set()
+        for w in words:
+            core = w.rstrip(string.punctuation)
+            if core.isalpha() and len(core) <= 60 and (core.isascii() or simple(core)):
+                low, tail = core.lower() if core.isascii() else core, w[len(core) :]
+                split.append((w, low, tail))
+                units.add(low)
+                if tail and tail not in self:
+                    self[tail] = self.whole(tail)
+            else:
+                self[w] = self.whole(w)
+        units -= self.keys()
+        todo = sorted(units)
+        for k in range(0, len(todo), self.CHUNK):
+            part = todo[k : k + self.CHUNK]
+            out = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, unit = np.asarray(out.ids, dtype="<u4"), np.asarray(out.word_ids, dtype=np.int64)
+            if len(unit) and unit[-1] + 1 == len(part):
+                cuts = np.searchsorted(unit, np.arange(len(part) + 1))
+                data = ids.tobytes()
+                for w, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    self[w] = data[4 * i : 4 * j]
+            else:  # some unit was not one word to the tokenizer
+                for w in part:
+                    self[w] = self.whole(w)
+        for w, low, tail in split:
+            self[w] = self[low] + self[tail] if tail else self[low]
+
+
+_cache: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The word cache of this Python process, kept from task to task."""
+    if path not in _cache:
+        _cache[path] = WordIds(path)
+    return _cache[path]
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text) if _ODD.search(text) else text.split()
+
+
+def encode_texts(texts: list[str], ids: WordIds) -> Iterator[bytes]:
+    """Token ids of each text as little-endian unsigned 32-bit numbers."""
+    at = 0
+    while at < len(texts):
+        group, size = [], 0
+        while at < len(texts) and size < 2_000_000:
+            size += len(texts[at])
+            group.append(words_of(texts[at]))
+            at += 1
+        ids.learn(set().union(*group))
+        for words in group:
+            yield b"".join([ids[w] for w in words])
 
 
 def tokenised(docs: DataFrame, tokenizer: str, cfg: PackConfig, text_col: str = "text") -> DataFrame:
@@ -78,11 +142,12 @@ def tokenised(docs: DataFrame, tokenizer: str, cfg: PackConfig, text_col: str =
     end, width = np.uint32(cfg.end_id).tobytes(), cfg.size * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         for b in batches:
             cols: list[list[Any]] = [[], [], [], [], [], []]
-            for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                data = encode_text(text, ids) + end
+            row_ids, docs, texts = (b.column(i).to_pylist() for i in range(3))
+            for row, doc, data in zip(row_ids, docs, encode_texts(texts, ids), strict=True):
+                data += end
                 for k, at in enumerate(range(0, len(data), width)):
                     part = data[at : at + width]
                     for c, v in zip(cols, (row, doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -140,34 +205,37 @@ def best_fill(h: Histogram, room: int, taken: dict[int, int]) -> list[int]:
 def completion(h: Histogram, room: int, nodes: int) -> list[int]:
     """The filling of room that wastes least, of those seen within so many nodes.
 
-    Depth first over lengths in falling order, the larger part first. A filling is
-    dominated if a piece left out would still fit; such branches are always extended.
-    A branch ends where its waste bound, room minus all that could still go in,
-    cannot beat the incumbent.
+    Depth first over lengths in falling order, taking a length before leaving it
+    out. A filling that leaves out a length which would still fit is dominated, so
+    once a length is left out the waste must end below it. A branch ends where its
+    waste bound cannot beat the incumbent, which is the best-fit filling at first.
     """
     best = best_fill(h, room, {})
     waste, left = room - sum(best), nodes
 
-    def search(room: int, top: int, taken: list[int], used: dict[int, int]) -> None:
+    def search(room: int, top: int, bound: int, taken: list[int], used: dict[int, int]) -> None:
         nonlocal best, waste, left
-        if room < waste:
-            best, waste = list(taken), room
         x = h.fit(min(top, room))
-        while x and waste and left > 0:
-            left -= 1
-            k = used.get(x, 0)
-            if h.n[x] > k:
-                taken.append(x)
-                used[x] = k + 1
-                search(room - x, x, taken, used)
-                used[x] = k
-                taken.pop()
-            if len(taken) and room - x >= waste and x * 2 < room and h.n[x] * x < room - waste:
-                pass
+        while x and used.get(x, 0) >= h.n[x]:
             x = h.fit(x - 1) if x > 1 else 0
+        if not x:
+            if room < min(waste, bound):
+                best, waste = list(taken), room
+            return
+        left -= 1
+        if left < 0 or not waste:
+            return
+        taken.append(x)
+        used[x] = used.get(x, 0) + 1
+        search(room - x, x, bound, taken, used)
+        used[x] -= 1
+        taken.pop()
+        # leaving x out: all shorter pieces together must still fill room to below x
+        if x > 1:
+            search(room, x - 1, min(bound, x), taken, used)
 
     if waste:
-        search(room, room, [], {})
+        search(room, room, room + 1, [], {})
     return best
 
 

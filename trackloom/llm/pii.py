@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, without
+from .common import Scratch, let
 from .spans import find_spans, listed, of_kind, redacted, tagged
 
 _LABELS = r"(?>(?:\.[A-Za-z0-9-]++){0,500})"
@@ -230,8 +230,8 @@ def detect_pii(docs: DataFrame, keep: list[str], cfg: PiiConfig = PiiConfig(), t
             ),
         ),
     )
-    kept = without(docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text")), ADDED + ["_cand"])
-    found = scratch.save(kept.withColumn("_cand", described).drop("_text"))
+    names = [c for c in keep if c.lower() not in {*ADDED, "_cand"}]
+    found = scratch.save(docs.select(*[F.col(f"`{c}`") for c in names], described.alias("_cand")))
     each = found.filter(F.size("_cand") > 0).select(F.explode("_cand").alias("c")).select("c.*")
 
     # at most kinds x 3^labelers rows, whatever the corpus

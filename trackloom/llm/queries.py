@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, pii, quality, secrets
 from .common import table
 
 
@@ -13,6 +13,32 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.ADDED)
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect_pii(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", *[c for c in pii.ADDED if c != "found"])
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", *[c for c in secrets.ADDED if c != "live"])
+
+
+def tokenizer_path() -> str:
+    """The packing query's vocabulary: a public file outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_pii": op3_pii,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_best_fit_packing": op9_best_fit_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -38,6 +38,7 @@ KINDS = ["assign", "access", "hex", *MORE]
 ADDED = [
     "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_weak", "live",
 ]
+INNER = ["_owner", "_repo", "_found", "_row", "judged"]
 FOUND = "array<struct<start:int,rank:int,end:int,kind:string,base:boolean,m:string>>"
 
 
@@ -92,7 +93,7 @@ def scan_secrets(
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = scratch.save(
         docs.select(
-            *[F.col(f"`{c}`") for c in keep],
+            *[F.col(f"`{c}`") for c in keep if c.lower() not in {*ADDED, *INNER}],
             F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
             F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols]).alias("_repo"),
             candidates(text).alias("_found"),
@@ -138,7 +139,7 @@ def scan_secrets(
             "n_weak": F.size(those("weak")).cast("long"),
             "live": live,
         }),
-        ["_owner", "_repo", "_found", "_row", "judged"],
+        INNER,
     )
 
 
