@@ -20,7 +20,6 @@ into pieces.
 
 from __future__ import annotations
 
-import re
 import string
 import unicodedata
 import zlib
@@ -34,10 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .shingles import word_bounds, word_hashes
 
-#: White space of Unicode that separates words besides \x20\x09-\x0D; a text with any of it is split by pattern.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES = "row_id long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -55,86 +52,135 @@ def simple(letters: str) -> bool:
     return max(letters) < "\u0250" and "\u0130" not in letters and unicodedata.is_normalized("NFC", letters)
 
 
-class WordIds(dict):
-    """Packed token ids of each word seen. The tokenizer never joins across white space.
+class WordTable:
+    """Token ids of each word seen, by the word's 64-bit hash.
 
-    Missing words are encoded many at a time. A run of letters is one unit to the
-    tokenizer whatever ASCII punctuation follows it, and ASCII letters are lower-cased
-    by it, so words are reduced to such units first.
+    The tokenizer never joins across white space, so a text's ids are those of its
+    words. Missing words are encoded many at a time: a run of letters is one unit to
+    the tokenizer whatever ASCII punctuation follows it, and ASCII letters are
+    lower-cased by it, so words are reduced to such units first.
     """
 
-    LIMIT = 500_000
+    LIMIT = 1_500_000
     CHUNK = 2000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
 
-    def whole(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def clear(self) -> None:
+        self.flat = np.empty(1 << 16, "<u4")
+        self.used = 0
+        self.tables = [self._table(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))] * 2
 
-    def learn(self, words: set[str]) -> None:
-        """Add the words that are missing."""
-        if len(self) > self.LIMIT:
-            self.clear()
-        words = words - self.keys()
-        split, units = [], set()
+    @staticmethod
+    def _table(h: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(h)
+        return h[order], off[order], n[order]
+
+    def whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        units: dict[str, list[int]] = {}
+        split = []
         for w in words:
             core = w.rstrip(string.punctuation)
             if core.isalpha() and len(core) <= 60 and (core.isascii() or simple(core)):
                 low, tail = core.lower() if core.isascii() else core, w[len(core) :]
-                split.append((w, low, tail))
-                units.add(low)
-                if tail and tail not in self:
-                    self[tail] = self.whole(tail)
+                units[low] = []
+                if tail and tail not in units:
+                    units[tail] = self.whole(tail)
+                split.append((low, tail))
             else:
-                self[w] = self.whole(w)
-        units -= self.keys()
-        todo = sorted(units)
+                units.setdefault(w, []) or units.__setitem__(w, self.whole(w))
+                split.append((w, ""))
+        todo = [u for u, ids in units.items() if not ids]
         for k in range(0, len(todo), self.CHUNK):
             part = todo[k : k + self.CHUNK]
             out = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, unit = np.asarray(out.ids, dtype="<u4"), np.asarray(out.word_ids, dtype=np.int64)
+            unit = np.asarray(out.word_ids, dtype=np.int64)
             if len(unit) and unit[-1] + 1 == len(part):
-                cuts = np.searchsorted(unit, np.arange(len(part) + 1))
-                data = ids.tobytes()
-                for w, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    self[w] = data[4 * i : 4 * j]
+                cuts, ids = np.searchsorted(unit, np.arange(len(part) + 1)).tolist(), out.ids
+                for w, i, j in zip(part, cuts[:-1], cuts[1:], strict=True):
+                    units[w] = ids[i:j]
             else:  # some unit was not one word to the tokenizer
                 for w in part:
-                    self[w] = self.whole(w)
-        for w, low, tail in split:
-            self[w] = self[low] + self[tail] if tail else self[low]
-
-
-_cache: dict[str, WordIds] = {}
-
+                    units[w] = self.whole(w)
+        return [units[low] + units[tail] if tail else units[low] for low, tail in split]
 
-def word_ids(path: str) -> WordIds:
-    """The word cache of this Python process, kept from task to task."""
-    if path not in _cache:
-        _cache[path] = WordIds(path)
-    return _cache[path]
-
-
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text) if _ODD.search(text) else text.split()
-
-
-def encode_texts(texts: list[str], ids: WordIds) -> Iterator[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers."""
+    def find(self, h: np.ndarray, word_at) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids in ``flat`` for each hash of h (sorted, distinct)."""
+        if len(self.tables[0][0]) > self.LIMIT:
+            self.clear()
+        off, n = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
+        for th, toff, tn in self.tables:
+            if len(th):
+                at = np.minimum(np.searchsorted(th, h), len(th) - 1)
+                hit = np.flatnonzero(th[at] == h)
+                off[hit], n[hit] = toff[at[hit]], tn[at[hit]]
+        new = np.flatnonzero(n < 0)
+        if len(new):
+            ids = self.encode([word_at(i) for i in new.tolist()])
+            n[new] = np.fromiter(map(len, ids), np.int64, len(ids))
+            off[new] = self.used + np.cumsum(n[new]) - n[new]
+            self.put(np.fromiter((x for w in ids for x in w), np.uint32))
+            big, small = self.tables
+            small = self._table(*(np.concatenate(x) for x in zip(small, (h[new], off[new], n[new]), strict=True)))
+            if len(small[0]) * 8 > len(big[0]):
+                big = self._table(*(np.concatenate(x) for x in zip(big, small, strict=True)))
+                small = tuple(x[:0] for x in small)
+            self.tables = [big, small]
+        return off, n
+
+    def put(self, ids: np.ndarray) -> None:
+        need = self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(need, 2 * len(self.flat)) - self.used, "<u4")))
+        self.flat[self.used : need] = ids
+        self.used = need
+
+
+_tables: dict[str, WordTable] = {}
+
+
+def word_table(path: str) -> WordTable:
+    """The word table of this Python process, kept from task to task."""
+    if path not in _tables:
+        _tables[path] = WordTable(path)
+    return _tables[path]
+
+
+def encode_texts(texts: pa.Array, words: WordTable, block: int = 1 << 21) -> Iterator[np.ndarray]:
+    """Token ids of each text (a string array without nulls)."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        group, size = [], 0
-        while at < len(texts) and size < 2_000_000:
-            size += len(texts[at])
-            group.append(words_of(texts[at]))
-            at += 1
-        ids.learn(set().union(*group))
-        for words in group:
-            yield b"".join([ids[w] for w in words])
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block, "right")) - 1)
+        # texts lie side by side without white space between them, so each is set off by one
+        ends = offsets[at + 1 : to + 1] - offsets[at] + np.arange(1, to - at + 1)
+        buf = np.full(int(ends[-1]), 32, np.uint8)
+        keep = np.ones(len(buf), bool)
+        keep[ends - 1] = False
+        buf[keep] = data[offsets[at] : offsets[to]]
+        h, start = word_hashes(buf, lower=False)
+        uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
+        _, stop = word_bounds(buf)
+        raw = buf.tobytes()
+        word_at = lambda i: raw[start[first[i]] : stop[first[i]]].decode()  # noqa: B023, E731
+        off, n = words.find(uniq, word_at)
+        off, n = off[back], n[back]
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        ids = words.flat[np.repeat(off - total[:-1], n) + np.arange(total[-1])]
+        cut = total[np.searchsorted(start, ends)]
+        for i, j in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+            yield ids[i:j]
+        at = to
 
 
 def tokenised(docs: DataFrame, tokenizer: str, cfg: PackConfig, text_col: str = "text") -> DataFrame:
@@ -142,12 +188,12 @@ def tokenised(docs: DataFrame, tokenizer: str, cfg: PackConfig, text_col: str =
     end, width = np.uint32(cfg.end_id).tobytes(), cfg.size * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer)
+        words = word_table(tokenizer)
         for b in batches:
             cols: list[list[Any]] = [[], [], [], [], [], []]
-            row_ids, docs, texts = (b.column(i).to_pylist() for i in range(3))
-            for row, doc, data in zip(row_ids, docs, encode_texts(texts, ids), strict=True):
-                data += end
+            row_ids, docs = (b.column(i).to_pylist() for i in range(2))
+            for row, doc, ids in zip(row_ids, docs, encode_texts(b.column(2), words), strict=True):
+                data = ids.tobytes() + end
                 for k, at in enumerate(range(0, len(data), width)):
                     part = data[at : at + width]
                     for c, v in zip(cols, (row, doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
