@@ -48,6 +48,8 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # for drop()
+        # lets Spark delete the shuffle files of what has been written
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self, df: DataFrame) -> None:
