@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, pii, quality, secrets, suffixes
+from . import jaccard, packing, pii, quality, secrets, suffixes, wrappers
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[c for c in pii.ADDED if c != "found"])
 
 
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrappers.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", *[c for c in secrets.ADDED if c != "live"])
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
+    "op4_wrapper_induction": op4_wrapper_induction,
     "op6_secret_scan": op6_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
