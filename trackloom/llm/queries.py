@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, packing, pii, quality, secrets, suffixes, wrappers
+from . import jaccard, neighbours, packing, pii, quality, secrets, suffixes, wrappers
 from .common import table
 
 
@@ -32,6 +33,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[c for c in secrets.ADDED if c != "live"])
 
 
+def op8_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def tokenizer_path() -> str:
     """The packing query's vocabulary: a public file outside the repository."""
     import public_tokenizers
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_wrapper_induction": op4_wrapper_induction,
     "op6_secret_scan": op6_secret_scan,
+    "op8_anisotropic_neighbours": op8_anisotropic_neighbours,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
