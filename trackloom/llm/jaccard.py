@@ -124,38 +124,47 @@ def needed(n, cfg: JaccardConfig):
 
 
 def entries(docs: DataFrame, heavy: np.ndarray, cfg: JaccardConfig, text_col: str) -> DataFrame:
-    """(s, set_id, n, i, hx, heavy): the regions that each distinct set goes to."""
+    """(s, set_id, n, i, hx, h, heavy): the regions that each distinct set goes to.
+
+    hx counts the shared shingles among its pivots, h those in the whole set.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, seen = np.unpackbits(bits.value).astype(bool), set()
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
             for _, s, digest in _blocks(b, cfg):
                 n = len(s)
                 if not n or digest in seen:
                     continue
                 seen.add(digest)
                 p = n - needed(n, cfg) + 1
-                h = shared[(s >> np.uint64(64 - cfg.bits)).astype(np.int64)]
-                light = s[~h][:p]
-                mine = np.concatenate((light, s[h][: p - len(light)]))
+                often = shared[(s >> np.uint64(64 - cfg.bits)).astype(np.int64)]
+                light = s[~often][:p]
+                mine = np.concatenate((light, s[often][: p - len(light)]))
+                h = int(often.sum())
                 full = np.full(p, 1, np.int64)
                 hx = p - len(light)
-                for c, v in zip(out, (mine.view(np.int64), full * digest, full * n, np.arange(p), full * hx, np.arange(p) >= len(light)), strict=True):
+                for c, v in zip(out, (mine.view(np.int64), full * digest, full * n, np.arange(p), full * hx, full * h, np.arange(p) >= len(light)), strict=True):
                     c.append(v)
             if out[0]:
-                s_, d_, n_, i_, x_, h_ = (np.concatenate(c) for c in out)
+                s_, d_, *small, h_ = (np.concatenate(c) for c in out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s_), pa.array(d_), *(pa.array(x.astype(np.int32)) for x in (n_, i_, x_)), pa.array(h_)],
-                    names=["s", "set_id", "n", "i", "hx", "heavy"],
+                    [pa.array(s_), pa.array(d_), *(pa.array(x.astype(np.int32)) for x in small), pa.array(h_)],
+                    names=["s", "set_id", "n", "i", "hx", "h", "heavy"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(
-        run, "s long, set_id long, n int, i int, hx int, heavy boolean"
+        run, "s long, set_id long, n int, i int, hx int, h int, heavy boolean"
     )
 
 
+def least_common(na: str, nb: str, cfg: JaccardConfig):
+    """The smallest intersection that links sets of these sizes."""
+    return F.ceil(F.lit(cfg.percent / (100 + cfg.percent)) * (F.col(na) + F.col(nb)) - 1e-6)
+
+
 def light_pairs(light: DataFrame, cfg: JaccardConfig, n_parts: int) -> DataFrame:
     """Candidate pairs (a, b, na, nb) of the small regions that pass the exact bounds on overlap."""
 
@@ -199,7 +208,7 @@ def light_pairs(light: DataFrame, cfg: JaccardConfig, n_parts: int) -> DataFrame
             left = left[s[left] == s[left + step]]
 
     met = (
-        light.repartition(n_parts, "s")
+        light.select("s", "set_id", "n", "i", "hx").repartition(n_parts, "s")
         .sortWithinPartitions("s", "set_id")
         .mapInArrow(run, "a long, b long, na int, nb int, ia int, ib int, hx int")
         .groupBy("a", "b")
@@ -208,20 +217,20 @@ def light_pairs(light: DataFrame, cfg: JaccardConfig, n_parts: int) -> DataFrame
             F.first("hx").alias("hx"), F.count(F.lit(1)).alias("c"),
         )
     )
-    low = F.ceil(F.lit(cfg.percent / (100 + cfg.percent)) * (F.col("na") + F.col("nb")) - 1e-6)
+    low = least_common("na", "nb", cfg)
     first = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     # what both hold beyond the shorter-reaching prefix is at most the longer of the two remainders
     rest = F.greatest(*[F.ceil(cfg.percent * F.col(x) / 100) - 1 for x in ("na", "nb")])
     return met.filter((first >= low) & (F.col("c") + F.col("hx") + rest >= low)).select("a", "b", "na", "nb")
 
 
-def candidate_sets(docs: DataFrame, pairs: DataFrame, cfg: JaccardConfig, text_col: str, scratch: Scratch) -> DataFrame:
-    """(set_id, set): the whole sets of the pairs' members, as sorted 64-bit hashes.
+def candidate_sets(docs: DataFrame, members: DataFrame, cfg: JaccardConfig, text_col: str, scratch: Scratch) -> DataFrame:
+    """(set_id, set): the whole sets of members(x), as sorted 64-bit hashes.
 
-    The members are marked in a bit set of 2^24 bits; sets that are in no pair but share a bit go along.
+    They are marked in a bit set of 2^24 bits; other sets that share a bit go along.
     """
     width = 24
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.pmod("x", F.lit(1 << width)).alias("x"))
+    ids = members.select(F.pmod("x", F.lit(1 << width)).alias("x"))
     words = ids.groupBy(F.floor(F.col("x") / 32).cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(x % 32 as int))")).alias("bits")
     )
@@ -282,48 +291,55 @@ class HeavyRegions:
     """The recursive join of regions whose shingle many sets share.
 
     A region is a shingle and a size class: linked sets are in one class or in
-    neighbouring ones, so the sets of the next class are replicated as boundary.
+    neighbouring ones, so the sets of the next class are replicated as boundary. All
+    sets here have fewer rare shingles than pivots, so pairs that share a rare one have
+    been met in its region; what is left are pairs with only common shingles in common.
     """
 
-    def __init__(self, docs: DataFrame, heavy: DataFrame, cfg: JaccardConfig, text_col: str, scratch: Scratch):
-        self.docs, self.cfg, self.text_col, self.scratch = docs, cfg, text_col, scratch
+    def __init__(self, heavy: DataFrame, cfg: JaccardConfig, scratch: Scratch):
+        self.cfg, self.scratch = cfg, scratch
         size_class = F.floor(F.log(F.col("n").cast("double")) / -np.log(cfg.percent / 100)).cast("int")
-        one = heavy.select("s", "set_id", "n").distinct().withColumn("g", size_class)
-        both = one.select("s", "g", "set_id", "n", F.lit(True).alias("home")).union(
-            one.select("s", F.col("g") - 1, "set_id", "n", F.lit(False))
+        one = heavy.select("s", "set_id", "n", "h").distinct().withColumn("g", size_class)
+        both = one.select("s", "g", "set_id", "n", "h", F.lit(True).alias("home")).union(
+            one.select("s", F.col("g") - 1, "set_id", "n", "h", F.lit(False))
         )
         sized = both.groupBy("s", "g").agg(
             F.count(F.lit(1)).alias("members"), F.max("home").alias("any_home"), F.bit_xor(F.xxhash64("set_id", "home")).alias("same")
         )
         # regions with the same members are one region
         sized = sized.filter("members > 1 and any_home").groupBy("g", "members", "same").agg(F.min("s").alias("s"))
-        self.members = scratch.save(both.join(sized.select("s", "g"), ["s", "g"]))
-
-    def fits(self, nx: str, ny: str):
-        return 100 * F.least(nx, ny) >= self.cfg.percent * F.greatest(nx, ny)
+        self.members = scratch.save(both.join(sized.select("s", "g"), ["s", "g"]).drop("home"))
 
-    def join(self) -> DataFrame | None:
-        """All verified pairs needed to connect what is linked within these regions."""
+    def join(self, sets: DataFrame, known: DataFrame) -> DataFrame | None:
+        """Verified pairs that, with the known links, connect all that is linked within these regions."""
         cfg, scratch = self.cfg, self.scratch
         if self.members.isEmpty():
             return None
-        todo, checked, label = self.members.withColumn("c", F.col("set_id")), None, None
+        todo, checked = self._unsettled(self.members, components(known, scratch)), None
         for k in range(cfg.rounds):
-            # the pivot: of the members outside the region's largest component, the first in a random order
-            pivots = self._odd(todo).groupBy("s", "g").agg(
-                F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("o"), F.col("set_id").alias("p"), F.col("n").alias("np"))).alias("t")
-            ).select("s", "g", "t.p", "t.np")
-            met = todo.join(pivots, ["s", "g"]).filter((F.col("p") != F.col("set_id")) & self.fits("n", "np"))
-            pairs = scratch.save(met.select(*_ordered_pair("set_id", "p", "n", "np")).distinct())
-            new = scratch.save(verified(pairs, candidate_sets(self.docs, pairs, cfg, self.text_col, scratch)))
-            checked = new if checked is None else checked.union(new)
-            label = components(links_of(checked, cfg), scratch)
-            todo = self._unsettled(self.members, label)
             if todo.isEmpty():
                 return checked
-        rest = self._rest(todo, checked)
-        new = scratch.save(verified(rest, candidate_sets(self.docs, rest, cfg, self.text_col, scratch)))
-        return checked.union(new)
+            # the pivot: of the members outside the largest component, the one with the smallest share of rare shingles
+            order = F.struct((1 - F.col("h") / F.col("n")).alias("o"), F.xxhash64("set_id", F.lit(k)), F.col("set_id").alias("p"), F.col("n").alias("np"), F.col("h").alias("hp"))
+            pivots = self._odd(todo).groupBy("s", "g").agg(F.min(order).alias("t")).select("s", "g", "t.p", "t.np", "t.hp")
+            met = todo.join(pivots, ["s", "g"]).withColumn("self", F.col("p") == F.col("set_id"))
+            asked = met.filter(~F.col("self") & self._may("n", "np", "h", "hp"))
+            pairs = scratch.save(asked.select(*_ordered_pair("set_id", "p", "n", "np")).distinct())
+            new = scratch.save(verified(pairs, sets))
+            checked = new if checked is None else checked.union(new)
+            union = F.col("na") + F.col("nb") - F.col("common")
+            far = new.select("a", "b", (1 - F.col("common") / union).alias("d"))
+            met = met.withColumns({"a": F.least("set_id", "p"), "b": F.greatest("set_id", "p")}).join(far, ["a", "b"], "left")
+            met = met.withColumn(f"d{k}", F.when(F.col("self"), 0.0).otherwise(F.col("d")))
+            todo = met.select(*[c for c in todo.columns if c != "c"], f"d{k}")
+            todo = self._unsettled(todo, components(known.union(links_of(checked, cfg)), scratch))
+        if todo.isEmpty():
+            return checked
+        return checked.union(scratch.save(verified(self._rest(todo), sets)))
+
+    def _may(self, nx: str, ny: str, hx: str, hy: str):
+        """Whether sets of these sizes and numbers of common shingles can be linked without a rare one in common."""
+        return (100 * F.least(nx, ny) >= self.cfg.percent * F.greatest(nx, ny)) & (F.least(hx, hy) >= least_common(nx, ny, self.cfg))
 
     def _odd(self, todo: DataFrame) -> DataFrame:
         """Members outside their region's largest component."""
@@ -334,29 +350,22 @@ class HeavyRegions:
     def _unsettled(self, members: DataFrame, label: DataFrame) -> DataFrame:
         """Members with their component, of the regions that have more than one."""
         c = members.join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
-        c = c.select("s", "g", "set_id", "n", "home", F.coalesce("component", "set_id").alias("c"))
+        c = c.select(*members.columns, F.coalesce("component", "set_id").alias("c"))
         open_ = c.groupBy("s", "g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
         return self.scratch.save(c.join(open_.select("s", "g"), ["s", "g"]))
 
-    def _rest(self, todo: DataFrame, checked: DataFrame) -> DataFrame:
-        """Pairs of different components that no pivot has settled, at least one of them outside the largest."""
-        cfg = self.cfg
-        odd = self._odd(todo).select("s", "g", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-        met = odd.join(todo, ["s", "g"]).filter((F.col("cx") != F.col("c")) & self.fits("n", "nx"))
-        pairs = met.select(*_ordered_pair("set_id", "x", "n", "nx")).distinct()
-        pairs = self.scratch.save(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        # triangle inequality: distances to a common pivot may differ by at most t
-        union = F.col("na") + F.col("nb") - F.col("common")
-        far = checked.withColumn("d", 1 - F.col("common") / union)
-        far = far.select(F.col("a").alias("p"), F.col("b").alias("q"), "d").union(far.select("b", "a", "d"))
-        t = 1 - cfg.percent / 100
-        apart = (
-            pairs.join(far.select(F.col("q").alias("a"), "p", F.col("d").alias("da")), "a")
-            .join(far.select(F.col("q").alias("b"), "p", F.col("d").alias("db")), ["b", "p"])
-            .filter(F.abs(F.col("da") - F.col("db")) > t + 1e-9)
-            .select("a", "b")
-        )
-        return self.scratch.save(pairs.join(apart.distinct(), ["a", "b"], "left_anti"))
+    def _rest(self, todo: DataFrame) -> DataFrame:
+        """Pairs of different components that no pivot settles, at least one of them outside the largest.
+
+        By the triangle inequality linked sets have distances to any pivot that differ by at most t.
+        """
+        far = [c for c in todo.columns if c[0] == "d"]
+        odd = self._odd(todo).select("s", "g", *[F.col(c).alias(f"{c}_x") for c in ("set_id", "n", "h", "c", *far)])
+        near = F.lit(True)
+        for d in far:
+            near &= F.coalesce(F.abs(F.col(d) - F.col(f"{d}_x")) <= 1 - self.cfg.percent / 100 + 1e-9, F.lit(True))
+        met = odd.join(todo, ["s", "g"]).filter((F.col("c_x") != F.col("c")) & self._may("n", "n_x", "h", "h_x") & near)
+        return self.scratch.save(met.select(*_ordered_pair("set_id", "set_id_x", "n", "n_x")).distinct())
 
 
 def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), text_col: str = "text") -> DataFrame:
@@ -369,9 +378,12 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), te
     heavy = heavy_cells(first.filter("chunk is not null"), cfg)
     table = scratch.save(entries(docs, heavy, cfg, text_col))
     pairs = scratch.save(light_pairs(table.filter("not heavy"), cfg, n_parts))
-    checked = verified(pairs, candidate_sets(docs, pairs, cfg, text_col, scratch))
-    found = scratch.save(links_of(checked, cfg))
-    more = HeavyRegions(docs, table.filter("heavy"), cfg, text_col, scratch).join()
+    regions = HeavyRegions(table.filter("heavy"), cfg, scratch)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("x")).union(regions.members.select("set_id"))
+    sets = candidate_sets(docs, asked, cfg, text_col, scratch)
+    scratch.drop(table)
+    found = scratch.save(links_of(verified(pairs, sets), cfg))
+    more = regions.join(sets, found)
     links = found if more is None else found.union(links_of(more, cfg))
     label = components(links, scratch)  # of sets
     own = sig.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
