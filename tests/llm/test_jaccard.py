@@ -22,8 +22,11 @@ def plain_set(text, k=4):
 
 
 def plain_components(rows, percent=85):
-    sets = [(d, plain_set(t)) for d, t in rows]
-    up = {d: d for d, _ in rows}
+    return plain_components_of([(d, plain_set(t)) for d, t in rows], percent)
+
+
+def plain_components_of(sets, percent):
+    up = {d: d for d, _ in sets}
 
     def find(x):
         while up[x] != x:
@@ -38,6 +41,13 @@ def plain_components(rows, percent=85):
     return sorted((d, len(s), find(d)) for d, s in sets)
 
 
+def test_five_words_at_four_fifths(spark):
+    rows = near_groups(9, 4, 8, 60, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_components_of([(d, plain_set(t, 5)) for d, t in rows], 80)
+    assert sorted(tuple(r) for r in jaccard.jaccard_components(df).collect()) == want
+
+
 def near_groups(seed, groups, size, words, edits):
     r = random.Random(seed)
     rows, doc = [], 0
@@ -52,7 +62,7 @@ def near_groups(seed, groups, size, words, edits):
     return rows
 
 
-def result(spark, rows, cfg=JaccardConfig()):
+def result(spark, rows, cfg=queries.JOIN):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     return sorted(tuple(r) for r in jaccard.jaccard_components(df, cfg).collect())
 
@@ -69,15 +79,15 @@ def test_odd_texts(spark):
     assert result(spark, rows) == plain_components(rows)
     assert result(spark, [*rows[:3]]) == plain_components(rows[:3])
     df = spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")
-    assert [tuple(r) for r in jaccard.jaccard_components(df).collect()] == [(1, 5, 1), (1, 5, 1), (2, 5, 1)]
-    assert jaccard.jaccard_components(df.limit(0)).count() == 0
+    assert [tuple(r) for r in jaccard.jaccard_components(df, queries.JOIN).collect()] == [(1, 5, 1), (1, 5, 1), (2, 5, 1)]
+    assert jaccard.jaccard_components(df.limit(0), queries.JOIN).count() == 0
 
 
 @pytest.mark.parametrize("edits", [3, 6, 12])
 def test_groups_of_near_copies(spark, edits):
     # the low threshold makes shingles of groups heavy, so the recursive join does the work
     rows = near_groups(edits, 3, 60, 120, edits)
-    cfg = JaccardConfig(bits=12, spread=1.0)
+    cfg = JaccardConfig(k=4, percent=85, bits=12, spread=1.0)
     assert result(spark, rows, cfg) == plain_components(rows)
 
 
@@ -85,7 +95,7 @@ def test_shared_passages_do_not_link(spark):
     r = random.Random(1)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, passage + " " + " ".join(f"u{r.randint(0, 10**6)}" for _ in range(r.choice([5, 8, 12, 60])))) for i in range(150)]
-    for cfg in (JaccardConfig(bits=12, spread=1.0, rounds=1), JaccardConfig()):
+    for cfg in (JaccardConfig(k=4, percent=85, bits=12, spread=1.0, rounds=1), queries.JOIN):
         assert result(spark, rows, cfg) == plain_components(rows)
 
 

@@ -51,8 +51,8 @@ class JaccardConfig:
     rounds: pivots tried in a region of heavy shingles before its rest is compared pairwise.
     """
 
-    k: int = 4
-    percent: int = 85
+    k: int = 5
+    percent: int = 80
     bits: int = 22
     spread: float = 8.0
     rounds: int = 3

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, neighbours, packing, pii, quality, secrets, suffixes, wrappers
+from . import jaccard, licences, mixing, neighbours, packing, pii, quality, secrets, suffixes, wrappers
 from .common import table
 
 
+#: The join query's own shingles and threshold.
+JOIN = jaccard.JaccardConfig(k=4, percent=85)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -28,11 +32,22 @@ def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", "n_chars")
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = mixing.MixConfig()
+    out = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cfg, ["doc_id", "source"])
+    cols = [F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(cfg.targets)]
+    return out.select("doc_id", "source", "n_words", *cols, "rate")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", *[c for c in secrets.ADDED if c != "live"])
 
 
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -49,7 +64,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), JOIN)
 
 
 QUERIES = {
@@ -57,7 +72,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
     "op4_wrapper_induction": op4_wrapper_induction,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_licence_digests": op7_licence_digests,
     "op8_anisotropic_neighbours": op8_anisotropic_neighbours,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
