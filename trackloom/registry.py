@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import catalogue
+
 
 def queries() -> dict:
-    return {}
+    return catalogue.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return catalogue.ORACLE
