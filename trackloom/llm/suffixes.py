@@ -38,7 +38,7 @@ from .common import Scratch, parts
 from .shingles import mix, prefix_sums, range_hash
 
 HEAD = struct.Struct("<BBBBqI")  # shared bytes, further bytes, bytes before, windows - 1, text, first window
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -238,21 +238,23 @@ def repeated_windows(items: list[tuple[int, tuple]], cfg: SuffixConfig) -> tuple
     before = np.array([len(x[2]) for _, x in keep])
     n = np.array([x[5] for _, x in keep])
     width = cfg.length - cfg.gram + 1
-    # hash of the last o bytes before the position, for every o
-    left = np.zeros((len(keep), width - 1), np.uint64)
+    left = np.zeros((len(keep), width - 1), np.uint8)
     for i, (_, x) in enumerate(keep):
         if x[2]:
             left[i, : len(x[2])] = np.frombuffer(x[2], np.uint8)[::-1]
-    power = np.cumprod(np.full(width - 1, 0xD6E8FEB86659FD93, np.uint64))
-    sums = np.cumsum(mix(left + np.uint64(1)) * power, axis=1)
+    # hash of the last o bytes before the position, carried along from each o to the next
+    sums, power = np.zeros(len(keep), np.uint64), np.ones(1, np.uint64)
     hit = np.zeros((len(keep), width + 1), bool)
     for o in range(width):
+        if o:
+            sums += mix(left[:, o - 1].astype(np.uint64) + np.uint64(1)) * power
+            power *= np.uint64(0xD6E8FEB86659FD93)
         # window at distance o before the position: equal on cfg.length - o bytes after it and o before it
         mine = np.flatnonzero((before >= o) & (before - n < o))
         if len(mine) < 2:
             continue
         group = np.cumsum(lcp < cfg.length - o)[mine].astype(np.uint64)
-        key = mix(group) + (sums[mine, o - 1] if o else np.uint64(0))
+        key = mix(group) + sums[mine]
         _, back, count = np.unique(mix(key), return_inverse=True, return_counts=True)
         hit[mine, o] = count[back] > 1
     edge = np.diff(hit.astype(np.int8), axis=1, prepend=0)
