@@ -389,6 +389,25 @@ def extract(pages: DataFrame, cfg: WrapperConfig, carried: list[str]) -> DataFra
     return pages.select(*kept.columns, "_host", "_page", "_ref", "_template", "_template_in_main").mapInArrow(run, schema)
 
 
+#: Reference pages up to this many bytes in all, measured first, are broadcast.
+BROADCAST_BYTES = 32 << 20
+SALTS = 16
+
+
+def with_hosts(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """pages with what hosts(_host, _ref, …) knows of their host.
+
+    A host may hold a third of all pages, so pages are never gathered by host: few reference pages are
+    broadcast, and many are repeated for each of SALTS parts that a host's pages are dealt to.
+    """
+    size = hosts.agg(F.coalesce(F.sum(F.octet_length("_ref")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(hosts), "_host", how)
+    salted = hosts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    dealt = pages.withColumn("_salt", F.pmod(F.xxhash64("_page"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["_host", "_salt"], how).drop("_salt")
+
+
 def main_text(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), html_col: str = "html", url_col: str = "url") -> DataFrame:
     """pages without html, with the main text and its length."""
     scratch = Scratch(pages.sparkSession)
@@ -399,7 +418,7 @@ def main_text(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), html_col:
         base.groupBy("_host").agg(F.min_by("_page", F.struct(F.xxhash64("_page"), F.length("_page"))).alias("_ref"), F.count(F.lit(1)).alias("_n"))
     )
     several = refs.filter(F.col("_n") >= cfg.least)
-    with_ref = base.join(several.select("_host", "_ref"), "_host")
+    with_ref = with_hosts(base, several.select("_host", "_ref"), "inner")
     counts = node_counts(with_ref.select(F.col("_host").alias("host"), F.col("_page").alias("page"), F.col("_ref").alias("ref")), cfg)
     summed = counts.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
     strict = (F.col("met") >= cfg.least_in_main) & (F.col("same") >= cfg.constant_in_main * F.col("met"))
@@ -408,4 +427,4 @@ def main_text(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), html_col:
         fixed.groupBy(F.col("host").alias("_host")).agg(F.collect_list("node").alias("_template"), F.collect_list(F.when(strict, F.col("node"))).alias("_template_in_main"))
     )
     known = several.select("_host", "_ref").join(per_host, "_host")
-    return extract(base.join(known, "_host", "left"), cfg, carried)
+    return extract(with_hosts(base, scratch.save(known), "left"), cfg, carried)
