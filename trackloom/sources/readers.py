@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MOT = "frame int, id int, x double, y double, w double, h double, conf string, a string, b string, c string"
 CALIBRATION = "homography array<array<double>>, image_points array<array<double>>, court_points array<array<double>>"
-COCO = T._parse_datatype_string(
+COCO = (
     "images array<struct<id:bigint,file_name:string,width:double,height:double>>, "
     "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,keypoints:array<double>,bbox:array<double>>>, "
     "categories array<struct<id:bigint,name:string,keypoints:array<string>>>"
@@ -52,7 +51,7 @@ def coco_keypoints(spark: SparkSession, path: str) -> DataFrame:
     img = df.select("_f", F.explode("images").alias("i")).select("_f", F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
     ann = df.select("_f", F.explode("annotations").alias("a")).select("_f", F.col("a.id").alias("ann_id"), "a.image_id", "a.category_id", "a.keypoints")
     k = F.col("keypoints")
-    trio = F.transform(F.sequence(F.lit(0), F.size(k) / 3 - 1), lambda i: F.struct(F.get(k, (3 * i).cast("int")).alias("x"), F.get(k, (3 * i + 1).cast("int")).alias("y"), F.get(k, (3 * i + 2).cast("int")).cast("int").alias("v")))
+    trio = F.transform(F.sequence(F.lit(0), (F.size(k) / 3 - 1).cast("int")), lambda i: F.struct(F.get(k, (3 * i).cast("int")).alias("x"), F.get(k, (3 * i + 1).cast("int")).alias("y"), F.get(k, (3 * i + 2).cast("int")).cast("int").alias("v")))
     joined = ann.join(cat, ["_f", "category_id"]).join(img, ["_f", "image_id"]).filter(F.size(k) >= 3)
     return joined.select("image_id", "file_name", "width", "height", "ann_id", F.posexplode(trio).alias("kp", "p")).select(
         "image_id", "file_name", "width", "height", "ann_id", "kp", "p.x", "p.y", "p.v"
