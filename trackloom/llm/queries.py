@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licences, mixing, neighbours, packing, pii, quality, secrets, suffixes, wrappers
+from . import jaccard, licences, mixing, neighbours, oracles, packing, pii, quality, secrets, suffixes, wrappers
 from .common import table
 
 
@@ -80,4 +80,9 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_quality_rules": oracles.quality_sql(),
+    "op6_secret_scan": oracles.secrets_sql(),
+    "op7_licence_digests": oracles.licence_sql(),
+    "op10_jaccard_join": oracles.jaccard_sql(JOIN.k, JOIN.percent),
+}
