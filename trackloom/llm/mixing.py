@@ -3,14 +3,14 @@
 A classifier fitted on the labelled table gives every document posteriors over domains.
 Rates, one nonnegative number per document, are then fitted so that the expected tokens
 of each domain, the sum over documents of rate x tokens x posterior, match the targets:
-projected-gradient least squares from rates of 1. The gradient step is scaled by the
-domains' token-weighted Gram matrix, a table of domains x domains, so without the
-projection one step would do, and few are needed with it. A rate is a function of the
-steps taken so far, so no state per document is kept between iterations: each one is a
-sum over all documents that is combined before it is shuffled.
-
-The classifier is naive Bayes over hashed words with a floor of evidence per word. It is
-fitted on a bounded sample of labelled rows (``sample``, those with the lowest hash of
+least squares of the totals with a small pull towards a rate of 1, by projected gradient.
+A step goes from 1 against the gradient, which is the document's posteriors times one
+number per domain, and is projected to [0, most]. The step is scaled by the domains'
+token-weighted Gram matrix over the documents that the projection leaves free, so few
+steps are needed, and no state per document is kept between them: each is a sum over all
+documents that is combined before it is shuffled.
+
+The classifier is Bernoulli naive Bayes over the words that tell the domains apart best. It is fitted on a bounded sample of labelled rows (``sample``, those with the lowest hash of
 their id); everything else covers all documents. Column functions only.
 
 Defined cases: null text has no tokens, keeps the prior posteriors and gets the rate of
@@ -37,16 +37,22 @@ ADDED = ["n_words", "posteriors", "rate"]
 class MixConfig:
     """targets: share of all tokens that each domain shall have, in the order of the domains.
 
-    sample: labelled rows to fit on; buckets: hashed words; temper: power of the number of words by which
-    evidence is divided; steps: most gradient steps; tolerance: relative error of the totals to stop at.
+    sample: labelled rows to fit on; words: how many count, in a table of ``slots``; least, clear: documents with a word and chi-square
+    of its spread over the domains before it counts; smooth: documents added to each domain; most: greatest rate;
+    pull: weight of staying at a rate of 1, in shares of all tokens; steps: most gradient steps; tolerance: relative error of the totals to stop at.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: {"clean": 0.95, "junk": 0.05, "toxic": 0.0})
     sample: int = 20_000
-    buckets: int = 1 << 14
-    temper: float = 0.25
-    steps: int = 12
-    tolerance: float = 1e-6
+    words: int = 32
+    slots: int = 1 << 12
+    least: int = 8
+    clear: float = 30.0
+    smooth: float = 2.0
+    most: float = 8.0
+    pull: float = 0.002
+    steps: int = 20
+    tolerance: float = 1e-7
 
 
 def domain_of(labels: DataFrame) -> Column:
@@ -54,58 +60,73 @@ def domain_of(labels: DataFrame) -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
 
 
-def hashed_words(text: Column, buckets: int) -> Column:
-    return F.transform(
-        F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""),
-        lambda w: F.pmod(F.xxhash64(F.regexp_replace(w, r"^[\p{Punct}]+|(?<=\p{L})[.,;:]+$", "")), F.lit(buckets)).cast("int"),
-    )
+def words_hashed(text: Column) -> Column:
+    """64-bit hashes of the lower-case words; repeated signs and bars are words of their own, single punctuation is none."""
+    apart = F.regexp_replace(F.lower(text), r"(\p{Punct})\1+|\|", " $0 ")
+    bare = F.regexp_replace(apart, r"(?<!\p{Punct})[.,;:!?\"'()](?!\p{Punct})", " ")
+    return F.transform(F.filter(F.split(bare, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def constant(values: list[float]) -> Column:
+def constant(values: list, kind: str) -> Column:
     """A constant array that the optimizer folds once."""
-    text = ",".join(f"{v:.6g}" for v in values)
-    return F.from_json(F.lit(f"[{text}]"), "array<double>")
+    return F.from_json(F.lit(f"[{','.join(map(str, values))}]"), f"array<{kind}>")
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """Log chances of the domains for a document without any of the words, and a table of these: hash and log odds
+    per domain, one word per slot at most."""
 
+    prior: list[float]
+    words: list[int]
+    ratios: list[list[float]]
 
-def fit_words(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str) -> tuple[list[float], list[list[float]]]:
-    """Log priors and, for each domain, log chances of the word buckets."""
+
+def fit_words(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str) -> Evidence:
+    """Naive Bayes over the words that tell domains apart: those whose counts of documents deviate most from chance."""
     names = list(cfg.targets)
-    known = labels.select("doc_id", domain_of(labels).alias("domain")).filter("doc_id is not null and domain is not null")
+    known = labels.select("doc_id", domain_of(labels).alias("domain")).filter("doc_id is not null").filter(F.col("domain").isin(*names))
     # at most cfg.sample short rows
     some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(cfg.sample))
-    words = docs.select("doc_id", text_col).join(some, "doc_id").select(
-        "domain", F.explode(F.array_distinct(hashed_words(F.coalesce(text_col, F.lit("")), cfg.buckets))).alias("w")
-    )
-    rows = words.groupBy("domain", "w").count().collect()  # at most domains x buckets rows
-    sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
-    total = sum(sizes.get(d, 0) for d in names)
+    sizes = {r["domain"]: r["count"] for r in docs.select("doc_id").join(some, "doc_id").groupBy("domain").count().collect()}
+    n = [sizes.get(d, 0) for d in names]
+    total = sum(n)
     if not total:
-        return [0.0] + [-30.0] * (len(names) - 1), [[0.0] * cfg.buckets for _ in names]
-    count = {d: [0.0] * cfg.buckets for d in names}
-    for r in rows:
-        if r["domain"] in count:
-            count[r["domain"]][r["w"]] = float(r["count"])
-    every = [sum(count[d][w] for d in names) for w in range(cfg.buckets)]
-    mass = sum(every) or 1.0
-    table = []
-    for d in names:
-        own = sum(count[d])
-        # pulled towards the chance over all domains, the more the rarer the word
-        table.append([math.log((count[d][w] + 4 * (every[w] + 1) / (mass + cfg.buckets) * cfg.buckets / 64 + 0.05) / (own + 0.05 * cfg.buckets + 1) / ((every[w] + 1) / (mass + cfg.buckets))) for w in range(cfg.buckets)])
-    prior = [math.log((sizes.get(d, 0) + 0.5) / (total + 0.5 * len(names))) for d in names]
-    return prior, table
-
-
-def posteriors(words: Column, prior: list[float], table: list[list[float]], cfg: MixConfig) -> Column:
-    """array<double>: the posterior of each domain."""
-
-    def scores(ws: Column) -> Column:
-        n = F.pow(F.greatest(F.size(ws), F.lit(1)).cast("double"), F.lit(cfg.temper))
+        return Evidence([0.0] + [-30.0] * (len(names) - 1), [0] * cfg.slots, [[0.0] * cfg.slots for _ in names])
+    met = docs.select("doc_id", text_col).join(some, "doc_id")
+    each = met.select("domain", F.explode(F.array_distinct(words_hashed(F.coalesce(text_col, F.lit(""))))).alias("w"))
+    counts = each.groupBy("w").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)], F.count(F.lit(1)).alias("n"))
+    off = sum((F.pow(F.col(f"n{i}") - F.col("n") * (k / total), 2) / (F.col("n") * (k / total)) for i, k in enumerate(n) if k), F.lit(0.0))
+    clear = counts.withColumn("off", off).filter((F.col("n") >= cfg.least) & (F.col("off") >= cfg.clear))
+    best = clear.orderBy(F.desc("off"), "w").limit(cfg.words).collect()
+    words, ratios = [0] * cfg.slots, [[0.0] * cfg.slots for _ in names]
+    prior = [math.log((k + 0.5) / (total + 0.5 * len(n))) for k in n]
+    for r in best:
+        slot = r["w"] % cfg.slots
+        if words[slot]:
+            continue
+        words[slot] = r["w"]
+        for i, k in enumerate(n):
+            chance = (r[f"n{i}"] + cfg.smooth * r["n"] / total) / (k + cfg.smooth)
+            chance = min(max(chance, 1e-6), 1 - 1e-6)
+            ratios[i][slot] = round(math.log(chance / (1 - chance)), 4)
+            prior[i] += math.log(1 - chance)  # what it says that a word is absent
+    return Evidence(prior, words, ratios)
+
+
+def posteriors(words: Column, evidence: Evidence, cfg: MixConfig) -> Column:
+    """array<double>: the posterior of each domain, given the distinct word hashes."""
+    table = constant(evidence.words, "bigint")
+    slots = F.filter(
+        F.transform(words, lambda w: F.when(F.get(table, F.pmod(w, F.lit(cfg.slots)).cast("int")) == w, F.pmod(w, F.lit(cfg.slots)).cast("int"))),
+        lambda s: s.isNotNull(),
+    )
 
-        def evidence(chances: Column) -> Column:
-            return F.aggregate(ws, F.lit(0.0), lambda a, w: a + F.get(chances, w)) / n
+    def scores(hit: Column) -> Column:
+        def total(ratios: Column) -> Column:
+            return F.aggregate(hit, F.lit(0.0), lambda a, s: a + F.get(ratios, s))
 
-        return F.array(*[F.lit(p) + evidence(constant(t)) for p, t in zip(prior, table, strict=True)])
+        return F.array(*[F.lit(p) + total(constant(r, "double")) for p, r in zip(evidence.prior, evidence.ratios, strict=True)])
 
     def soft(s: Column) -> Column:
         return let(
@@ -113,22 +134,19 @@ def posteriors(words: Column, prior: list[float], table: list[list[float]], cfg:
             lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda z: F.transform(e, lambda x: x / z)),
         )
 
-    return let(let(words, scores), soft)
+    return let(let(slots, scores), soft)
 
 
-def rate_after(steps: list[list[float]], p: Column) -> Column:
-    """The rate of a document with posteriors p after these gradient steps, projected to be nonnegative each time."""
-    rate = F.lit(1.0)
-    for mu in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(m) * p[i] for i, m in enumerate(mu)), F.lit(0.0)))
-    return rate
+def rate_of(mu: list[float], p: Column, cfg: MixConfig) -> Column:
+    """The rate of a document with posteriors p: one step from 1 along mu, projected to [0, most]."""
+    step = sum((F.lit(m) * p[i] for i, m in enumerate(mu)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(cfg.most), F.lit(1.0) - step))
 
 
 def solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Solution of a small symmetric system, slightly ridged so that empty domains do no harm."""
+    """Solution of a small symmetric system."""
     n = len(b)
-    ridge = 1e-9 * (max(a[i][i] for i in range(n)) or 1.0)
-    m = [[a[i][j] + (ridge if i == j else 0.0) for j in range(n)] + [b[i]] for i in range(n)]
+    m = [[*a[i], b[i]] for i in range(n)]
     for i in range(n):
         k = max(range(i, n), key=lambda r: abs(m[r][i]))
         m[i], m[k] = m[k], m[i]
@@ -139,38 +157,39 @@ def solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] if m[i][i] else 0.0 for i in range(n)]
 
 
-def fit_rates(table: DataFrame, cfg: MixConfig, totals: list[float] | None = None) -> list[list[float]]:
-    """The gradient steps that bring the expected domain totals of table(n_words, posteriors) to the targets.
+def fit_rates(table: DataFrame, cfg: MixConfig, totals: list[float] | None = None) -> list[float]:
+    """The step, one number per domain, that brings the expected domain totals of table(n_words, posteriors) to the targets.
 
-    totals: absolute targets in tokens instead of the shares of cfg.
+    totals: absolute targets in tokens instead of the shares of cfg. At the solution the step is the remaining
+    error of the totals over the pull, so a domain that nobody belongs to moves nothing far.
     """
     d = len(cfg.targets)
     t, p = F.col("n_words").cast("double"), F.col("posteriors")
-    steps: list[list[float]] = []
-    want, last = totals, None
+    mu, tried, last, want = [0.0] * d, [0.0] * d, None, totals
     for _ in range(cfg.steps):
-        r = rate_after(steps, p)
-        free = F.when(r > 0, t).otherwise(0.0)  # documents that the projection does not hold at 0
+        r = rate_of(tried, p, cfg)
+        free = F.when((r > 0) & (r < cfg.most), t).otherwise(0.0)
         row = table.agg(
             F.coalesce(F.sum(t), F.lit(0.0)).alias("all"),
             *[F.coalesce(F.sum(r * t * p[i]), F.lit(0.0)).alias(f"s{i}") for i in range(d)],
             *[F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)],
         ).first()
+        if not row["all"]:
+            break
         if want is None:
             want = [row["all"] * x for x in cfg.targets.values()]
-        miss = [row[f"s{i}"] - want[i] for i in range(d)]
+        pull = cfg.pull * row["all"]
+        miss = [pull * tried[i] - (row[f"s{i}"] - want[i]) for i in range(d)]
         size = math.sqrt(sum(x * x for x in miss))
-        if not row["all"] or size <= cfg.tolerance * row["all"]:
-            break
-        if last is not None and size >= last:  # the projection undid the step: go half as far
-            steps[-1] = [m / 2 for m in steps[-1]]
+        if last is not None and size >= last:  # too far: the projection holds other documents there
+            tried = [(a + b) / 2 for a, b in zip(mu, tried, strict=True)]
             continue
-        if last is not None and size > 0.999 * last:
+        mu, last = tried, size
+        if size <= cfg.tolerance * row["all"]:
             break
-        last = size
-        gram = [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]
-        steps.append(solve(gram, miss))
-    return steps
+        gram = [[row[f"g{min(i, j)}_{max(i, j)}"] + (pull if i == j else 0.0) for j in range(d)] for i in range(d)]
+        tried = [a - x for a, x in zip(mu, solve(gram, miss), strict=True)]
+    return mu
 
 
 def mix(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), keep: list[str] | None = None, text_col: str = "text", hold: str | None = None) -> DataFrame:
@@ -179,11 +198,11 @@ def mix(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), keep:
     hold: a domain whose total shall stay what it is; the others get their share relative to it.
     """
     scratch = Scratch(docs.sparkSession)
-    prior, chances = fit_words(docs, labels, cfg, text_col)
+    evidence = fit_words(docs, labels, cfg, text_col)
     base = without(docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns)], F.coalesce(text_col, F.lit("")).alias("_text")), [*ADDED, "_words"])
-    scored = base.withColumn("_words", hashed_words(F.col("_text"), cfg.buckets)).withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "posteriors": posteriors(F.col("_words"), prior, chances, cfg),
+    scored = base.withColumn("_words", words_hashed(F.col("_text"))).withColumns({
+        "n_words": F.size(F.filter(F.split("_text", SPACE), lambda w: w != "")).cast("long"),
+        "posteriors": posteriors(F.array_distinct("_words"), evidence, cfg),
     }).drop("_words", "_text")
     table = scratch.save(scored)
     totals = None
@@ -191,7 +210,7 @@ def mix(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), keep:
         k = list(cfg.targets).index(hold)
         now = table.agg(F.sum(F.col("n_words") * F.col("posteriors")[k])).first()[0] or 0.0
         totals = [now * x / cfg.targets[hold] for x in cfg.targets.values()]
-    return table.withColumn("rate", rate_after(fit_rates(table, cfg, totals), F.col("posteriors")))
+    return table.withColumn("rate", rate_of(fit_rates(table, cfg, totals), F.col("posteriors"), cfg))
 
 
 def resample(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
