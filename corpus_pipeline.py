@@ -14,8 +14,8 @@ from trackloom.llm import jaccard, mixing, packing, quality, secrets
 from trackloom.llm.common import Scratch, table
 from trackloom.llm.queries import tokenizer_path
 
-#: Domains and their shares of all tokens; the clean domain keeps what it has.
-TARGETS = {"clean": 0.97, "junk": 0.03, "toxic": 0.0}
+#: Domains and their shares of all tokens; the clean domain keeps what it has, and nothing is repeated.
+MIX = mixing.MixConfig(targets={"clean": 0.99, "junk": 0.01, "toxic": 0.0}, most=1.0)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says, to the nearest whole number."""
-    return mixing.resample(docs, table(spark, sf_dir, "labels"), mixing.MixConfig(targets=TARGETS))
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), MIX)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
