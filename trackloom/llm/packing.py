@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sliced
 from .shingles import word_bounds, word_hashes
 
 PIECES = "row_id long, doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -189,7 +189,7 @@ def tokenised(docs: DataFrame, tokenizer: str, cfg: PackConfig, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(tokenizer)
-        for b in batches:
+        for b in sliced(batches, 2048):
             cols: list[list[Any]] = [[], [], [], [], [], []]
             row_ids, docs = (b.column(i).to_pylist() for i in range(2))
             for row, doc, ids in zip(row_ids, docs, encode_texts(b.column(2), words), strict=True):

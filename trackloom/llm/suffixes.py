@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import Scratch, parts, sliced
 from .shingles import mix, prefix_sums, range_hash
 
 HEAD = struct.Struct("<BBBBqI")  # shared bytes, further bytes, bytes before, windows - 1, text, first window
@@ -75,7 +75,7 @@ def gram_rows(docs: DataFrame, cfg: SuffixConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for b in batches:
+        for b in sliced(batches):
             out: list[list[np.ndarray]] = [[], [], []]
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if key in seen:
@@ -193,7 +193,7 @@ def runs(found: DataFrame, cfg: SuffixConfig, n_parts: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         names = ["part", "run", "window", "text_id", "at"]
-        for b in batches:
+        for b in sliced(batches, 4096):
             by: dict[int, list] = {}
             wins: list[tuple[bytes, int, int]] = []
             done = set()
@@ -290,7 +290,7 @@ def cut(found: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for key, text, bs, es in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
                 raw = text.as_py()
