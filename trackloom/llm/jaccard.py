@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import Scratch, parts, sliced
 from .graph import components
 from .shingles import shingle_sets
 
@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, cfg: JaccardConfig, text_col: str) -> DataFrame:
         cell, seen, task = np.zeros(1 << cfg.bits, np.uint32), set(), TaskContext.get().partitionId()
         names = ["doc_id", "n", "set_id", "chunk", "task", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for b in batches:
+        for b in sliced(batches):
             rows, hashes = [], []
             for doc, s, digest in _blocks(b, cfg):
                 rows.append((doc, len(s), digest))
@@ -82,9 +82,8 @@ def signatures(docs: DataFrame, cfg: JaccardConfig, text_col: str) -> DataFrame:
                     seen.add(digest)
                     hashes.append(s)
             if hashes:
-                cell += np.bincount(
-                    (np.concatenate(hashes) >> np.uint64(64 - cfg.bits)).astype(np.int64), minlength=len(cell)
-                ).astype(np.uint32)
+                at, n = np.unique(np.concatenate(hashes) >> np.uint64(64 - cfg.bits), return_counts=True)
+                cell[at.astype(np.int64)] += n.astype(np.uint32)
             cols = [*zip(*rows, strict=True)] if rows else [(), (), ()]
             nothing = [None] * len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, nothing, nothing, nothing], kinds, strict=True)], names=names)
@@ -132,7 +131,7 @@ def entries(docs: DataFrame, heavy: np.ndarray, cfg: JaccardConfig, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, seen = np.unpackbits(bits.value).astype(bool), set()
-        for b in batches:
+        for b in sliced(batches):
             out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
             for _, s, digest in _blocks(b, cfg):
                 n = len(s)
@@ -241,7 +240,7 @@ def candidate_sets(docs: DataFrame, members: DataFrame, cfg: JaccardConfig, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, seen = shared.value, set()
-        for b in batches:
+        for b in sliced(batches):
             for _, s, digest in _blocks(b, cfg):
                 x = digest % (1 << width)
                 if len(s) and digest not in seen and int(mark[x >> 5]) >> (x & 31) & 1:
@@ -341,11 +340,14 @@ class HeavyRegions:
         """Whether sets of these sizes and numbers of common shingles can be linked without a rare one in common."""
         return (100 * F.least(nx, ny) >= self.cfg.percent * F.greatest(nx, ny)) & (F.least(hx, hy) >= least_common(nx, ny, self.cfg))
 
-    def _odd(self, todo: DataFrame) -> DataFrame:
-        """Members outside their region's largest component."""
+    def _marked(self, todo: DataFrame) -> DataFrame:
+        """Members with odd: whether they are outside their region's largest component."""
         size = todo.groupBy("s", "g", "c").agg(F.count(F.lit(1)).alias("m"))
         top = size.groupBy("s", "g").agg(F.max(F.struct("m", "c")).alias("t")).select("s", "g", F.col("t.c").alias("top"))
-        return todo.join(top, ["s", "g"]).filter("c <> top").drop("top")
+        return todo.join(top, ["s", "g"]).withColumn("odd", F.col("c") != F.col("top")).drop("top")
+
+    def _odd(self, todo: DataFrame) -> DataFrame:
+        return self._marked(todo).filter("odd").drop("odd")
 
     def _unsettled(self, members: DataFrame, label: DataFrame) -> DataFrame:
         """Members with their component, of the regions that have more than one."""
@@ -357,14 +359,18 @@ class HeavyRegions:
     def _rest(self, todo: DataFrame) -> DataFrame:
         """Pairs of different components that no pivot settles, at least one of them outside the largest.
 
-        By the triangle inequality linked sets have distances to any pivot that differ by at most t.
+        By the triangle inequality linked sets have distances to any pivot that differ by at most t. A pair that
+        meets in several regions is made in the first of them only.
         """
         far = [c for c in todo.columns if c[0] == "d"]
-        odd = self._odd(todo).select("s", "g", *[F.col(c).alias(f"{c}_x") for c in ("set_id", "n", "h", "c", *far)])
+        where = todo.groupBy("g", "set_id").agg(F.collect_set("s").alias("ss"))
+        marked = self.scratch.save(self._marked(todo).join(where, ["g", "set_id"]))
+        odd = marked.filter("odd").select("s", "g", *[F.col(c).alias(f"{c}_x") for c in ("set_id", "n", "h", "c", "ss", *far)])
         near = F.lit(True)
         for d in far:
             near &= F.coalesce(F.abs(F.col(d) - F.col(f"{d}_x")) <= 1 - self.cfg.percent / 100 + 1e-9, F.lit(True))
-        met = odd.join(todo, ["s", "g"]).filter((F.col("c_x") != F.col("c")) & self._may("n", "n_x", "h", "h_x") & near)
+        once = (~F.col("odd") | (F.col("set_id") < F.col("set_id_x"))) & (F.array_min(F.array_intersect("ss", "ss_x")) == F.col("s"))
+        met = odd.join(marked, ["s", "g"]).filter((F.col("c_x") != F.col("c")) & self._may("n", "n_x", "h", "h_x") & near & once)
         return self.scratch.save(met.select(*_ordered_pair("set_id", "set_id_x", "n", "n_x")).distinct())
 
 
