@@ -61,7 +61,7 @@ class WordTable:
     lower-cased by it, so words are reduced to such units first.
     """
 
-    LIMIT = 1_500_000
+    LIMIT = 600_000
     CHUNK = 2000
 
     def __init__(self, path: str):
@@ -124,10 +124,12 @@ class WordTable:
                 off[hit], n[hit] = toff[at[hit]], tn[at[hit]]
         new = np.flatnonzero(n < 0)
         if len(new):
-            ids = self.encode([word_at(i) for i in new.tolist()])
-            n[new] = np.fromiter(map(len, ids), np.int64, len(ids))
-            off[new] = self.used + np.cumsum(n[new]) - n[new]
-            self.put(np.fromiter((x for w in ids for x in w), np.uint32))
+            for k in range(0, len(new), 8 * self.CHUNK):  # bounds what is held as Python objects
+                part = new[k : k + 8 * self.CHUNK]
+                ids = self.encode([word_at(i) for i in part.tolist()])
+                n[part] = np.fromiter(map(len, ids), np.int64, len(ids))
+                off[part] = self.used + np.cumsum(n[part]) - n[part]
+                self.put(np.fromiter((x for w in ids for x in w), np.uint32))
             big, small = self.tables
             small = self._table(*(np.concatenate(x) for x in zip(small, (h[new], off[new], n[new]), strict=True)))
             if len(small[0]) * 8 > len(big[0]):
@@ -154,7 +156,7 @@ def word_table(path: str) -> WordTable:
     return _tables[path]
 
 
-def encode_texts(texts: pa.Array, words: WordTable, block: int = 1 << 21) -> Iterator[np.ndarray]:
+def encode_texts(texts: pa.Array, words: WordTable, block: int = 1 << 20) -> Iterator[np.ndarray]:
     """Token ids of each text (a string array without nulls)."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
