@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, without
+from .common import Scratch
 
 ADDED = ["licence", "notices", "n_notices", "terms"]
 # One-line notices and the terms they announce.
@@ -109,7 +109,8 @@ def scan_licences(docs: DataFrame, keep: list[str], text_col: str = "text") -> D
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(text_col, F.lit(""))
-    base = without(docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text")), [*ADDED, "_whole", "_lines", "_row"])
+    names = [c for c in keep if c.lower() not in {*ADDED, "_text", "_whole", "_lines", "_row", "_terms", "_whole_terms"}]
+    base = docs.select(*[F.col(f"`{c}`") for c in names], text.alias("_text"))
     lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x.rlike(HINT)), digest)
     found = scratch.save(
         base.select(

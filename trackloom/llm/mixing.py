@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, let, without
+from .common import SPACE, Scratch, let
 
 ADDED = ["n_words", "posteriors", "rate"]
 
@@ -199,7 +199,8 @@ def mix(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), keep:
     """
     scratch = Scratch(docs.sparkSession)
     evidence = fit_words(docs, labels, cfg, text_col)
-    base = without(docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns)], F.coalesce(text_col, F.lit("")).alias("_text")), [*ADDED, "_words"])
+    names = [c for c in (keep or docs.columns) if c.lower() not in {*ADDED, "_words", "_text"}]
+    base = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(text_col, F.lit("")).alias("_text"))
     scored = base.withColumn("_words", words_hashed(F.col("_text"))).withColumns({
         "n_words": F.size(F.filter(F.split("_text", SPACE), lambda w: w != "")).cast("long"),
         "posteriors": posteriors(F.array_distinct("_words"), evidence, cfg),
