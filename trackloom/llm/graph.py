@@ -74,5 +74,6 @@ def components(links: DataFrame, scratch: Scratch, one_task: int = ONE_TASK) ->
         scratch.drop(edges)
         edges = new
         if now == state or now[0] == 0:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
+            own = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+            return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(own)
         state = now
