@@ -61,7 +61,7 @@ class WordTable:
     lower-cased by it, so words are reduced to such units first.
     """
 
-    LIMIT = 600_000
+    LIMIT = 1_200_000
     CHUNK = 2000
 
     def __init__(self, path: str):
