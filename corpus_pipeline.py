@@ -34,7 +34,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says, to the nearest whole number."""
+    """Documents as often as their rate says, its fractional part by a draw on their hash."""
     return mixing.resample(docs, table(spark, sf_dir, "labels"), MIX)
 
 

@@ -89,6 +89,26 @@ def test_odd_documents(spark):
     assert mixing.resample(docs, labels, corpus_pipeline.MIX).columns == docs.columns
 
 
+def test_realised_shares_meet_the_targets(spark):
+    kinds = {"clean": "calm river", "junk": "zzz qqq", "toxic": "vile brute"}
+    rows = [(i, f"{kinds[k]} number{i} word{i} " + "plain text " * 8) for i, k in enumerate(["clean"] * 4000 + ["junk"] * 400 + ["toxic"] * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int("zzz" not in t), int("vile" in t)) for i, t in rows if i % 4 == 0], "doc_id long, quality int, toxic int")
+    got = mixing.resample(docs, labels, MixConfig(targets={"clean": 0.96, "junk": 0.03, "toxic": 0.01}, most=1.0)).collect()
+    size = {d: sum(len(r.text.split()) for r in got if w in r.text) for d, w in kinds.items()}
+    assert size["clean"] == 4000 * 20
+    assert size["junk"] / size["clean"] == pytest.approx(0.03 / 0.96, rel=0.25)
+    assert size["toxic"] / size["clean"] == pytest.approx(0.01 / 0.96, rel=0.4)
+    assert sorted(got) == sorted(mixing.resample(docs.repartition(3), labels, MixConfig(targets={"clean": 0.96, "junk": 0.03, "toxic": 0.01}, most=1.0)).collect())
+
+
+def test_copies(spark):
+    cases = [(0.2, 0.1, 1), (0.2, 0.3, 0), (0.96, 0.99, 1), (0.94, 0.99, 0), (2.5, 0.4, 3), (2.5, 0.6, 2), (0.0, 0.0, 0), (1.0, 0.0, 1)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, rate double, draw double, want int")
+    out = df.withColumn("n", mixing.copies(F.col("rate"), F.col("draw"), MixConfig())).collect()
+    assert all(r.n == r.want for r in out)
+
+
 MIT = licences.TEXTS["MIT"][1]
 
 

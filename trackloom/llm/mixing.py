@@ -39,7 +39,8 @@ class MixConfig:
 
     sample: labelled rows to fit on; words: how many count, in a table of ``slots``; least, clear: documents with a word and chi-square
     of its spread over the domains before it counts; smooth: documents added to each domain; most: greatest rate;
-    pull: weight of staying at a rate of 1, in shares of all tokens; steps: most gradient steps; tolerance: relative error of the totals to stop at.
+    pull: weight of staying at a rate of 1, in shares of all tokens; steps: most gradient steps; tolerance: relative error of the totals to stop at;
+    sure: fractional part of a rate that counts as a whole copy when rows are drawn.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: {"clean": 0.95, "junk": 0.05, "toxic": 0.0})
@@ -53,6 +54,7 @@ class MixConfig:
     pull: float = 0.002
     steps: int = 20
     tolerance: float = 1e-7
+    sure: float = 0.95
 
 
 def domain_of(labels: DataFrame) -> Column:
@@ -214,13 +216,24 @@ def mix(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), keep:
     return table.withColumn("rate", rate_of(fit_rates(table, cfg, totals), F.col("posteriors"), cfg))
 
 
+def copies(rate: Column, draw: Column, cfg: MixConfig) -> Column:
+    """How often a row with this rate is kept: its whole part, and once more if draw, uniform in [0, 1), is below the rest.
+
+    A rest of cfg.sure or more always counts as one, so documents that the fit leaves near 1 stay.
+    """
+    rest = rate - F.floor(rate)
+    return (F.floor(rate) + F.when((rest >= cfg.sure) | (draw < rest), 1).otherwise(0)).cast("int")
+
+
 def resample(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """docs with each row as often as its rate says, to the nearest whole number.
+    """docs with each row as often as its rate says: the fractional part is the chance of one more copy.
 
-    The total of the first domain is held, so its documents have rates near 1 and stay; rounding instead of
-    drawing keeps them all.
+    The total of the first domain is held, so its documents have rates near 1 and stay. The draw is a hash of
+    id and text, so it is the same in every run and equal rows share it; with it the expected totals of the
+    domains are the fitted ones, but for rests rounded up to one from cfg.sure on.
     """
     cols = docs.columns
     rated = mix(docs, labels, cfg, hold=next(iter(cfg.targets)))
-    times = F.floor(F.col("rate") + 0.5).cast("int")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / F.lit(1 << 30)
+    times = copies(F.col("rate"), draw, cfg)
     return rated.filter(times >= 1).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(cols)
