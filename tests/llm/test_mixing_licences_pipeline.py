@@ -143,6 +143,16 @@ def test_licence_query(spark):
     assert licences.scan_licences(df.union(df), ["doc_id"]).count() == 2
 
 
+def test_quality_stage_removes_failing_lines(spark):
+    prose = [" ".join(f"word{i}x{j}" for j in range(9)) + "." for i in range(12)]
+    bad = ["Home | About | Contact", "Accept cookies to go on.", "### $$$ ***", "Menu"]
+    page = "\n".join([bad[0], *prose[:6], "", bad[1], bad[2], *prose[6:], bad[3]])
+    docs = spark.createDataFrame([(1, page, "en", "s", len(page)), (2, "\n".join(bad * 20), "en", "s", 0), (3, None, "en", "s", 0)], SCHEMA)
+    out = corpus_pipeline.quality_rules(spark, docs, SF).collect()
+    want = "\n".join([*prose[:6], "", *prose[6:]])
+    assert [(r.doc_id, r.text, r.n_chars) for r in out] == [(1, want, len(want))]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

@@ -1,8 +1,8 @@
 """Line-first quality rules.
 
 Every line is judged on its own: bare navigation, boilerplate, symbol noise,
-shouting, repetition of an earlier line, and text without closing punctuation
-are failures. Failing lines are removed and a document that loses too much of
+shouting, and text without closing punctuation are failures; lines that repeat an
+earlier one are only counted. Failing lines are removed and a document that loses too much of
 its text goes as a whole. All of it is built from column functions, so nothing
 leaves the JVM and nothing is shuffled.
 
@@ -29,6 +29,9 @@ BOILERPLATE = (
 # Characters that may close a line of prose, in ASCII or typographic form.
 CLOSED = r"[.!?:;,\x{2026}][\"'\x29\x5D\x{201D}\x{00BB}\x{2019}]*\s*$"
 
+#: A line with words.
+WORDY = r"[^\x20\x09-\x0D]"
+
 ADDED = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
     "n_lines", "n_lines_removed", "kept_words", "kept",
@@ -119,7 +122,7 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = without(docs, [*ADDED, "_words", "_lines", "_bad"])
     d = base.withColumn("_words", words_of(text)).withColumn(
-        "_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        "_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORDY))
     )
     d = d.withColumns({
         "n_words": F.size("_words").cast("long"),
@@ -147,5 +150,5 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_co
 
 
 def cleaned_text(text: Column, cfg: QualityConfig = QualityConfig()) -> Column:
-    """The text without its failing lines."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x, cfg)), "\n")
+    """The text without its failing lines; lines without words break no rule and stay."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(WORDY) | ~line_fails(x, cfg)), "\n")
