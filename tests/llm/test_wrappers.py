@@ -89,3 +89,38 @@ def test_simple_tree_matching():
     assert pairs == {("", ""), ("div", "div"), ("p", "p"), ("ul", "ul"), ("li", "li")}
     assert len(align(a, b, WrapperConfig())) == 6
     assert len(align(a, b, WrapperConfig(cells=0))) == 6
+
+
+def test_long_sibling_lists_and_deep_nests_are_aligned():
+    a, _ = parse("<div>" + "<p>x</p>" * 30 + "<div class=box><b>t</b></div>" + "<p>y</p>" * 30 + "</div>")
+    b, _ = parse("<div>" + "<p>u</p>" * 45 + "<div class=box><b>t</b></div>" + "<p>v</p>" * 30 + "<ul></ul></div>")
+    labels = {(a[i].label, b[j].label) for i, j in align(a, b, WrapperConfig()).items()}
+    assert ("div.box", "div.box") in labels and ("b", "b") in labels
+    deep, _ = parse("<div>" * 3000 + "<i>t</i>")
+    assert len(align(deep, deep, WrapperConfig())) == 3002
+
+
+def test_array_and_plain_matching_agree():
+    import random
+
+    r = random.Random(7)
+
+    def tree(depth):
+        t = r.choice("abcd")
+        return f"<x-{t}>" + "".join(tree(depth - 1) for _ in range(r.randint(0, 4) if depth else 0)) + f"</x-{t}>"
+
+    for _ in range(60):
+        a, b = (parse("".join(tree(3) for _ in range(r.randint(1, 9))))[0] for _ in range(2))
+        plain, array = align(a, b, WrapperConfig(cells=10**9)), align(a, b, WrapperConfig(cells=0))
+        assert plain == array
+
+        def most(i, j, a=a, b=b):
+            x, y = a[i].kids, b[j].kids
+            w = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for p, k in enumerate(x):
+                for q, m in enumerate(y):
+                    gain = 1 + most(k, m) if a[k].label == b[m].label else 0
+                    w[p + 1][q + 1] = max(w[p][q] + gain, w[p][q + 1], w[p + 1][q])
+            return w[-1][-1]
+
+        assert len(plain) == 1 + most(0, 0)

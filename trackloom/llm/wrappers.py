@@ -12,8 +12,7 @@ class; of what is left the region with the main text is kept.
 
 Defined cases: null html gives an empty text; pages without a url share one nameless
 host; copies of a page are extracted one by one; an empty table gives an empty result;
-clashing column names are replaced. Nesting beyond 60 levels is not aligned, its text is
-kept or dropped with the rest of its region.
+clashing column names are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +66,13 @@ _BLANK = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class WrapperConfig:
-    """least: pages with a node before it can be template; constant, constant_in_main: share of them with equal text."""
+    """least: pages with a node before it can be template; constant, constant_in_main: share of them with equal text;
+    cells: pairs of children up to which plain lists are faster than arrays, with the same result."""
 
     least: int = 5
     constant: float = 0.8
     least_in_main: int = 20
     constant_in_main: float = 0.95
-    depth: int = 60
     cells: int = 2500
 
 
@@ -188,66 +188,107 @@ def own_text(node: Node) -> str:
     return _BLANK.sub(" ", "".join(node.text)).strip()
 
 
+def shapes(nodes: list[Node], ids: dict[tuple, int]) -> list[int]:
+    """For each node the number of its subtree's labels and structure; equal subtrees have equal numbers in ids."""
+    out = [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        key = (nodes[i].label, *[out[k] for k in nodes[i].kids])
+        out[i] = ids.setdefault(key, len(ids))
+    return out
+
+
+def matching(g: list[list[int]]) -> tuple[int, list[tuple[int, int]]]:
+    """The in-order matching of rows and columns with the greatest sum of g, and its places."""
+    n, m = len(g), len(g[0])
+    w = [[0] * (m + 1) for _ in range(n + 1)]
+    for p in range(n):
+        row, up, x = w[p + 1], w[p], g[p]
+        for q in range(m):
+            row[q + 1] = max(up[q] + x[q], up[q + 1], row[q])
+    pairs, p, q = [], n, m
+    while p and q:
+        if g[p - 1][q - 1] and w[p][q] == w[p - 1][q - 1] + g[p - 1][q - 1]:
+            p, q = p - 1, q - 1
+            pairs.append((p, q))
+        elif w[p][q] == w[p - 1][q]:
+            p -= 1
+        else:
+            q -= 1
+    return w[-1][-1], pairs
+
+
+def long_matching(gains: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """matching() of g[p][q] = gains[x[p], y[q]], row by row, with two bits kept of each cell."""
+    up = np.zeros(len(y) + 1, np.int64)
+    took, above = [], []
+    for p in x:
+        g = gains[p, y]
+        with_ = up[:-1] + g
+        row = np.concatenate((up[:1], np.maximum.accumulate(np.maximum(with_, up[1:]))))
+        took.append(np.packbits((g > 0) & (row[1:] == with_)))
+        above.append(np.packbits(row[1:] == up[1:]))
+        up = row
+    pairs, p, q = [], len(x), len(y)
+    while p and q:
+        k, bit = (q - 1) >> 3, 128 >> ((q - 1) & 7)
+        if took[p - 1][k] & bit:
+            p, q = p - 1, q - 1
+            pairs.append((p, q))
+        elif above[p - 1][k] & bit:
+            p -= 1
+        else:
+            q -= 1
+    return int(up[-1]), pairs
+
+
 def align(a: list[Node], b: list[Node], cfg: WrapperConfig) -> dict[int, int]:
-    """Simple tree matching: for nodes of a the matching nodes of b."""
-    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    """Simple tree matching: for nodes of a the matching nodes of b.
 
-    def weight(i: int, j: int, depth: int) -> int:
-        if a[i].label != b[j].label:
-            return 0
-        if (i, j) not in memo:
-            memo[i, j] = children(a[i].kids, b[j].kids, depth) if depth < cfg.depth else (0, [])
-        return 1 + memo[i, j][0]
+    What two subtrees gain depends on their shapes alone, so it is found once per pair of shapes, the inner ones first.
+    """
+    ids: dict[tuple, int] = {}
+    sa, sb = shapes(a, ids), shapes(b, ids)
+    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
-    def children(x: list[int], y: list[int], depth: int) -> tuple[int, list[tuple[int, int]]]:
+    def solve(i: int, j: int) -> list[tuple[int, int]]:
+        """Pairs of nodes that must be solved before i and j; none if they are solved now."""
+        x, y = a[i].kids, b[j].kids
         if not x or not y:
-            return 0, []
-        if len(x) * len(y) > cfg.cells:
-            # too many to try all: equal labels from both ends, then in order
-            return ordered(x, y, depth)
-        w = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        got = [[weight(i, j, depth + 1) for j in y] for i in x]
-        for p in range(len(x)):
-            row, up, g = w[p + 1], w[p], got[p]
-            for q in range(len(y)):
-                best = up[q] + g[q]
-                row[q + 1] = max(best, up[q + 1], row[q])
-        pairs, p, q = [], len(x), len(y)
-        while p and q:
-            if got[p - 1][q - 1] and w[p][q] == w[p - 1][q - 1] + got[p - 1][q - 1]:
-                p, q = p - 1, q - 1
-                pairs.append((x[p], y[q]))
-            elif w[p][q] == w[p - 1][q]:
-                p -= 1
-            else:
-                q -= 1
-        return w[-1][-1], pairs
-
-    def ordered(x: list[int], y: list[int], depth: int) -> tuple[int, list[tuple[int, int]]]:
-        pairs, k, end = [], 0, 0
-        least = min(len(x), len(y))
-        while k < least and a[x[k]].label == b[y[k]].label:
-            pairs.append((x[k], y[k]))
-            k += 1
-        while end < least - k and a[x[-1 - end]].label == b[y[-1 - end]].label:
-            end += 1
-            pairs.append((x[-end], y[-end]))
-        q = k
-        for i in x[k : len(x) - end]:
-            for step in range(q, min(q + 8, len(y) - end)):
-                if a[i].label == b[y[step]].label:
-                    pairs.append((i, y[step]))
-                    q = step + 1
-                    break
-        return sum(weight(i, j, depth + 1) for i, j in pairs), pairs
-
-    out = {0: 0}
-    memo[0, 0] = children(a[0].kids, b[0].kids, 0)
+            memo[sa[i], sb[j]] = 0, []
+            return []
+        xs, ys = {sa[k]: k for k in x}, {sb[k]: k for k in y}
+        by: dict[str, list[int]] = {}
+        for k in ys.values():
+            by.setdefault(b[k].label, []).append(k)
+        met = [(k, r) for k in xs.values() for r in by.get(a[k].label, ())]
+        if missing := [(k, r) for k, r in met if (sa[k], sb[r]) not in memo]:
+            return missing
+        gain = {(sa[k], sb[r]): 1 + memo[sa[k], sb[r]][0] for k, r in met}
+        if len(x) * len(y) <= cfg.cells:
+            memo[sa[i], sb[j]] = matching([[gain.get((sa[k], sb[r]), 0) for r in y] for k in x])
+        else:  # the same, faster for long lists
+            px, py = {s: n for n, s in enumerate(xs)}, {s: n for n, s in enumerate(ys)}
+            gains = np.zeros((len(px), len(py)), np.int64)
+            for (s, t), v in gain.items():
+                gains[px[s], py[t]] = v
+            memo[sa[i], sb[j]] = long_matching(gains, np.array([px[sa[k]] for k in x]), np.array([py[sb[k]] for k in y]))
+        return []
+
+    out, pairs = {0: 0}, [(0, 0)]
     todo = [(0, 0)]
     while todo:
-        for i, j in memo.get(todo.pop(), (0, []))[1]:
-            out[i] = j
-            todo.append((i, j))
+        if (sa[todo[-1][0]], sb[todo[-1][1]]) in memo:
+            todo.pop()
+        elif missing := solve(*todo[-1]):
+            todo += missing
+        else:
+            todo.pop()
+    while pairs:
+        i, j = pairs.pop()
+        for p, q in memo[sa[i], sb[j]][1]:
+            i2, j2 = a[i].kids[p], b[j].kids[q]
+            out[i2] = j2
+            pairs.append((i2, j2))
     return out
 
 
