@@ -52,6 +52,14 @@ def test_without_article(spark):
     assert one(spark, page) == "Title here\nLong running text of the page, first part.\nAnd the second part of it."
 
 
+def test_parts_beside_the_densest_region(spark):
+    long = "Long running text of the page that goes on and on, sentence by sentence. "
+    page = f"""<body><div class=nav><p>Menu</p></div><div class=top><h1><a href=/x>Headline</a></h1></div><div class=lead>The lead.</div>
+    <div><a href=/a>Home</a> | <a href=/b>About</a></div><div class=body><p>{long * 9}</p><p>See <a href=/c>this</a>.</p><ul><li><a href=/d>Source</a></li></ul></div>
+    <div class=more><p>The last section.</p></div><div class=related><p>Other</p></div></body>"""
+    assert one(spark, page).split("\n") == ["Headline", "The lead.", (long * 9).strip(), "See this.", "Source", "The last section."]
+
+
 def test_constant_nodes_become_template(spark):
     rows = [(i, "https://x.net:80/p?q", f"<div><div><p>Shop of the year</p></div><div><p>Text number {i} is about {i * 7} things.</p><p>Its second line, {i}.</p></div></div>", None, None) for i in range(12)]
     got = texts(spark, rows)

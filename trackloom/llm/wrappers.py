@@ -8,7 +8,8 @@ constant (template) and what varies (content slots). They are combined per task
 they are shuffled, so a host with a third of all pages is counted like any other; only
 the reference tree, one page, is sent along with the pages. A text block of a page is
 dropped if its node is template or lies in a region whose role is known from its tag or
-class; of what is left the region with the main text is kept.
+class. What is left is kept: the text in article or main elements if there are any, or else
+every block with words outside links, every heading, and the whole of the densest region.
 
 Defined cases: null html gives an empty text; pages without a url share one nameless
 host; copies of a page are extracted one by one; an empty table gives an empty result;
@@ -54,6 +55,7 @@ OFF_WORDS = set(
 HEADER_WORDS = {"header", "masthead"}
 OFF_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS = {"article", "main"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S
@@ -62,6 +64,7 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BLANK = re.compile(r"\s+")
+_WORD = re.compile(r"\w")
 
 
 @dataclass(frozen=True)
@@ -313,7 +316,7 @@ def blocks(nodes: list[Node], texts: list[tuple[int, str]], template: set[int])
         # an element inside another main element belongs to that one
         allowed = [main[i] >= 0 and live.get(main[i], 0) > 0 for i in range(len(nodes))]
     else:
-        allowed = _densest(nodes, texts, off)
+        allowed = [x or y for x, y in zip(_densest(nodes, texts, off), _running(nodes, texts, off), strict=True)]
     out, now = [], []
     for i, t in [*texts, (0, "")]:
         if t == "":
@@ -359,6 +362,18 @@ def _densest(nodes: list[Node], texts: list[tuple[int, str]], off: list[bool]) -
     return inside
 
 
+def _running(nodes: list[Node], texts: list[tuple[int, str]], off: list[bool]) -> list[bool]:
+    """Without article or main elements: nodes in blocks with words outside links, and in headings."""
+    block = list(range(len(nodes)))  # the nearest element around a node that is not inline
+    linked = [False] * len(nodes)
+    for i in range(1, len(nodes)):
+        if nodes[i].tag in INLINE:
+            p = nodes[i].parent
+            block[i], linked[i] = block[p], linked[p] or nodes[i].tag == "a"
+    prose = {block[i] for i, t in texts if not off[i] and (not linked[i] or nodes[block[i]].tag in HEADINGS) and _WORD.search(t)}
+    return [block[i] in prose for i in range(len(nodes))]
+
+
 class References:
     """Parsed reference trees of the hosts lately met by this task."""
 
