@@ -131,6 +131,17 @@ def test_licences(spark, text, licence, notices):
     assert (r.licence, r.notices) == (licence, notices)
 
 
+def test_whole_texts_and_spelled_notices(spark):
+    names = sorted(licences.TEXTS)
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(names)
+    rows = [(k, "  " + licences.TEXTS[n][1].replace("License", "Licence") + "\n") for k, n in enumerate(names)]
+    rows += [(100, "This work is in the public-domain."), (101, "This work is in\tthe public  domain"), (102, licences.TEXTS["Unlicense"][1].split("In jurisdictions")[0])]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert [got[k].licence for k in range(len(names))] == names
+    assert got[100].notices == got[101].notices == "CC0-1.0"
+    assert got[102].licence == ""
+
+
 def test_licence_query(spark):
     known = {t for _, ts in licences.NOTICES.values() for t in ts}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -4,7 +4,7 @@ Texts are brought to a canonical form: lower case, copyright lines and the like
 equivalent spellings made equal, everything but letters and digits reduced to single
 blanks. The digest of the whole canonical text is joined by hash with the digests of known
 licence texts, and the digest of each line with those of known one-line notices. The table
-of known digests has a few dozen rows and is broadcast. Column functions only.
+of known digests has 32 rows and is broadcast. Column functions only.
 
 Defined cases: null text is empty and matches nothing; a text or line that is empty in its
 canonical form matches nothing; repeated rows are scanned one by one; an empty table gives
@@ -13,6 +13,8 @@ an empty result; clashing column names are replaced.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +67,44 @@ ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
     ),
     "Unlicense": (
         "public",
-        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
-compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
-non-commercial, and by any means.""",
+        """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of
+our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
     ),
 }
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE."""
+_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+TEXTS["BSD-2-Clause"] = ("permissive", "BSD 2-Clause License\n" + _BSD.format(third=""))
+TEXTS["BSD-3-Clause"] = ("permissive", "BSD 3-Clause License\n" + _BSD.format(third=_THIRD))
+# The terms of the long licences whose texts, line by line as published, lie in licence_texts.
+LONG = {
+    "Apache-2.0": "permissive", "BSD-3-Clause-UC": "permissive", "CC0-1.0": "public", "GPL-2.0": "copyleft",
+    "GPL-3.0": "copyleft", "LGPL-2.1": "copyleft", "LGPL-3.0": "copyleft", "MPL-2.0": "copyleft",
+}
+for _name, _terms in LONG.items():
+    TEXTS[_name] = (_terms, (Path(__file__).parent / "licence_texts" / f"{_name}.txt").read_text(encoding="utf-8"))
 # Pairs of equivalent spellings, the second one canonical.
 SPELLINGS = [
     ("licenc", "licens"), ("sub-licens", "sublicens"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"),
@@ -78,7 +113,8 @@ SPELLINGS = [
 ]
 #: Lines that name a holder or a year.
 COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:copyright\b|\(c\)|\x{00a9})[^\n]*$"
-HINT = r"(?i)licen[cs]|permission|copyright|rights|public domain|cc0"
+#: Held by every known text or notice before it is made canonical, whatever stands between two words.
+HINT = r"(?i)licen[cs]|permission|copyright|rights|public[^a-zA-Z0-9]+domain|cc0"
 
 
 def canonical(text: Column) -> Column:
