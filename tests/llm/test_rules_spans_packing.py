@@ -250,3 +250,24 @@ def test_bin_completion_near_optimal():
         assert want <= got <= want + 1
         worse += got > want
     assert worse <= 3
+
+
+def test_bin_completion_is_optimal_on_small_tables():
+    import random
+
+    r = random.Random(11)
+    for _ in range(150):
+        items = sorted((r.randint(3, 30) for _ in range(9)), reverse=True)
+        plan = packing.plan(dict(Counter(items)), 40, 2000)
+        assert Counter(x for shape, t in plan for x in shape * t) == Counter(items)
+        assert all(sum(shape) <= 40 for shape, _ in plan)
+        assert sum(t for _, t in plan) == brute_bins(items, 40)
+
+
+def test_fillings_waste_least_first_without_a_step_limit():
+    h = packing.Histogram({x: 1 for x in range(301, 600, 2)} | {2: 1}, 2048)  # odd lengths: six of them make an even sum
+    first = next(packing.fillings(h, 1999, 599))
+    assert sum(first) == 1999 and all(first.count(x) <= h.n[x] for x in first)
+    h = packing.Histogram({7: 3, 5: 2, 4: 1}, 40)
+    got = [f for f in packing.fillings(h, 13, 40) if f]
+    assert got[0] in ([5, 4, 4], [7, 5]) and sum(got[0]) == 12

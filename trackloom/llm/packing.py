@@ -4,11 +4,11 @@ Texts are tokenised in parallel, word by word with a cache, and cut into pieces.
 Packing needs only how many pieces there are of each length, a table of at most
 ``size`` rows at any corpus size. On that histogram the driver runs bin
 completion: the largest remaining piece opens a sequence, the undominated
-fillings of the room left beside it are enumerated depth first, branches that
-cannot waste less than the best filling are pruned, and the best-fit filling is
-the first incumbent. A filling is applied to as many sequences at once as the
-counts allow. The whole plan is compared with plain best-fit decreasing and the
-better one is kept. Pieces then take the places of their length by rank; ranks
+fillings of the room left beside it are tried in order of their waste, and a
+branch is cut where its waste or its lower bound cannot beat the best plan yet.
+Plain best-fit decreasing, or least waste by sequence, is the first plan. A filling is applied to as many
+sequences at once as the counts allow, or to one. The search between sequences
+ends after ``nodes`` steps. Pieces then take the places of their length by rank; ranks
 come from counts per partition, so a length that a third of all pieces share is
 dealt out like any other.
 
@@ -25,6 +25,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -40,7 +41,8 @@ PIECES = "row_id long, doc_id long, piece int, start long, length int, ids_crc32
 
 @dataclass(frozen=True)
 class PackConfig:
-    """size: tokens in a sequence; end_id: ends every document; nodes: search steps for one sequence shape."""
+    """size: tokens in a sequence; end_id: ends every document; nodes: search steps for one sequence of the
+    first plan, and between sequences beyond it."""
 
     size: int = 2048
     end_id: int = 0
@@ -253,12 +255,15 @@ def best_fill(h: Histogram, room: int, taken: dict[int, int]) -> list[int]:
 def completion(h: Histogram, room: int, nodes: int) -> list[int]:
     """The filling of room that wastes least, of those seen within so many nodes.
 
+    A quick one for the first whole plans; ``fillings`` has no limit.
+
     Depth first over lengths in falling order, taking a length before leaving it
     out. A filling that leaves out a length which would still fit is dominated, so
     once a length is left out the waste must end below it. A branch ends where its
     waste bound cannot beat the incumbent, which is the best-fit filling at first.
     """
     best = best_fill(h, room, {})
+    sums = list(accumulate(k * v for k, v in enumerate(h.n)))
     waste, left = room - sum(best), nodes
 
     def search(room: int, top: int, bound: int, taken: list[int], used: dict[int, int]) -> None:
@@ -270,6 +275,9 @@ def completion(h: Histogram, room: int, nodes: int) -> list[int]:
             if room < min(waste, bound):
                 best, waste = list(taken), room
             return
+        # all pieces of x and shorter together, less those taken of x, must bring the waste low enough
+        if room - (sums[x] - x * used.get(x, 0)) >= min(waste, bound):
+            return
         left -= 1
         if left < 0 or not waste:
             return
@@ -287,8 +295,55 @@ def completion(h: Histogram, room: int, nodes: int) -> list[int]:
     return best
 
 
+def fillings(h: Histogram, room: int, top: int) -> Iterator[list[int] | None]:
+    """The undominated fillings of room with lengths of at most top, least waste first, then longest pieces first.
+
+    A branch is entered only if the shorter lengths can bring its sum to just the waste aimed at, by the sums
+    that they reach (one bit each), so the first filling wastes least. None stands for a filling that leaves
+    room for a length it leaves out: it is dominated.
+    """
+    lens = [x for x in range(min(room, top), 0, -1) if h.n[x]]
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for x in reversed(lens):
+        r, left, k = reach[-1], min(h.n[x], room // x), 1
+        while left:
+            r |= (r << min(k, left) * x) & mask
+            left, k = left - min(k, left), 2 * k
+        reach.append(r)
+    reach.reverse()  # reach[i]: sums of lens[i:]
+
+    def rest(i: int, want: int) -> Iterator[list[int]]:
+        if not want:
+            yield []
+            return
+        for j in range(i, len(lens)):
+            if not reach[j] >> want & 1:
+                return
+            x = lens[j]
+            for c in range(min(h.n[x], want // x), 0, -1):
+                if reach[j + 1] >> (want - c * x) & 1:
+                    for more in rest(j + 1, want - c * x):
+                        yield [x] * c + more
+
+    for want in range(room, -1, -1):
+        if reach[0] >> want & 1:
+            for out in rest(0, want):
+                fits = (x for x in lens if x <= room - want)
+                yield None if any(out.count(x) < h.n[x] for x in fits) else out
+
+
+def bound_below(n: list[int], size: int) -> int:
+    """Sequences that pieces n[length] need at least: by their sum, and one for each of over half a sequence."""
+    return max(-(-sum(k * v for k, v in enumerate(n)) // size), sum(n[size // 2 + 1 :]))
+
+
 def plan(counts: dict[int, int], size: int, nodes: int) -> list[tuple[list[int], int]]:
-    """(lengths of a sequence in order, how many such sequences), for all pieces."""
+    """(lengths of a sequence in order, how many such sequences), for all pieces.
+
+    Depth first over the fillings beside the largest piece left, each as often as the counts allow and then
+    once. A branch ends where its sequences and the lower bound for what is left cannot beat the best plan
+    yet; the search ends at the lower bound, or after ``nodes`` steps beyond the first whole plan.
+    """
 
     def build(fill) -> list[tuple[list[int], int]]:
         h, out = Histogram(counts, size), []
@@ -297,22 +352,78 @@ def plan(counts: dict[int, int], size: int, nodes: int) -> list[tuple[list[int],
             h.n[top] -= 1
             shape = [top, *fill(h, size - top)]
             h.n[top] += 1
-            need: dict[int, int] = {}
-            for x in shape:
-                need[x] = need.get(x, 0) + 1
-            times = min(h.n[x] // k for x, k in need.items())
-            for x, k in need.items():
-                h.n[x] -= k * times
-            out.append((shape, times))
+            out.append((shape, _apply(h, shape)))
             top = h.fit(top)
         return out
 
-    greedy = build(lambda h, room: best_fill(h, room, {}))
-    least = -(-sum(k * v for k, v in counts.items()) // size)
-    if sum(t for _, t in greedy) <= least:
-        return greedy
-    bound = build(lambda h, room: completion(h, room, nodes))
-    return min((bound, greedy), key=lambda p: sum(t for _, t in p))
+    least = bound_below(Histogram(counts, size).n, size)
+    best = build(lambda h, room: best_fill(h, room, {}))
+    used = sum(t for _, t in best)
+    if used > least:
+        second = build(lambda h, room: completion(h, room, nodes))
+        if sum(t for _, t in second) < used:
+            best, used = second, sum(t for _, t in second)
+
+    h = Histogram(counts, size)
+    now: list[tuple[list[int], int]] = []
+    stack: list[Iterator[tuple[list[int], int] | None]] = [_choices(h, size)]
+    total, whole = 0, False
+    while stack and used > least and nodes > 0:
+        nodes -= whole
+        if len(now) == len(stack):  # undo what this level tried before
+            shape, times = now.pop()
+            total -= times
+            for x in shape:
+                h.n[x] += times
+        choice = next(stack[-1], ())
+        if choice == ():
+            stack.pop()
+            continue
+        if choice is None:
+            continue
+        shape, times = choice
+        now.append(choice)
+        total += times
+        for x in shape:
+            h.n[x] -= times
+        if not any(h.n):
+            whole = True
+            if total < used:
+                best, used = list(now), total
+        elif total + bound_below(h.n, size) < used:
+            stack.append(_choices(h, size))
+        else:
+            whole = True  # cut: as far as this plan goes
+    return best
+
+
+def _apply(h: Histogram, shape: list[int]) -> int:
+    """Take shape from h as often as it goes."""
+    times = min(h.n[x] // shape.count(x) for x in set(shape))
+    for x in shape:
+        h.n[x] -= times
+    return times
+
+
+def _choices(h: Histogram, size: int) -> Iterator[tuple[list[int], int] | None]:
+    """Sequences with the largest length of h, as often as they go and once; h is as now whenever one is asked for."""
+    top = max(x for x in range(size + 1) if h.n[x])
+    h.n[top] -= 1
+    ways = fillings(h, size - top, top)
+    while True:
+        fill = next(ways, ())
+        h.n[top] += 1
+        if fill == ():
+            return
+        if fill is None:
+            yield None
+        else:
+            shape = [top, *fill]
+            times = min(h.n[x] // shape.count(x) for x in set(shape))
+            yield shape, times
+            if times > 1:
+                yield shape, 1
+        h.n[top] -= 1
 
 
 def places(shapes: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
