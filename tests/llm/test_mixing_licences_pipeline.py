@@ -102,6 +102,16 @@ def test_realised_shares_meet_the_targets(spark):
     assert sorted(got) == sorted(mixing.resample(docs.repartition(3), labels, MixConfig(targets={"clean": 0.96, "junk": 0.03, "toxic": 0.01}, most=1.0)).collect())
 
 
+def test_words_that_share_a_slot_all_count(spark):
+    rows = [(i, f"good{i % 6} text" if i % 2 else f"bad{i % 6} text") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    for slots in (2, 4, 1 << 12):
+        assert sum(w != 0 for w in mixing.fit_words(docs, labels, MixConfig(slots=slots), "text").words) == 6
+    out = mixing.mix(docs, labels, MixConfig(slots=2)).collect()
+    assert all((r.posteriors[0] > 0.9) == ("good" in r.text) for r in out)
+
+
 def test_copies(spark):
     cases = [(0.2, 0.1, 1), (0.2, 0.3, 0), (0.96, 0.99, 1), (0.94, 0.99, 0), (2.5, 0.4, 3), (2.5, 0.6, 2), (0.0, 0.0, 0), (1.0, 0.0, 1)]
     df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, rate double, draw double, want int")

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ ADDED = ["n_words", "posteriors", "rate"]
 class MixConfig:
     """targets: share of all tokens that each domain shall have, in the order of the domains.
 
-    sample: labelled rows to fit on; words: how many count, in a table of ``slots``; least, clear: documents with a word and chi-square
+    sample: labelled rows to fit on; words: how many count, in a table of ``slots`` or more; least, clear: documents with a word and chi-square
     of its spread over the domains before it counts; smooth: documents added to each domain; most: greatest rate;
     pull: weight of staying at a rate of 1, in shares of all tokens; steps: most gradient steps; tolerance: relative error of the totals to stop at;
     sure: fractional part of a rate that counts as a whole copy when rows are drawn.
@@ -101,12 +102,12 @@ def fit_words(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str)
     off = sum((F.pow(F.col(f"n{i}") - F.col("n") * (k / total), 2) / (F.col("n") * (k / total)) for i, k in enumerate(n) if k), F.lit(0.0))
     clear = counts.withColumn("off", off).filter((F.col("n") >= cfg.least) & (F.col("off") >= cfg.clear))
     best = clear.orderBy(F.desc("off"), "w").limit(cfg.words).collect()
-    words, ratios = [0] * cfg.slots, [[0.0] * cfg.slots for _ in names]
+    # the least table of cfg.slots or more in which no two words share a slot
+    size = next(m for m in count(cfg.slots) if len({r["w"] % m for r in best}) == len(best))
+    words, ratios = [0] * size, [[0.0] * size for _ in names]
     prior = [math.log((k + 0.5) / (total + 0.5 * len(n))) for k in n]
     for r in best:
-        slot = r["w"] % cfg.slots
-        if words[slot]:
-            continue
+        slot = r["w"] % size
         words[slot] = r["w"]
         for i, k in enumerate(n):
             chance = (r[f"n{i}"] + cfg.smooth * r["n"] / total) / (k + cfg.smooth)
@@ -119,8 +120,9 @@ def fit_words(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str)
 def posteriors(words: Column, evidence: Evidence, cfg: MixConfig) -> Column:
     """array<double>: the posterior of each domain, given the distinct word hashes."""
     table = constant(evidence.words, "bigint")
+    size = F.lit(len(evidence.words))
     slots = F.filter(
-        F.transform(words, lambda w: F.when(F.get(table, F.pmod(w, F.lit(cfg.slots)).cast("int")) == w, F.pmod(w, F.lit(cfg.slots)).cast("int"))),
+        F.transform(words, lambda w: F.when(F.get(table, F.pmod(w, size).cast("int")) == w, F.pmod(w, size).cast("int"))),
         lambda s: s.isNotNull(),
     )
 
