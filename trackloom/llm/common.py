@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,17 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@cache
+def libc() -> ctypes.CDLL | None:
+    """The C library if it is glibc, told to hand freed arrays back to the system instead of keeping them for later."""
+    try:
+        lib = ctypes.CDLL(None)
+        lib.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: larger blocks are mapped, so freeing them returns them
+        lib.malloc_trim(0)
+    except (AttributeError, OSError):
+        return None
+    return lib
+
+
 def release() -> None:
     """Give memory that this Python worker has freed back to the system; workers live on between stages."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
+    if lib := libc():
+        lib.malloc_trim(0)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, which bounds what a Python worker holds at a time."""
+    libc()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
@@ -55,7 +67,10 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage and to be read more than once."""
+    """Tables written to the shared folder, to cut lineage and to be read more than once.
+
+    The folder goes when its tables are dropped or, with those that the result still reads, when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
@@ -68,6 +83,9 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # for drop()
+        if self.n == 1:
+            fs, p = self._file(self.root)
+            fs.deleteOnExit(p)
         # lets Spark delete the shuffle files of what has been written
         self.spark._jvm.System.gc()
         return out
@@ -76,9 +94,13 @@ class Scratch:
         """Delete a saved table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._file(path)
+            fs.delete(p, True)
+
+    def _file(self, path: str):
+        """The file system of a path, and the path for it."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def parts(spark: SparkSession, df: DataFrame, per: int = 1) -> int:
@@ -86,11 +108,35 @@ def parts(spark: SparkSession, df: DataFrame, per: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions() * per)
 
 
+#: A key with more than this part of all rows is joined by broadcast; there are fewer than so many such keys.
+COMMON = 1000
+
+
+def join_spread(rows: DataFrame, one: DataFrame, on: list[str], common: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with one(on, …), a row per key, without gathering the rows of the keys in ``common`` in one task.
+
+    common(on): the keys that more than one row in COMMON has, so there are at most COMMON of them.
+    """
+    few = F.broadcast(common)
+    often = rows.join(few, on, "left_semi").join(F.broadcast(one.join(few, on, "left_semi")), on, how)
+    return often.unionByName(rows.join(few, on, "left_anti").join(one, on, how))
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row although the lambda uses it many times."""
     return F.transform(F.array(value), body)[0]
 
 
+def packed_up(df: DataFrame, *named: str) -> DataFrame:
+    """All columns of df as one struct ``_in``, beside those that an operator needs: no name of theirs can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in"), *[F.col(f"`{c}`") for c in named])
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that packed_up() put away, those in ``new`` replaced."""
+    return df.select(*[new.get(c, F.col("_in")[c]).alias(c) for c in columns])
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns of these names (in any case), which an operator is about to add."""
     low = {n.lower() for n in names}
