@@ -61,7 +61,7 @@ def test_odd_texts(spark):
 def test_kept_text(spark):
     p = "".join(f"w{i} " for i in range(80))
     df = spark.createDataFrame([(1, "Aé " + p + "Z"), (2, p + "B")], "doc_id long, text string")
-    got = {r.doc_id: bytes(r.kept_text).decode() for r in suffixes.remove_repeats(df, with_text=True).collect()}
+    got = {r.doc_id: bytes(r.kept_text).decode() for r in suffixes.remove_repeats(df, keep_text=True).collect()}
     assert got == {1: "Aé Z", 2: "B"}
 
 
@@ -75,3 +75,38 @@ def test_loser_tree_merges_front_coded_runs():
         assert [x[1] for _, x in got] == whole
         for (_, a), (k, b) in zip(got, got[1:], strict=False):
             assert k == suffixes.shared(a[1], b[1], 0)
+
+
+def test_null_and_repeated_ids_still_meet(spark):
+    passage = "".join(random.Random(4).choice("abcdef ") for _ in range(402))
+    rows = [(None, passage + "1234"), (2, passage + "5678"), (2, "x" * 300), (None, "y" * 250 + "x" * 199)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(-1 if r[0] is None else r[0], *r[1:]) for r in suffixes.remove_repeats(df).collect()]
+    assert sorted(got) == plain([(-1 if d is None else d, t) for d, t in rows], 200)
+
+
+def test_texts_with_the_same_number_are_numbered_anew(spark):
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdef ") for _ in range(300))
+    rows = [(i, f"{i} " + passage if i % 2 else f"{i} alone") for i in range(14)]
+    assert result(spark, rows, SuffixConfig(id_bits=8)) == plain(rows, 200)
+
+
+def test_ranges_follow_the_bytes_and_split_common_heads():
+    first, width = suffixes.ranges({1: 10, 2: 10, 5: 1000, 9: 30, 65535: 1}, 10)
+    assert width[5] == 10 and width[9] == width[1] == 1
+    assert first[1] == first[2] < first[5] and first[9] >= first[5] + 10 and (first[6:] >= first[5] + 10).all()
+    assert (suffixes.ranges({}, 4)[1] == 1).all()
+
+
+def test_runs_of_a_task_are_cut_by_size(spark):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdef ") for _ in range(500))
+    rows = [(i, str(i) * 3 + passage[i : i + 400]) for i in range(60)]
+    assert result(spark, rows, SuffixConfig(run=4000)) == plain(rows, 200)
+
+
+def test_group_numbers_are_not_taken_for_bytes():
+    # two suffixes that share nothing, the second in group 2 after byte 0, the first in group 1 after byte 1
+    items = [(0, (0, b"\1" * 200, b"\1", 1, 0, 2)), (0, (0, b"\2" * 200, b"\0", 2, 0, 2))]
+    assert all(len(x) == 0 for x in suffixes.repeated_windows(items, SuffixConfig()))

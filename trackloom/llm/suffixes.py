@@ -6,8 +6,9 @@ window of ``length`` bytes elects one of its positions, the one whose next ``gra
 bytes hash lowest, and equal windows elect the same one. Only suffixes at elected
 positions are sorted, and of these only the ones whose gram also stands elsewhere.
 
-Each task sorts its suffixes and front-codes the run: what a suffix shares with its
-forerunner is not sent. The runs of a partition are merged by a loser tree that keeps,
+Suffixes are dealt to partitions by ranges of their first two bytes, cut by the counts of
+all of them. Each task sorts its suffixes and front-codes the run: what a suffix shares with
+its forerunner is not sent. The runs of a partition are merged by a loser tree that keeps,
 for every contender, how many bytes it shares with the last winner; contenders that
 differ in this number are ordered by it alone, and the others are compared only beyond
 it. The merge yields the common prefix of neighbours, from which follows, together with
@@ -19,7 +20,9 @@ combines before the shuffle.
 
 Defined cases: null is the empty text; texts shorter than ``length`` lose nothing; a row
 that repeats a doc_id is one more text, so both rows of a repeated document lose all of
-it; an empty table gives an empty result.
+it; a null doc_id is one like any other; texts of any length are worked in pieces; of equal
+grams in a window the leftmost is elected; an empty table gives an empty result; other
+columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts, sliced
+from .common import COMMON, Scratch, join_spread, parts, sliced
 from .shingles import mix, prefix_sums, range_hash
 
 HEAD = struct.Struct("<BBBBqI")  # shared bytes, further bytes, bytes before, windows - 1, text, first window
@@ -43,11 +47,14 @@ PIECE = 1 << 20
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """length: bytes of a repeated string; gram: bytes that elect a position; hot: texts with a gram beyond which its windows are counted by content."""
+    """length: bytes of a repeated string; gram: bytes that elect a position; hot: texts with a gram beyond which its windows are counted by content;
+    run: bytes of suffixes that a task sorts to one run; id_bits: width of the texts' numbers, less only in tests."""
 
     length: int = 200
     gram: int = 64
     hot: int = 50_000
+    run: int = 16 << 20
+    id_bits: int = 64
 
 
 def elected(data: np.ndarray, cfg: SuffixConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -71,26 +78,51 @@ def elected(data: np.ndarray, cfg: SuffixConfig) -> Iterator[tuple[np.ndarray, n
 
 
 def gram_rows(docs: DataFrame, cfg: SuffixConfig) -> DataFrame:
-    """(gram, text_id, twice): each distinct gram hash elected in a text, and whether the text elects it twice."""
+    """(gram, text_id, twice, head): each distinct gram hash elected in a text, whether the text elects it twice, its first two bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in sliced(batches):
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if key in seen:
                     continue
                 seen.add(key)
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                got = [x[0] for x in elected(data, cfg)]
+                got = [(x[0], heads(data, x[1])) for x in elected(data, cfg)]
                 if got:
-                    g, n = np.unique(np.concatenate(got), return_counts=True)
-                    for c, v in zip(out, (g.view(np.int64), np.full(len(g), key, np.int64), n > 1), strict=True):
+                    g, at, n = np.unique(np.concatenate([x[0] for x in got]), return_index=True, return_counts=True)
+                    head = np.concatenate([x[1] for x in got])[at]
+                    for c, v in zip(out, (g.view(np.int64), np.full(len(g), key, np.int64), n > 1, head), strict=True):
                         c.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["gram", "text_id", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["gram", "text_id", "twice", "head"])
 
-    return docs.select("text_id", F.col("text").cast("binary").alias("b")).mapInArrow(run, "gram long, text_id long, twice boolean")
+    return docs.select("text_id", F.col("text").cast("binary").alias("b")).mapInArrow(run, "gram long, text_id long, twice boolean, head int")
+
+
+def heads(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The first two bytes of the suffixes at pos, as a number in their order."""
+    return data[pos].astype(np.int32) << 8 | data[pos + 1]
+
+
+def ranges(weights: dict[int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each head the first partition of its suffixes and in how many they are, about n partitions of equal weight in all.
+
+    Partitions follow the order of the heads. A head that fills several is split among them by its grams.
+    """
+    aim = max(1, -(-sum(weights.values()) // n))
+    first, width = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+    part, held = 0, 0
+    for head in range(1 << 16):
+        w = weights.get(head, 0)
+        if held and held + w > aim:
+            part, held = part + 1, 0
+        first[head], width[head] = part, max(1, -(-w // aim))
+        held += w
+        if width[head] > 1:
+            part, held = part + int(width[head]), 0
+    return first, width
 
 
 def shared(a: bytes, b: bytes, at: int) -> int:
@@ -187,37 +219,54 @@ class LoserTree:
             self.top = i
 
 
-def runs(found: DataFrame, cfg: SuffixConfig, n_parts: int) -> DataFrame:
-    """(part, run) and, for hot grams, (window, text_id, at): the suffixes to merge, the windows to count."""
+def runs(found: DataFrame, cfg: SuffixConfig, dealt: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(part, run) and, for hot grams, (window, text_id, at): the suffixes to merge, the windows to count.
+
+    dealt: ranges(). A task's suffixes of a partition are one run, or a few of them if they are many.
+    """
+    shared_ranges = found.sparkSession.sparkContext.broadcast(dealt)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         names = ["part", "run", "window", "text_id", "at"]
+        start, width = shared_ranges.value
+        by: dict[int, list] = {}
+        held, done = 0, set()
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        def sorted_runs() -> Iterator[pa.RecordBatch]:
+            for p in sorted(by):
+                yield batch([(p, coded(sorted(by.pop(p), key=lambda x: x[0])), None, None, None)])
+
         for b in sliced(batches, 4096):
-            by: dict[int, list] = {}
             wins: list[tuple[bytes, int, int]] = []
-            done = set()
             for key, text, grams, hot in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
                 if key in done:
                     continue
                 done.add(key)
                 raw = text.as_py()
                 want, often = (np.sort(g.values.to_numpy(zero_copy_only=False)) for g in (grams, hot))
-                for h, pos, first, last in elected(np.frombuffer(raw, np.uint8), cfg):
+                data = np.frombuffer(raw, np.uint8)
+                for h, pos, first, last in elected(data, cfg):
                     hs = h.view(np.int64)
                     pick = np.flatnonzero(np.isin(hs, want))
-                    part = (mix(h[pick]) % np.uint64(n_parts)).astype(np.int64).tolist()
+                    head = heads(data, pos[pick])
+                    part = (start[head] + (mix(h[pick]) % width[head].astype(np.uint64)).astype(np.int64)).tolist()
                     is_hot = np.isin(hs[pick], often).tolist()
                     for p, o, a, s, e in zip(part, is_hot, pos[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True):
                         if o:
                             wins += [(hashlib.blake2b(raw[w : w + cfg.length], digest_size=16).digest(), key, w) for w in range(s, e + 1)]
                         else:
                             by.setdefault(p, []).append((raw[a : e + cfg.length], raw[s:a], key, s, e - s + 1))
-            for p in by:
-                by[p].sort(key=lambda x: x[0])
-            rows = [(p, coded(r), None, None, None) for p, r in by.items()] + [(None, None, *w) for w in wins]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                            held += e + cfg.length - s
+                if held > cfg.run:
+                    yield from sorted_runs()
+                    held = 0
+            if wins:
+                yield batch([(None, None, *w) for w in wins])
+        yield from sorted_runs()
 
     cols = found.select("text_id", F.col("text").cast("binary").alias("b"), "grams", "hot")
     return cols.mapInArrow(work, "part int, run binary, window binary, text_id long, at long")
@@ -253,7 +302,8 @@ def repeated_windows(items: list[tuple[int, tuple]], cfg: SuffixConfig) -> tuple
         mine = np.flatnonzero((before >= o) & (before - n < o))
         if len(mine) < 2:
             continue
-        group = np.cumsum(lcp < cfg.length - o)[mine].astype(np.uint64)
+        # numbered apart from the bytes, so that a group and a byte never stand for each other in the sum
+        group = np.cumsum(lcp < cfg.length - o)[mine].astype(np.uint64) + np.uint64(1 << 40)
         key = mix(group) + sums[mine]
         _, back, count = np.unique(mix(key), return_inverse=True, return_counts=True)
         hit[mine, o] = count[back] > 1
@@ -310,35 +360,60 @@ def cut(found: DataFrame) -> DataFrame:
     return cols.mapInArrow(work, "text_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def identified(docs: DataFrame, text: Column, cfg: SuffixConfig, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(text_id, doc_id, copies) of each different text, and (doc_id, text, text_id) of all rows.
+
+    Texts are numbered by a hash. A second hash tells whether two different texts have the same number; if any
+    two have, all are numbered anew with another seed.
+    """
+    for seed in count():
+        number = F.shiftright(F.xxhash64(F.lit(seed), text), 64 - cfg.id_bits)
+        base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), number.alias("text_id"))
+        check = F.xxhash64(F.lit(f"check {seed}"), F.col("text"))
+        copies = scratch.save(
+            base.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min(check).alias("lo"), F.max(check).alias("hi"))
+        )
+        if copies.filter("lo <> hi").isEmpty():
+            return copies.drop("lo", "hi"), base
+        scratch.drop(copies)
+    raise AssertionError
+
+
 def remove_repeats(
-    docs: DataFrame, cfg: SuffixConfig = SuffixConfig(), text_col: str = "text", with_text: bool = False
+    docs: DataFrame, cfg: SuffixConfig = SuffixConfig(), text_col: str = "text", keep_text: bool = False
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) for every row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_id"))
+    copies, base = identified(docs, text, cfg, scratch)
     long = base.filter(F.octet_length("text") >= cfg.length)
-    n_parts = parts(spark, docs)
 
     rows = scratch.save(gram_rows(long, cfg))
     twice = rows.groupBy("gram").agg(
-        F.min("text_id").alias("lo"), F.max("text_id").alias("hi"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("n")
+        F.min("text_id").alias("lo"), F.max("text_id").alias("hi"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("n"), F.min("head").alias("head")
     )
-    twice = twice.filter("lo <> hi or twice").select("gram", (F.col("n") > cfg.hot).alias("hot"))
+    twice = scratch.save(twice.filter("lo <> hi or twice").select("gram", (F.col("n") > cfg.hot).alias("hot"), "n", "head"))
+    # at most 2^16 rows
+    weights = {r["head"]: r["n"] for r in twice.filter("not hot").groupBy("head").agg(F.sum("n").alias("n")).collect()}
+    dealt = ranges(weights, parts(spark, docs))
     wanted = scratch.save(
-        rows.join(twice, "gram").select("text_id", "gram", "hot").distinct()
+        rows.join(twice.select("gram", "hot"), "gram").select("text_id", "gram", "hot").distinct()
         .groupBy("text_id").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
     )
     scratch.drop(rows)
+    scratch.drop(twice)
     # of equal texts the one with the smallest doc_id stands for all
-    copies = scratch.save(
-        base.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    )
-    one = copies.select("text_id", "doc_id")
+    one = copies.select("text_id", F.col("doc_id").alias("one"))
     texts = base.select("doc_id", "text_id", "text")
-    found = texts.join(wanted.join(one, "text_id"), ["doc_id", "text_id"])
-    sent = scratch.save(runs(found, cfg, n_parts))
+
+    def with_text(some: DataFrame) -> DataFrame:
+        """some(text_id, one, …) with the texts of these documents."""
+        s = some.withColumnRenamed("text_id", "_id")
+        return texts.join(s, (F.col("text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("one"))).drop("_id")
+
+    sent = scratch.save(runs(with_text(wanted.join(one, "text_id")), cfg, dealt))
+    scratch.drop(wanted)
     covered = merged(sent.filter("part is not null").select("part", "run"), cfg)
     wins = sent.filter("part is null").select("window", "text_id", "at")
     again = wins.groupBy("window").agg(F.min(F.struct("text_id", "at")).alias("x"), F.max(F.struct("text_id", "at")).alias("y"))
@@ -347,13 +422,15 @@ def remove_repeats(
     spans = scratch.save(covered.union(hot).groupBy("text_id").agg(F.collect_list("b").alias("bs"), F.collect_list("e").alias("es")))
     scratch.drop(sent)
     # texts with copies go as a whole; only the others need their bytes again
-    single = copies.filter("copies = 1").select("text_id", "doc_id")
-    result = cut(texts.join(spans.join(single, "text_id"), ["doc_id", "text_id"]))
-    result = scratch.save(result if with_text else result.drop("kept")).dropDuplicates(["text_id"])
-    all_rows = base.select("doc_id", "text_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"), *(["text"] if with_text else []))
-    whole = copies.filter("copies > 1").select("text_id", F.lit(True).alias("whole"))
-    out = all_rows.join(result, "text_id", "left").join(whole, "text_id", "left")
-    goes = F.coalesce("whole", F.lit(False)) & (F.col("n_bytes") >= cfg.length)
+    result = cut(with_text(spans.join(one.join(copies.filter("copies = 1").select("text_id"), "text_id"), "text_id")))
+    result = scratch.save(result if keep_text else result.drop("kept")).dropDuplicates(["text_id"])
+    scratch.drop(spans)
+    total = copies.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    known = copies.select("text_id", (F.col("copies") > 1).alias("whole")).join(result, "text_id", "left")
+    common = copies.filter(F.col("copies") * COMMON > F.greatest(F.lit(total), F.lit(COMMON))).select("text_id")
+    all_rows = base.select("doc_id", "text_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"), *(["text"] if keep_text else []))
+    out = join_spread(all_rows, known, ["text_id"], common)
+    goes = F.col("whole") & (F.col("n_bytes") >= cfg.length)
     empty = hashlib.sha256(b"").hexdigest()
     cols = [
         F.col("doc_id"),
@@ -362,6 +439,6 @@ def remove_repeats(
         F.when(goes, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(goes, empty).otherwise(F.coalesce("kept_sha256", "own")).alias("kept_sha256"),
     ]
-    if with_text:
+    if keep_text:
         cols.append(F.when(goes, F.lit("").cast("binary")).otherwise(F.coalesce("kept", F.col("text").cast("binary"))).alias("kept_text"))
     return out.select(*cols)
