@@ -16,9 +16,9 @@ def quality_sql(cfg: quality.QualityConfig = quality.QualityConfig()) -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {_WORDS.format('text')} AS ws FROM d),
-ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT id, line, {_WORDS.format('line')} AS ws FROM ln),
-lr AS (SELECT id, line, len(ws) AS n,
+ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+lw AS (SELECT id, k, line, {_WORDS.format('line')} AS ws FROM ln),
+lr AS (SELECT id, k, line, len(ws) AS n,
     100 * len(list_filter(ws, lambda x: x IN ('|', '»', '«', '•', '·', '>', '<', '-', '–', '/', '::'))) > {cfg.max_separator_percent} * len(ws)
     OR 100 * (length(line) - length(translate(line, '#*$%&|<>', ''))) > {cfg.max_symbol_percent} * length(line)
     OR 100 * len(list_filter(ws, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) > {cfg.max_shout_percent} * len(ws)
@@ -26,20 +26,21 @@ lr AS (SELECT id, line, len(ws) AS n,
     OR (len(ws) <= 30 AND regexp_matches(line, '{boiler}')) AS bad
   FROM lw WHERE len(ws) > 0),
 la AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE bad) AS n_lines_removed, coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM lr GROUP BY id),
+cl AS (SELECT id, string_agg(lw.line, chr(10) ORDER BY k) AS cleaned FROM lw LEFT JOIN lr USING (id, k) WHERE NOT coalesce(bad, FALSE) GROUP BY id),
 p AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 t AS (SELECT id, i, word, lead(word, 1) OVER q AS b, lead(word, 2) OVER q AS c FROM p WINDOW q AS (PARTITION BY id ORDER BY i)),
 g AS (SELECT id, i, count(*) OVER (PARTITION BY id, word, b, c) AS n FROM t WHERE c IS NOT NULL),
 r AS (SELECT id, count(DISTINCT i + k) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY id),
 a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(la.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
-    coalesce(la.n_lines, 0) AS n_lines, coalesce(la.n_lines_removed, 0) AS n_lines_removed, CAST(len(ws) - coalesce(la.lost, 0) AS BIGINT) AS kept_words
-  FROM w LEFT JOIN la USING (id) LEFT JOIN r USING (id))
+    coalesce(la.n_lines, 0) AS n_lines, coalesce(la.n_lines_removed, 0) AS n_lines_removed, CAST(len(ws) - coalesce(la.lost, 0) AS BIGINT) AS kept_words, sha256(coalesce(cl.cleaned, '')) AS cleaned_sha256
+  FROM w LEFT JOIN la USING (id) LEFT JOIN r USING (id) LEFT JOIN cl USING (id))
 SELECT *, n_words < {cfg.min_words} OR 100 * n_repeat_words > {cfg.max_repeat_percent} * n_words AS base_failed,
   NOT (n_words < {cfg.min_words} OR 100 * n_repeat_words > {cfg.max_repeat_percent} * n_words) AND 100 * kept_words >= {cfg.min_kept_percent} * n_words AS kept FROM a"""
 
 
 def _canonical(x: str) -> str:
-    out = rf"regexp_replace(lower({x}), '(?m)^[^\p{{L}}\n]*(?:copyright\b|\(c\)|\x{{00a9}})[^\n]*$', ' ', 'g')"
+    out = rf"regexp_replace(lower({x}), '(?m)^[^\p{{L}}\n]*(?:copyright[^\p{{L}}\n]*(?:[0-9<\[\x{{00a9}}:]|\(c\)|by\b)|\(c\)|\x{{00a9}})[^\n]*$', ' ', 'g')"
     for a, b in licences.SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
     return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"

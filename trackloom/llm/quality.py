@@ -8,7 +8,9 @@ leaves the JVM and nothing is shuffled.
 
 Defined cases: a null text counts as no words and is rejected (base_failed);
 an empty table gives an empty result; repeated rows are judged one by one;
-input columns whose names clash with the added ones are replaced.
+texts and lines of any length are judged whole; a share exactly at a threshold
+passes; in quality_rules added columns replace those of their names, in clean()
+all columns stay.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, without
+from .common import SPACE, let, packed_up, unpacked, without
 
 # Phrases that mark a line as boilerplate of a web page.
 BOILERPLATE = (
@@ -29,12 +31,9 @@ BOILERPLATE = (
 # Characters that may close a line of prose, in ASCII or typographic form.
 CLOSED = r"[.!?:;,\x{2026}][\"'\x29\x5D\x{201D}\x{00BB}\x{2019}]*\s*$"
 
-#: A line with words.
-WORDY = r"[^\x20\x09-\x0D]"
-
 ADDED = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-    "n_lines", "n_lines_removed", "kept_words", "kept",
+    "n_lines", "n_lines_removed", "kept_words", "kept", "cleaned",
 ]
 
 
@@ -98,57 +97,60 @@ def repeat_words(words: Column) -> Column:
     return let(words, covered)
 
 
-def line_fails(line: Column, cfg: QualityConfig) -> Column:
-    """Whether one line with words breaks a rule."""
+def judged(line: Column, cfg: QualityConfig) -> Column:
+    """(n, bad): the words of a line, and whether it breaks a rule; lines without words break none."""
 
     def rules(ws: Column) -> Column:
         n = F.size(ws)
         separators = F.size(F.filter(ws, lambda w: w.isin("|", "»", "«", "•", "·", ">", "<", "-", "–", "/", "::")))
         shouts = F.size(F.filter(ws, lambda w: w.rlike(r"[!?]{2,}$")))
         symbols = count_chars(line, "#*$%&|<>")
-        return (
+        bad = (
             (100 * separators > cfg.max_separator_percent * n)
             | (100 * symbols > cfg.max_symbol_percent * F.length(line))
             | (100 * shouts > cfg.max_shout_percent * n)
             | ((n <= cfg.short_line_words) & ~line.rlike(CLOSED))
             | ((n <= 30) & line.rlike(BOILERPLATE))
         )
+        return F.struct(n.alias("n"), ((n > 0) & bad).alias("bad"))
 
     return let(words_of(line), rules)
 
 
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
 def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_col: str = "text") -> DataFrame:
-    """docs with the counts, the line rules' outcome and the verdict ``kept`` added."""
+    """docs with the counts, the line rules' outcome, the text ``cleaned`` of failing lines and the verdict ``kept`` added."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = without(docs, [*ADDED, "_words", "_lines", "_bad"])
-    d = base.withColumn("_words", words_of(text)).withColumn(
-        "_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORDY))
-    )
+    base = without(docs, ADDED)
+    d = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_in"), text.alias("_text"))
+    d = d.withColumn("_lines", F.split("_text", "\n")).withColumn("_judged", F.transform("_lines", lambda x: judged(x, cfg)))
+    wordy = F.filter("_lines", lambda x, i: F.col("_judged")[i]["n"] > 0)
     d = d.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": count_chars(text, "#*$%&|<>").cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_repeat_words": repeat_words(F.col("_words")).cast("long"),
-        "_bad": F.filter("_lines", lambda x: line_fails(x, cfg)),
-        "_lines": F.array_distinct("_lines"),
+        "n_words": total(F.transform("_judged", lambda j: j["n"].cast("long"))),
+        "word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_symbols": count_chars(F.col("_text"), "#*$%&|<>").cast("long"),
+        "n_dup_lines": let(wordy, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long"),
+        "n_repeat_words": repeat_words(words_of(F.col("_text"))).cast("long"),
+        "n_lines": F.size(F.filter("_judged", lambda j: j["n"] > 0)).cast("long"),
+        "n_lines_removed": F.size(F.filter("_judged", lambda j: j["bad"])).cast("long"),
+        "_lost": total(F.transform("_judged", lambda j: F.when(j["bad"], j["n"].cast("long")).otherwise(0))),
+        "cleaned": F.array_join(F.filter("_lines", lambda x, i: ~F.col("_judged")[i]["bad"]), "\n"),
     })
-    lost = F.aggregate(
-        F.transform("_bad", lambda x: F.size(words_of(x)).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b
-    )
     d = d.withColumns({
-        "n_dup_lines": F.col("n_lines") - F.size("_lines"),
-        "n_lines_removed": F.size("_bad").cast("long"),
-        "kept_words": F.col("n_words") - lost,
+        "kept_words": F.col("n_words") - F.col("_lost"),
         "base_failed": (F.col("n_words") < cfg.min_words)
         | (100 * F.col("n_repeat_words") > cfg.max_repeat_percent * F.col("n_words")),
     })
     d = d.withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("kept_words") >= cfg.min_kept_percent * F.col("n_words"))
     )
-    return d.select(*[F.col(f"`{c}`") for c in base.columns], *ADDED)
+    return d.select(*[F.col("_in")[c].alias(c) for c in base.columns], *ADDED)
 
 
-def cleaned_text(text: Column, cfg: QualityConfig = QualityConfig()) -> Column:
-    """The text without its failing lines; lines without words break no rule and stay."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(WORDY) | ~line_fails(x, cfg)), "\n")
+def clean(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
+    """The documents that the rules keep, all columns as they are but for the text, which has lost its failing lines."""
+    out = quality_rules(packed_up(docs, "text"), cfg).filter("kept")
+    return unpacked(out, docs.columns, text=F.col("cleaned"))
