@@ -10,14 +10,17 @@ token-weighted Gram matrix over the documents that the projection leaves free, s
 steps are needed, and no state per document is kept between them: each is a sum over all
 documents that is combined before it is shuffled.
 
-The classifier is Bernoulli naive Bayes over the words that tell the domains apart best. It is fitted on a bounded sample of labelled rows (``sample``, those with the lowest hash of
-their id); everything else covers all documents. Column functions only.
+The classifier is multinomial logistic regression over words, beginnings of words and a few
+whole-text marks, all of them whose spread over the domains is significant. It is fitted on a
+bounded sample of labelled rows (``sample``, those with the lowest hash of their id), of which
+the driver gets the marks that count; everything else covers all documents. Column functions only.
 
-Defined cases: null text has no tokens, keeps the prior posteriors and gets the rate of
-those; labels that are null or whose document is missing are not used; without labels all
+Defined cases: null text has no tokens, is judged as an empty text and gets the rate that
+follows; tokens are words between white space; labels that are null or whose document is missing are not used; without labels all
 documents are of the first domain; a domain nobody belongs to cannot meet its target and
 the nearest totals are fitted; repeated rows count as documents of their own; an empty
-table gives an empty result; clashing column names are replaced.
+table gives an empty result; texts of any length are judged whole; in mix added columns
+replace kept ones of their names, in resample all columns stay.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import math
 from dataclasses import dataclass, field
 from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, let
+from .common import SPACE, Scratch, let, packed_up, unpacked
 
 ADDED = ["n_words", "posteriors", "rate"]
 
@@ -38,19 +42,19 @@ ADDED = ["n_words", "posteriors", "rate"]
 class MixConfig:
     """targets: share of all tokens that each domain shall have, in the order of the domains.
 
-    sample: labelled rows to fit on; words: how many count, in a table of ``slots`` or more; least, clear: documents with a word and chi-square
-    of its spread over the domains before it counts; smooth: documents added to each domain; most: greatest rate;
+    sample: labelled rows to fit on; least, clear: documents with a mark and chi-square of its spread over the domains
+    before it counts, in a table of ``slots`` or more; penalty, rounds: of the regression; most: greatest rate;
     pull: weight of staying at a rate of 1, in shares of all tokens; steps: most gradient steps; tolerance: relative error of the totals to stop at;
     sure: fractional part of a rate that counts as a whole copy when rows are drawn.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: {"clean": 0.95, "junk": 0.05, "toxic": 0.0})
     sample: int = 20_000
-    words: int = 32
     slots: int = 1 << 12
     least: int = 8
     clear: float = 30.0
-    smooth: float = 2.0
+    penalty: float = 0.3
+    rounds: int = 300
     most: float = 8.0
     pull: float = 0.002
     steps: int = 20
@@ -63,11 +67,34 @@ def domain_of(labels: DataFrame) -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
 
 
-def words_hashed(text: Column) -> Column:
-    """64-bit hashes of the lower-case words; repeated signs and bars are words of their own, single punctuation is none."""
+def plain_words(text: Column) -> Column:
+    """The lower-case words of a text; repeated signs and bars are words of their own, single punctuation is none."""
     apart = F.regexp_replace(F.lower(text), r"(\p{Punct})\1+|\|", " $0 ")
     bare = F.regexp_replace(apart, r"(?<!\p{Punct})[.,;:!?\"'()](?!\p{Punct})", " ")
-    return F.transform(F.filter(F.split(bare, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.filter(F.split(bare, SPACE), lambda w: w != "")
+
+
+def marks(text: Column) -> Column:
+    """Hashes of what a text is judged by: its words, their beginnings of four and six letters (inflected forms of
+    a word share one), and in coarse steps how often words repeat, how many there are, and the share of capitals."""
+    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+
+    def start(words: Column, k: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.xxhash64(F.lit("^"), F.substring(w, 1, k)))
+
+    def found(ws: Column) -> Column:
+        many = F.greatest(F.size(ws), F.lit(1))
+        whole = lambda name, c: F.xxhash64(F.lit(name), F.floor(c).cast("long"))
+        return let(F.array_distinct(ws), lambda u: F.concat(
+            F.transform(u, lambda w: F.xxhash64(w)), start(u, 4), start(u, 6),
+            F.array(
+                whole("repeated", 10 * (many - F.greatest(F.size(u), F.lit(1))) / many),
+                whole("length", F.log2(many)),
+                whole("capitals", 8 * capitals / F.greatest(F.length(text), F.lit(1))),
+            ),
+        ))
+
+    return let(plain_words(text), found)
 
 
 def constant(values: list, kind: str) -> Column:
@@ -77,60 +104,100 @@ def constant(values: list, kind: str) -> Column:
 
 @dataclass(frozen=True)
 class Evidence:
-    """Log chances of the domains for a document without any of the words, and a table of these: hash and log odds
-    per domain, one word per slot at most."""
+    """The classifier: a weight of each domain, a table of the marks' hashes, one to a slot at most, with their
+    numbers, and the weights of each domain by number."""
 
-    prior: list[float]
-    words: list[int]
-    ratios: list[list[float]]
+    bias: list[float]
+    table: list[int]
+    number: list[int]
+    weights: list[list[float]]
 
 
-def fit_words(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str) -> Evidence:
-    """Naive Bayes over the words that tell domains apart: those whose counts of documents deviate most from chance."""
+def fit_logistic(rows: list[list[int]], domain: list[int], n_marks: int, n_domains: int, cfg: MixConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) of the multinomial logistic regression with a squared penalty, by accelerated gradient steps.
+
+    rows: the marks of each labelled document.
+    """
+    size = np.array([len(r) for r in rows])
+    at, mark = np.repeat(np.arange(len(rows)), size), np.fromiter((m for r in rows for m in r), np.int64, int(size.sum()))
+    want = np.eye(n_domains)[domain]
+
+    def scores(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(at, w[mark, i], len(rows)) for i in range(n_domains)], 1) + b
+
+    def back(x: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(mark, x[at, i], n_marks) for i in range(n_domains)], 1)
+
+    v = np.ones((n_marks, n_domains)), np.ones(n_domains)
+    for _ in range(20):  # the greatest curvature, by power iteration
+        x = scores(*v)
+        v = back(x), x.sum(0)
+        norm = math.sqrt((v[0] ** 2).sum() + (v[1] ** 2).sum())
+        v = v[0] / norm, v[1] / norm
+    step = 1 / (0.55 * norm + cfg.penalty)
+    w, b = np.zeros((n_marks, n_domains)), np.zeros(n_domains)
+    w2, b2, k = w, b, 1.0
+    for _ in range(cfg.rounds):
+        z = scores(w2, b2)
+        p = np.exp(z - z.max(1, keepdims=True))
+        miss = p / p.sum(1, keepdims=True) - want
+        w3, b3 = w2 - step * (back(miss) + cfg.penalty * w2), b2 - step * miss.sum(0)
+        k3 = (1 + math.sqrt(1 + 4 * k * k)) / 2
+        w2, b2 = w3 + (k - 1) / k3 * (w3 - w), b3 + (k - 1) / k3 * (b3 - b)
+        w, b, k = w3, b3, k3
+    return w, b
+
+
+def numbered(best: list[int], slots: int) -> tuple[list[int], list[int]]:
+    """The least table of ``slots`` or more in which no two hashes share a slot, and the place of each in ``best``."""
+    size = next(m for m in count(max(slots, len(best) ** 2 // 8)) if len({w % m for w in best}) == len(best))
+    table, number = [0] * size, [0] * size
+    for i, w in enumerate(best):
+        table[w % size], number[w % size] = w, i
+    return table, number
+
+
+def known_marks(found: Column, table: list[int], number: list[int]) -> Column:
+    """The distinct numbers of those hashes in ``found`` that the table has."""
+    hashes, numbers, size = constant(table, "bigint"), constant(number, "int"), F.lit(len(table))
+    at = lambda w: F.pmod(w, size).cast("int")
+    return F.array_distinct(F.filter(F.transform(found, lambda w: F.when(F.get(hashes, at(w)) == w, F.get(numbers, at(w)))), lambda s: s.isNotNull()))
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str) -> Evidence:
+    """Logistic regression over all marks whose spread over the domains is significant, on the sampled labels."""
     names = list(cfg.targets)
     known = labels.select("doc_id", domain_of(labels).alias("domain")).filter("doc_id is not null").filter(F.col("domain").isin(*names))
     # at most cfg.sample short rows
     some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(cfg.sample))
-    sizes = {r["domain"]: r["count"] for r in docs.select("doc_id").join(some, "doc_id").groupBy("domain").count().collect()}
+    scratch = Scratch(docs.sparkSession)
+    met = scratch.save(docs.select("doc_id", F.coalesce(text_col, F.lit("")).alias("t")).join(some, "doc_id").select("domain", F.array_distinct(marks(F.col("t"))).alias("m")))
+    sizes = {r["domain"]: r["count"] for r in met.groupBy("domain").count().collect()}
     n = [sizes.get(d, 0) for d in names]
     total = sum(n)
     if not total:
-        return Evidence([0.0] + [-30.0] * (len(names) - 1), [0] * cfg.slots, [[0.0] * cfg.slots for _ in names])
-    met = docs.select("doc_id", text_col).join(some, "doc_id")
-    each = met.select("domain", F.explode(F.array_distinct(words_hashed(F.coalesce(text_col, F.lit(""))))).alias("w"))
-    counts = each.groupBy("w").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)], F.count(F.lit(1)).alias("n"))
+        return Evidence([0.0] + [-30.0] * (len(names) - 1), [0], [0], [[0.0] for _ in names])
+    counts = met.select("domain", F.explode("m").alias("w")).groupBy("w").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)], F.count(F.lit(1)).alias("n"))
     off = sum((F.pow(F.col(f"n{i}") - F.col("n") * (k / total), 2) / (F.col("n") * (k / total)) for i, k in enumerate(n) if k), F.lit(0.0))
-    clear = counts.withColumn("off", off).filter((F.col("n") >= cfg.least) & (F.col("off") >= cfg.clear))
-    best = clear.orderBy(F.desc("off"), "w").limit(cfg.words).collect()
-    # the least table of cfg.slots or more in which no two words share a slot
-    size = next(m for m in count(cfg.slots) if len({r["w"] % m for r in best}) == len(best))
-    words, ratios = [0] * size, [[0.0] * size for _ in names]
-    prior = [math.log((k + 0.5) / (total + 0.5 * len(n))) for k in n]
-    for r in best:
-        slot = r["w"] % size
-        words[slot] = r["w"]
-        for i, k in enumerate(n):
-            chance = (r[f"n{i}"] + cfg.smooth * r["n"] / total) / (k + cfg.smooth)
-            chance = min(max(chance, 1e-6), 1 - 1e-6)
-            ratios[i][slot] = round(math.log(chance / (1 - chance)), 4)
-            prior[i] += math.log(1 - chance)  # what it says that a word is absent
-    return Evidence(prior, words, ratios)
-
-
-def posteriors(words: Column, evidence: Evidence, cfg: MixConfig) -> Column:
-    """array<double>: the posterior of each domain, given the distinct word hashes."""
-    table = constant(evidence.words, "bigint")
-    size = F.lit(len(evidence.words))
-    slots = F.filter(
-        F.transform(words, lambda w: F.when(F.get(table, F.pmod(w, size).cast("int")) == w, F.pmod(w, size).cast("int"))),
-        lambda s: s.isNotNull(),
-    )
+    # the sampled documents hold these, so their number is bounded by the sample too
+    best = [r["w"] for r in counts.withColumn("off", off).filter((F.col("n") >= cfg.least) & (F.col("off") >= cfg.clear)).select("w").orderBy("w").collect()]
+    table, number = numbered(best, cfg.slots)
+    rows = met.select("domain", known_marks(F.col("m"), table, number).alias("s")).collect()
+    scratch.drop(met)
+    weights, bias = fit_logistic([r["s"] for r in rows], [names.index(r["domain"]) for r in rows], len(best), len(names), cfg)
+    # a domain without labels has nothing to be fitted to
+    bias = [float(b) if k else -30.0 for b, k in zip(bias, n, strict=True)]
+    return Evidence(bias, table, number, [[round(float(x), 4) for x in weights[:, d]] or [0.0] for d in range(len(names))])
+
+
+def posteriors(found: Column, evidence: Evidence) -> Column:
+    """array<double>: the posterior of each domain, given a text's marks."""
 
     def scores(hit: Column) -> Column:
-        def total(ratios: Column) -> Column:
-            return F.aggregate(hit, F.lit(0.0), lambda a, s: a + F.get(ratios, s))
+        def total(weights: Column) -> Column:
+            return F.aggregate(hit, F.lit(0.0), lambda a, s: a + F.get(weights, s))
 
-        return F.array(*[F.lit(p) + total(constant(r, "double")) for p, r in zip(evidence.prior, evidence.ratios, strict=True)])
+        return F.array(*[F.lit(p) + total(constant(r, "double")) for p, r in zip(evidence.bias, evidence.weights, strict=True)])
 
     def soft(s: Column) -> Column:
         return let(
@@ -138,7 +205,7 @@ def posteriors(words: Column, evidence: Evidence, cfg: MixConfig) -> Column:
             lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda z: F.transform(e, lambda x: x / z)),
         )
 
-    return let(let(slots, scores), soft)
+    return let(let(known_marks(found, evidence.table, evidence.number), scores), soft)
 
 
 def rate_of(mu: list[float], p: Column, cfg: MixConfig) -> Column:
@@ -202,13 +269,13 @@ def mix(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), keep:
     hold: a domain whose total shall stay what it is; the others get their share relative to it.
     """
     scratch = Scratch(docs.sparkSession)
-    evidence = fit_words(docs, labels, cfg, text_col)
-    names = [c for c in (keep or docs.columns) if c.lower() not in {*ADDED, "_words", "_text"}]
+    evidence = fit_classifier(docs, labels, cfg, text_col)
+    names = [c for c in (keep or docs.columns) if c.lower() not in {*ADDED, "_text"}]
     base = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(text_col, F.lit("")).alias("_text"))
-    scored = base.withColumn("_words", words_hashed(F.col("_text"))).withColumns({
+    scored = base.withColumns({
         "n_words": F.size(F.filter(F.split("_text", SPACE), lambda w: w != "")).cast("long"),
-        "posteriors": posteriors(F.array_distinct("_words"), evidence, cfg),
-    }).drop("_words", "_text")
+        "posteriors": posteriors(marks(F.col("_text")), evidence),
+    }).drop("_text")
     table = scratch.save(scored)
     totals = None
     if hold is not None:
@@ -234,8 +301,7 @@ def resample(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig()) -
     id and text, so it is the same in every run and equal rows share it; with it the expected totals of the
     domains are the fitted ones, but for rests rounded up to one from cfg.sure on.
     """
-    cols = docs.columns
-    rated = mix(docs, labels, cfg, hold=next(iter(cfg.targets)))
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / F.lit(1 << 30)
+    rated = mix(packed_up(docs, "doc_id", "text"), labels, cfg, keep=["_in"], hold=next(iter(cfg.targets)))
+    draw = F.pmod(F.xxhash64("_in.doc_id", "_in.text", F.lit("draw")), F.lit(1 << 30)) / F.lit(1 << 30)
     times = copies(F.col("rate"), draw, cfg)
-    return rated.filter(times >= 1).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(cols)
+    return unpacked(rated.filter(times >= 1).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))), docs.columns)
