@@ -5,11 +5,16 @@ value is then counted over the whole corpus by distinct repositories and
 distinct owners: a value that many owners carry is a widely copied example, a
 random-looking value that stays with its owner looks live. Counting is done in
 two steps, (value, owner, repository) before (value), so a value held by a third
-of all rows is combined before it is shuffled. Column functions only.
+of all rows is combined before it is shuffled. The verdicts go back to the
+candidates by a join on the value; very common values, of which there are few,
+are broadcast for it. Column functions only.
 
 Defined cases: null text is empty; a null owner or repository counts as one
 owner or repository of its own; repeated rows add nothing to distinct counts;
-an empty table gives an empty result; clashing column names are replaced.
+an empty table gives an empty result; spans that start together are listed in the
+order of their kinds; texts and values of any length are worked whole; in
+scan_secrets added columns replace kept ones of their names, in redact_secrets all
+columns stay.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, without
+from .common import COMMON, Scratch, join_spread, let, packed_up, unpacked, without
 from .spans import find_spans, listed, of_kind, redacted, tagged
 
 # The base patterns, and well-known public token formats that the method adds.
@@ -104,14 +109,17 @@ def scan_secrets(
         "variety", F.size(F.array_distinct(F.split(value_of(F.col("s")), "")))
     )
     held = each.groupBy("value", "_owner", "_repo").agg(F.count(F.lit(1)).alias("n"))
-    owned = held.groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("repos"))
+    owned = held.groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("rows"))
     spread = owned.groupBy("value").agg(
-        F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories")
+        F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"), F.sum("rows").alias("rows")
     )
     example = (F.col("owners") > cfg.max_owners) | (F.col("repositories") > cfg.max_repositories)
-    judged = each.join(spread, "value").withColumn(
+    spread = scratch.save(spread.select("value", "rows", example.alias("example")))
+    all_rows = spread.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    common = spread.filter(F.col("rows") * COMMON > all_rows).select("value")
+    judged = join_spread(each, spread, ["value"], common).withColumn(
         "verdict",
-        F.when(example, "example").when(F.col("variety") >= cfg.min_distinct, "live").otherwise("weak"),
+        F.when(F.col("example"), "example").when(F.col("variety") >= cfg.min_distinct, "live").otherwise("weak"),
     )
     per_row = judged.groupBy("_row").agg(
         F.collect_list(F.struct("s", "verdict")).alias("judged")
@@ -143,7 +151,7 @@ def scan_secrets(
     )
 
 
-def redact_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), **cols) -> DataFrame:
+def redact_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
     """docs with every live-looking secret replaced in the text; widely copied examples stay."""
-    out = scan_secrets(docs, docs.columns, cfg, **cols)
-    return out.withColumn("text", redacted(F.col("text"), F.col("live"))).select(docs.columns)
+    out = scan_secrets(packed_up(docs, "text", "source", "lang"), ["_in"], cfg)
+    return unpacked(out, docs.columns, text=redacted(F.col("_in.text"), F.col("live")))
