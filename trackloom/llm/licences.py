@@ -7,8 +7,9 @@ licence texts, and the digest of each line with those of known one-line notices.
 of known digests has 32 rows and is broadcast. Column functions only.
 
 Defined cases: null text is empty and matches nothing; a text or line that is empty in its
-canonical form matches nothing; repeated rows are scanned one by one; an empty table gives
-an empty result; clashing column names are replaced.
+canonical form matches nothing; repeated rows are scanned one by one; texts of any length are
+digested whole; licences and terms are listed in order of name; an empty table gives
+an empty result; added columns replace kept ones of their names.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ SPELLINGS = [
     ("copyright owner", "copyright holder"), ("favour", "favor"), ("fulfil ", "fulfill "), ("organis", "organiz"), ("analys", "analyz"),
     ("&", " and "), ("http:", "https:"), ("while ", "whilst "),
 ]
-#: Lines that name a holder or a year.
-COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:copyright\b|\(c\)|\x{00a9})[^\n]*$"
+#: Lines that name a holder or a year: running text that happens to start with the word stays.
+COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:copyright[^\p{L}\n]*(?:[0-9<\[\x{00a9}:]|\(c\)|by\b)|\(c\)|\x{00a9})[^\n]*$"
 #: Held by every known text or notice before it is made canonical, whatever stands between two words.
 HINT = r"(?i)licen[cs]|permission|copyright|rights|public[^a-zA-Z0-9]+domain|cc0"
 
