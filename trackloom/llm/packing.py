@@ -13,13 +13,15 @@ come from counts per partition, so a length that a third of all pieces share is
 dealt out like any other.
 
 Defined cases: a null or empty text is the single end token; an empty table gives
-an empty result; repeated rows are packed as rows of their own; other columns of
+an empty result; repeated rows are packed as rows of their own; a null doc_id is
+carried along; pieces of one length, ties, are dealt by row; other columns of
 the input are ignored. Texts are never cut short: only longer documents are cut
 into pieces.
 """
 
 from __future__ import annotations
 
+import logging
 import string
 import unicodedata
 import zlib
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, sliced
 from .shingles import word_bounds, word_hashes
 
+log = logging.getLogger(__name__)
 PIECES = "row_id long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -75,12 +78,12 @@ class WordTable:
     def clear(self) -> None:
         self.flat = np.empty(1 << 16, "<u4")
         self.used = 0
-        self.tables = [self._table(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))] * 2
+        self.tables = [self._table(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32))] * 2
 
     @staticmethod
     def _table(h: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(h)
-        return h[order], off[order], n[order]
+        return h[order], off[order].astype(np.uint32), n[order].astype(np.uint32)
 
     def whole(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -116,7 +119,7 @@ class WordTable:
 
     def find(self, h: np.ndarray, word_at) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids in ``flat`` for each hash of h (sorted, distinct)."""
-        if len(self.tables[0][0]) > self.LIMIT:
+        if len(self.tables[0][0]) > self.LIMIT or self.used >= 1 << 31:
             self.clear()
         off, n = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
         for th, toff, tn in self.tables:
@@ -143,7 +146,7 @@ class WordTable:
     def put(self, ids: np.ndarray) -> None:
         need = self.used + len(ids)
         if need > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(need, 2 * len(self.flat)) - self.used, "<u4")))
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(need, len(self.flat) * 3 // 2) - self.used, "<u4")))
         self.flat[self.used : need] = ids
         self.used = need
 
@@ -265,33 +268,33 @@ def completion(h: Histogram, room: int, nodes: int) -> list[int]:
     best = best_fill(h, room, {})
     sums = list(accumulate(k * v for k, v in enumerate(h.n)))
     waste, left = room - sum(best), nodes
-
-    def search(room: int, top: int, bound: int, taken: list[int], used: dict[int, int]) -> None:
-        nonlocal best, waste, left
+    taken: list[int] = []
+    used: dict[int, int] = {}
+    todo: list[tuple[int, int, int] | None] = [(room, room, room + 1)]  # None: give the last piece back
+    while todo and waste and left >= 0:
+        step = todo.pop()
+        if step is None:
+            used[taken.pop()] -= 1
+            continue
+        room, top, bound = step
         x = h.fit(min(top, room))
         while x and used.get(x, 0) >= h.n[x]:
             x = h.fit(x - 1) if x > 1 else 0
         if not x:
             if room < min(waste, bound):
                 best, waste = list(taken), room
-            return
+            continue
         # all pieces of x and shorter together, less those taken of x, must bring the waste low enough
         if room - (sums[x] - x * used.get(x, 0)) >= min(waste, bound):
-            return
+            continue
         left -= 1
-        if left < 0 or not waste:
-            return
-        taken.append(x)
-        used[x] = used.get(x, 0) + 1
-        search(room - x, x, bound, taken, used)
-        used[x] -= 1
-        taken.pop()
         # leaving x out: all shorter pieces together must still fill room to below x
         if x > 1:
-            search(room, x - 1, min(bound, x), taken, used)
-
-    if waste:
-        search(room, room, room + 1, [], {})
+            todo.append((room, x - 1, min(bound, x)))
+        todo.append(None)
+        todo.append((room - x, x, bound))
+        taken.append(x)
+        used[x] = used.get(x, 0) + 1
     return best
 
 
@@ -394,6 +397,8 @@ def plan(counts: dict[int, int], size: int, nodes: int) -> list[tuple[list[int],
             stack.append(_choices(h, size))
         else:
             whole = True  # cut: as far as this plan goes
+    if used > least and stack:
+        log.info("the search ended after its steps: %d sequences, at least %d are needed", used, least)
     return best
 
 
