@@ -18,10 +18,14 @@ are verified on the whole sets.
 Documents as pivots from the start would not do: nearly all pairs of texts are at
 distance 1, where the triangle inequality excludes nothing.
 
-Sets are identified by a 64-bit digest and shingles by 64-bit hashes, so copies are
-one set. Defined cases: null, empty and blank texts have an empty set, linked with
+Copies are one set. Sets are numbered by a digest and numbered anew if a second digest
+tells that two share a number; shingles are told apart by 64-bit hashes. Defined cases:
+null, empty and blank texts have an empty set, linked with
 nothing; a text shorter than a shingle has the whole word sequence as its one shingle;
-repeated rows and copies share a component; an empty table gives an empty result.
+repeated rows and copies share a component; a null doc_id is a document of its own that
+names its component only if no other does; texts of any length give their whole set; an
+empty table gives an empty result; other columns of the input, whatever their names, are
+ignored, and drop_near_copies keeps them all.
 """
 
 from __future__ import annotations
@@ -29,14 +33,14 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts, sliced
+from .common import COMMON, Scratch, join_spread, packed_up, parts, sliced, unpacked
 from .graph import components
 from .shingles import shingle_sets
 
@@ -45,55 +49,76 @@ CHUNKS = 64
 
 @dataclass(frozen=True)
 class JaccardConfig:
-    """k: words in a shingle; percent: least similarity; bits: width of the count sketch.
+    """k: words in a shingle; percent: least similarity; bits: width of the count sketch, 0 for one that fits the texts.
 
     spread: standard deviations above the mean load that make a sketch cell heavy;
-    rounds: pivots tried in a region of heavy shingles before its rest is compared pairwise.
+    rounds: pivots tried in a region of heavy shingles before its rest is compared pairwise;
+    id_bits: width of the sets' numbers, less only in tests.
     """
 
     k: int = 5
     percent: int = 80
-    bits: int = 22
+    bits: int = 0
     spread: float = 8.0
     rounds: int = 3
+    id_bits: int = 64
+    seed: int = 0
+
+
+def sketch_bits(docs: DataFrame, text_col: str) -> int:
+    """A cell of the sketch for about every 160 bytes of text, so some twenty shingles each; at most 2^24 cells.
+
+    A cell counts as heavy from 8 standard deviations above the mean, so beyond 2^24 cells a light region may hold
+    some multiple of the root of the mean: 13,000 sets at 10^13 shingles.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return min(24, max(16, (size // 160).bit_length()))
 
 
 def _blocks(b: pa.RecordBatch, cfg: JaccardConfig) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(doc_id, sorted set, digest) of each row."""
+    """(doc_id, sorted set, number of the set) of each row."""
+    for doc, s, number, _ in _checked_blocks(b, cfg):
+        yield doc, s, number
+
+
+def _checked_blocks(b: pa.RecordBatch, cfg: JaccardConfig) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    """(doc_id, sorted set, number of the set, second digest) of each row."""
     texts = b.column(1).to_pylist()
     for doc, s in zip(b.column(0).to_pylist(), shingle_sets(texts, cfg.k), strict=True):
-        yield doc, s, int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+        d = hashlib.blake2b(s.tobytes(), digest_size=16, salt=cfg.seed.to_bytes(4, "little")).digest()
+        number, check = (int.from_bytes(x, "little", signed=True) for x in (d[:8], d[8:]))
+        yield doc, s, number >> (64 - cfg.id_bits), check
 
 
 def signatures(docs: DataFrame, cfg: JaccardConfig, text_col: str) -> DataFrame:
-    """Rows (doc_id, n, set_id) for the documents and (chunk, task, counts) for the count sketch."""
+    """Rows (doc_id, n, set_id, check) for the documents and (chunk, task, counts) for the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         cell, seen, task = np.zeros(1 << cfg.bits, np.uint32), set(), TaskContext.get().partitionId()
-        names = ["doc_id", "n", "set_id", "chunk", "task", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "set_id", "check", "chunk", "task", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in sliced(batches):
             rows, hashes = [], []
-            for doc, s, digest in _blocks(b, cfg):
-                rows.append((doc, len(s), digest))
+            for doc, s, digest, check in _checked_blocks(b, cfg):
+                rows.append((doc, len(s), digest, check))
                 if digest not in seen:
                     seen.add(digest)
                     hashes.append(s)
             if hashes:
                 at, n = np.unique(np.concatenate(hashes) >> np.uint64(64 - cfg.bits), return_counts=True)
                 cell[at.astype(np.int64)] += n.astype(np.uint32)
-            cols = [*zip(*rows, strict=True)] if rows else [(), (), ()]
+            cols = [*zip(*rows, strict=True)] if rows else [(), (), (), ()]
             nothing = [None] * len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, nothing, nothing, nothing], kinds, strict=True)], names=names)
         if seen:
             parts_ = [zlib.compress(x.tobytes(), 1) for x in np.split(cell, CHUNKS)]
-            cols = [[None] * CHUNKS] * 3 + [list(range(CHUNKS)), [task] * CHUNKS, parts_]
+            cols = [[None] * CHUNKS] * 4 + [list(range(CHUNKS)), [task] * CHUNKS, parts_]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(
-        run, "doc_id long, n long, set_id long, chunk int, task int, counts binary"
+        run, "doc_id long, n long, set_id long, check long, chunk int, task int, counts binary"
     )
 
 
@@ -226,15 +251,17 @@ def light_pairs(light: DataFrame, cfg: JaccardConfig, n_parts: int) -> DataFrame
 def candidate_sets(docs: DataFrame, members: DataFrame, cfg: JaccardConfig, text_col: str, scratch: Scratch) -> DataFrame:
     """(set_id, set): the whole sets of members(x), as sorted 64-bit hashes.
 
-    They are marked in a bit set of 2^24 bits; other sets that share a bit go along.
+    They are marked in a bit set with sixteen bits for each of them, 2^20 to 2^29 in all; other sets that share
+    a bit go along. Far beyond 2^29 most sets do, which costs their shuffle but loses none.
     """
-    width = 24
+    asked = members.agg(F.count(F.lit(1))).first()[0]
+    width = min(29, max(20, (16 * asked).bit_length()))
     ids = members.select(F.pmod("x", F.lit(1 << width)).alias("x"))
     words = ids.groupBy(F.floor(F.col("x") / 32).cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(x % 32 as int))")).alias("bits")
     )
     marks = np.zeros(1 << (width - 5), np.uint32)
-    got = words.toPandas()  # at most 2^19 rows
+    got = words.toPandas()  # at most one row per member, and 2^24 of 12 bytes
     marks[got["w"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
@@ -306,8 +333,14 @@ class HeavyRegions:
             F.count(F.lit(1)).alias("members"), F.max("home").alias("any_home"), F.bit_xor(F.xxhash64("set_id", "home")).alias("same")
         )
         # regions with the same members are one region
-        sized = sized.filter("members > 1 and any_home").groupBy("g", "members", "same").agg(F.min("s").alias("s"))
-        self.members = scratch.save(both.join(sized.select("s", "g"), ["s", "g"]).drop("home"))
+        sized = scratch.save(sized.filter("members > 1 and any_home").groupBy("g", "members", "same").agg(F.min("s").alias("s")))
+        total = sized.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+        self.common = scratch.save(sized.filter(F.col("members") * COMMON > total).select("s", "g"))
+        self.members = scratch.save(self._joined(both, sized.select("s", "g")).drop("home"))
+
+    def _joined(self, rows: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
+        """rows with what ``one`` says of their region; great regions are not gathered."""
+        return join_spread(rows, one, ["s", "g"], self.common, how)
 
     def join(self, sets: DataFrame, known: DataFrame) -> DataFrame | None:
         """Verified pairs that, with the known links, connect all that is linked within these regions."""
@@ -321,7 +354,7 @@ class HeavyRegions:
             # the pivot: of the members outside the largest component, the one with the smallest share of rare shingles
             order = F.struct((1 - F.col("h") / F.col("n")).alias("o"), F.xxhash64("set_id", F.lit(k)), F.col("set_id").alias("p"), F.col("n").alias("np"), F.col("h").alias("hp"))
             pivots = self._odd(todo).groupBy("s", "g").agg(F.min(order).alias("t")).select("s", "g", "t.p", "t.np", "t.hp")
-            met = todo.join(pivots, ["s", "g"]).withColumn("self", F.col("p") == F.col("set_id"))
+            met = self._joined(todo, pivots).withColumn("self", F.col("p") == F.col("set_id"))
             asked = met.filter(~F.col("self") & self._may("n", "np", "h", "hp"))
             pairs = scratch.save(asked.select(*_ordered_pair("set_id", "p", "n", "np")).distinct())
             new = scratch.save(verified(pairs, sets))
@@ -344,7 +377,7 @@ class HeavyRegions:
         """Members with odd: whether they are outside their region's largest component."""
         size = todo.groupBy("s", "g", "c").agg(F.count(F.lit(1)).alias("m"))
         top = size.groupBy("s", "g").agg(F.max(F.struct("m", "c")).alias("t")).select("s", "g", F.col("t.c").alias("top"))
-        return todo.join(top, ["s", "g"]).withColumn("odd", F.col("c") != F.col("top")).drop("top")
+        return self._joined(todo, top).withColumn("odd", F.col("c") != F.col("top")).drop("top")
 
     def _odd(self, todo: DataFrame) -> DataFrame:
         return self._marked(todo).filter("odd").drop("odd")
@@ -354,7 +387,7 @@ class HeavyRegions:
         c = members.join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
         c = c.select(*members.columns, F.coalesce("component", "set_id").alias("c"))
         open_ = c.groupBy("s", "g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        return self.scratch.save(c.join(open_.select("s", "g"), ["s", "g"]))
+        return self.scratch.save(self._joined(c, open_.select("s", "g")))
 
     def _rest(self, todo: DataFrame) -> DataFrame:
         """Pairs of different components that no pivot settles, at least one of them outside the largest.
@@ -379,8 +412,16 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), te
     spark = docs.sparkSession
     scratch = Scratch(spark)
     n_parts = parts(spark, docs)
-    first = scratch.save(signatures(docs, cfg, text_col))
-    sig = first.filter("chunk is null").select("doc_id", "n", "set_id")
+    cfg = replace(cfg, bits=cfg.bits or sketch_bits(docs, text_col))
+    while True:
+        first = scratch.save(signatures(docs, cfg, text_col))
+        sig = first.filter("chunk is null")
+        # if two different sets have the same number, all are numbered anew with another seed
+        if sig.groupBy("set_id").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").isEmpty():
+            break
+        scratch.drop(first)
+        cfg = replace(cfg, seed=cfg.seed + 1)
+    sig = sig.select("doc_id", "n", "set_id")
     heavy = heavy_cells(first.filter("chunk is not null"), cfg)
     table = scratch.save(entries(docs, heavy, cfg, text_col))
     pairs = scratch.save(light_pairs(table.filter("not heavy"), cfg, n_parts))
@@ -405,8 +446,8 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig(), te
 
 def drop_near_copies(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id, once."""
-    cols = docs.columns
-    label = jaccard_components(docs, cfg)
-    keep = label.filter("doc_id = component_id").select("doc_id").distinct()
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
-    return docs.join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(w)).filter("_row = 1").select(cols)
+    keep = jaccard_components(docs, cfg).filter("doc_id <=> component_id").select("doc_id").distinct()
+    rows = packed_up(docs, "doc_id").withColumn("_order", F.xxhash64("_in"))
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    w = Window.partitionBy("doc_id").orderBy("_order")
+    return unpacked(kept.withColumn("_row", F.row_number().over(w)).filter("_row = 1"), docs.columns)
