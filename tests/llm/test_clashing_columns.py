@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trackloom.llm import jaccard, licences, mixing, neighbours, packing, pii, quality, queries, secrets, suffixes, wrappers
 
-CLASH = ["text_id", "n", "set_id", "row_id", "part", "length", "rank", "piece", "copies", "b", "s", "q", "v", "vec", "kept", "spans", "found", "live", "rate", "licence", "_row", "_words", "_text", "_cand", "_found", "_host", "_page"]
+CLASH = ["text_id", "n", "set_id", "row_id", "part", "length", "rank", "piece", "copies", "b", "s", "q", "v", "vec", "kept", "spans", "found", "live", "rate", "licence", "_row", "_words", "_text", "_cand", "_found", "_host", "_page", "_in", "_lines", "_bad", "_judged", "_lost", "cleaned", "judged", "_owner", "_repo", "_copy", "_order", "_id", "one", "whole", "value", "owners"]
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,24 @@ def test_all_columns_kept_once(spark, docs, name):
     low = [c.lower() for c in out.columns]
     assert len(low) == len(set(low)) and {"doc_id", "lang", "source"} <= set(low)
     assert out.count() == 4
+
+
+STAGES = {
+    **{name: lambda spark, d, f=f: f(spark, d, "/root/testdata/sf0.001") for name, f in corpus_pipeline.STAGES[:-1]},
+    "pii": lambda spark, d: pii.redact_pii(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(STAGES))
+def test_stages_carry_every_column(spark, name):
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(9)) + "." for i in range(9)) + "\nMenu\nWrite to a@b.com, token=abcdefghijkl12 now."
+    rows = [(1, prose, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (4, prose + " More.", "en", "t", 1), (4, prose, "en", "t", 1), (None, prose[::-1] + " of.", "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = [c for c in CLASH if c != "text"]
+    plain = sorted(map(repr, STAGES[name](spark, docs).collect()))
+    out = STAGES[name](spark, docs.select("*", *[F.lit(f"is {c}").alias(c) for c in names]))
+    assert out.columns == [*docs.columns, *names]
+    got = out.collect()
+    assert all(r[c] == f"is {c}" for r in got for c in names)
+    assert sorted(map(repr, out.select(docs.columns).collect())) == plain
+    assert STAGES[name](spark, docs.limit(0)).count() == 0

@@ -62,6 +62,13 @@ def test_query(spark):
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
     total = sum(r.n_words for r in rows)
     assert all(r.rate >= 0 and abs(r.p_clean + r.p_junk + r.p_toxic - 1) < 1e-9 for r in rows)
+    t, p = np.array([r.n_words for r in rows]), np.array([[r.p_clean, r.p_junk, r.p_toxic] for r in rows])
+    rate, cfg = np.array([r.rate for r in rows]), MixConfig()
+    want = total * np.array(list(cfg.targets.values()))
+    # 300 labels leave toxic documents without a known mark, so every document keeps some chance of it and no rates reach 0
+    assert np.allclose((rate * t) @ p / total, (descent(t, p, want, cfg) * t) @ p / total, atol=1e-3)
+    rows = queries.op5_soft_mixing(spark, "/root/testdata/sf0.1").collect()
+    total = sum(r.n_words for r in rows)
     shares = [sum(r.rate * r.n_words * r[f"p_{d}"] for r in rows) / total for d in ("clean", "junk", "toxic")]
     assert shares == pytest.approx([0.95, 0.05, 0.0], abs=0.02)
 
@@ -74,7 +81,23 @@ def test_classifier_on_held_out_labels(spark):
     best = [(r.domain, names[int(np.argmax(r.posteriors))]) for r in out]
     clean = [b == "clean" for a, b in best if a == "clean"]
     assert sum(clean) >= 0.98 * len(clean)
-    assert sum(a == b for a, b in best) >= 0.85 * len(best)
+    for kind in ("junk", "toxic"):
+        assert sum(b == kind for a, b in best if a == kind) >= 0.88 * sum(a == kind for a, _ in best)
+
+
+def test_regression_against_plain_newton(spark):
+    r = np.random.default_rng(2)
+    rows = [sorted(set(r.integers(0, 6, 4).tolist())) for _ in range(200)]
+    y = [int(0 in x) if r.random() < 0.8 else int(r.integers(0, 2)) for x in rows]
+    cfg = MixConfig(penalty=1.0, rounds=3000)
+    w, b = mixing.fit_logistic(rows, y, 6, 2, cfg)
+    x = np.array([[float(k in row) for k in range(6)] + [1.0] for row in rows])
+    v = np.zeros(7)  # two domains: the difference of their weights, each with half of it
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ v))
+        ridge = np.diag([0.5] * 6 + [1e-9])
+        v -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ v)
+    assert np.allclose(w[:, 1] - w[:, 0], v[:6], atol=1e-3) and abs(b[1] - b[0] - v[6]) < 1e-3
 
 
 def test_odd_documents(spark):
@@ -102,12 +125,14 @@ def test_realised_shares_meet_the_targets(spark):
     assert sorted(got) == sorted(mixing.resample(docs.repartition(3), labels, MixConfig(targets={"clean": 0.96, "junk": 0.03, "toxic": 0.01}, most=1.0)).collect())
 
 
-def test_words_that_share_a_slot_all_count(spark):
+def test_marks_that_share_a_slot_all_count(spark):
     rows = [(i, f"good{i % 6} text" if i % 2 else f"bad{i % 6} text") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
     for slots in (2, 4, 1 << 12):
-        assert sum(w != 0 for w in mixing.fit_words(docs, labels, MixConfig(slots=slots), "text").words) == 6
+        e = mixing.fit_classifier(docs, labels, MixConfig(slots=slots), "text")
+        assert sum(w != 0 for w in e.table) == len(e.weights[0]) >= 6
+        assert sorted(n for w, n in zip(e.table, e.number, strict=True) if w) == list(range(len(e.weights[0])))
     out = mixing.mix(docs, labels, MixConfig(slots=2)).collect()
     assert all((r.posteriors[0] > 0.9) == ("good" in r.text) for r in out)
 
@@ -120,6 +145,8 @@ def test_copies(spark):
 
 
 MIT = licences.TEXTS["MIT"][1]
+#: With the line breaks of the published text, one of which leaves "copyright notice" at the start of a line.
+ISC_LINES = "Copyright 2001 J. Roe\n\n" + licences.TEXTS["ISC"][1].replace("\n", " ").replace("the above copyright", "the above\ncopyright").replace("ISC License ", "ISC License\n\n")
 
 
 @pytest.mark.parametrize(
@@ -129,6 +156,8 @@ MIT = licences.TEXTS["MIT"][1]
         ("Copyright (c) 2020 Jane Roe\n\n" + MIT.upper().replace('"', "''").replace(",", " ,"), "MIT", "MIT"),
         ("© 1999, 2001 A. N. Other\n" + MIT.replace("LICENSE", "Licence").replace("MIT License", "MIT  licence."), "MIT", "MIT"),
         (MIT + " and more", "", "MIT"),
+        (ISC_LINES, "ISC", ""),
+        ("Copyright notice of the house.\nMIT License", "", "MIT"),
         ("Prose.\nReleased under the MIT Licence\nAll rights reserved.\nAll Rights Reserved", "", "MIT,reserved"),
         ("The licence of a poet is no permission.", "", ""),
         ("", "", ""),
