@@ -20,8 +20,7 @@ MIX = mixing.MixConfig(targets={"clean": 0.99, "junk": 0.01, "toxic": 0.0}, most
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules keep, without the lines that fail them."""
-    kept = quality.quality_rules(docs).filter("kept").withColumn("text", quality.cleaned_text(F.col("text")))
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return quality.clean(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
