@@ -98,7 +98,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def judged(line: Column, cfg: QualityConfig) -> Column:
-    """(n, bad): the words of a line, and whether it breaks a rule; lines without words break none."""
+    """(line, words, bad): the words of a line, and whether it breaks a rule; lines without words break none."""
 
     def rules(ws: Column) -> Column:
         n = F.size(ws)
@@ -112,45 +112,50 @@ def judged(line: Column, cfg: QualityConfig) -> Column:
             | ((n <= cfg.short_line_words) & ~line.rlike(CLOSED))
             | ((n <= 30) & line.rlike(BOILERPLATE))
         )
-        return F.struct(n.alias("n"), ((n > 0) & bad).alias("bad"))
+        return F.struct(line.alias("line"), ws.alias("words"), ((n > 0) & bad).alias("bad"))
 
     return let(words_of(line), rules)
 
 
-def total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+def verdict(text: Column, cfg: QualityConfig) -> Column:
+    """A struct of ADDED for a text, in one pass over its lines."""
+
+    def counted(lines: Column) -> Column:
+        failed = F.filter(lines, lambda x: x["bad"])
+        wordy = F.transform(F.filter(lines, lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
+        words = F.flatten(F.transform(lines, lambda x: x["words"]))
+        lost = F.aggregate(F.transform(failed, lambda x: F.size(x["words"]).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.struct(
+            let(words, lambda ws: F.struct(F.size(ws).cast("long").alias("n"), repeat_words(ws).cast("long").alias("again"))).alias("words"),
+            let(wordy, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("distinct"))).alias("lines"),
+            F.size(failed).cast("long").alias("failed"),
+            lost.alias("lost"),
+            F.array_join(F.transform(F.filter(lines, lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("cleaned"),
+        )
+
+    def judge(c: Column) -> Column:
+        n, again = c["words"]["n"], c["words"]["again"]
+        base_failed = (n < cfg.min_words) | (100 * again > cfg.max_repeat_percent * n)
+        kept = ~base_failed & (100 * (n - c["lost"]) >= cfg.min_kept_percent * n)
+        values = [
+            n, F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"), count_chars(text, "#*$%&|<>").cast("long"),
+            c["lines"]["n"] - c["lines"]["distinct"], again, base_failed, c["lines"]["n"], c["failed"], n - c["lost"], kept, c["cleaned"],
+        ]
+        return F.struct(*[v.alias(name) for name, v in zip(ADDED, values, strict=True)])
+
+    return let(let(F.transform(F.split(text, "\n"), lambda x: judged(x, cfg)), counted), judge)
 
 
 def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_col: str = "text") -> DataFrame:
     """docs with the counts, the line rules' outcome, the text ``cleaned`` of failing lines and the verdict ``kept`` added."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     base = without(docs, ADDED)
-    d = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_in"), text.alias("_text"))
-    d = d.withColumn("_lines", F.split("_text", "\n")).withColumn("_judged", F.transform("_lines", lambda x: judged(x, cfg)))
-    wordy = F.filter("_lines", lambda x, i: F.col("_judged")[i]["n"] > 0)
-    d = d.withColumns({
-        "n_words": total(F.transform("_judged", lambda j: j["n"].cast("long"))),
-        "word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": count_chars(F.col("_text"), "#*$%&|<>").cast("long"),
-        "n_dup_lines": let(wordy, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long"),
-        "n_repeat_words": repeat_words(words_of(F.col("_text"))).cast("long"),
-        "n_lines": F.size(F.filter("_judged", lambda j: j["n"] > 0)).cast("long"),
-        "n_lines_removed": F.size(F.filter("_judged", lambda j: j["bad"])).cast("long"),
-        "_lost": total(F.transform("_judged", lambda j: F.when(j["bad"], j["n"].cast("long")).otherwise(0))),
-        "cleaned": F.array_join(F.filter("_lines", lambda x, i: ~F.col("_judged")[i]["bad"]), "\n"),
-    })
-    d = d.withColumns({
-        "kept_words": F.col("n_words") - F.col("_lost"),
-        "base_failed": (F.col("n_words") < cfg.min_words)
-        | (100 * F.col("n_repeat_words") > cfg.max_repeat_percent * F.col("n_words")),
-    })
-    d = d.withColumn(
-        "kept", ~F.col("base_failed") & (100 * F.col("kept_words") >= cfg.min_kept_percent * F.col("n_words"))
-    )
-    return d.select(*[F.col("_in")[c].alias(c) for c in base.columns], *ADDED)
+    # a generator of one row, so that the verdict is computed once whatever is then asked of it
+    return docs.select(*[F.col(f"`{c}`") for c in base.columns], F.inline(F.array(verdict(F.coalesce(F.col(text_col), F.lit("")), cfg))))
 
 
 def clean(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """The documents that the rules keep, all columns as they are but for the text, which has lost its failing lines."""
-    out = quality_rules(packed_up(docs, "text"), cfg).filter("kept")
+    verdicts = F.array(verdict(F.coalesce(F.col("text"), F.lit("")), cfg))
+    # within the generator, as a filter behind it would be moved in front and judge every text a second time
+    out = packed_up(docs, "text").select("_in", F.inline(F.filter(verdicts, lambda v: v["kept"])))
     return unpacked(out, docs.columns, text=F.col("cleaned"))
