@@ -51,10 +51,10 @@ class MixConfig:
     targets: dict[str, float] = field(default_factory=lambda: {"clean": 0.95, "junk": 0.05, "toxic": 0.0})
     sample: int = 20_000
     slots: int = 1 << 12
-    least: int = 8
-    clear: float = 30.0
-    penalty: float = 0.3
-    rounds: int = 300
+    least: int = 5
+    clear: float = 20.0
+    penalty: float = 0.1
+    rounds: int = 200
     most: float = 8.0
     pull: float = 0.002
     steps: int = 20
@@ -75,18 +75,16 @@ def plain_words(text: Column) -> Column:
 
 
 def marks(text: Column) -> Column:
-    """Hashes of what a text is judged by: its words, their beginnings of four and six letters (inflected forms of
-    a word share one), and in coarse steps how often words repeat, how many there are, and the share of capitals."""
+    """Hashes of what a text is judged by: its words, the first five letters of longer ones (inflected forms of
+    a word share them), and in coarse steps how often words repeat, how many there are, and the share of capitals."""
     capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
 
-    def start(words: Column, k: int) -> Column:
-        return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.xxhash64(F.lit("^"), F.substring(w, 1, k)))
-
     def found(ws: Column) -> Column:
         many = F.greatest(F.size(ws), F.lit(1))
         whole = lambda name, c: F.xxhash64(F.lit(name), F.floor(c).cast("long"))
         return let(F.array_distinct(ws), lambda u: F.concat(
-            F.transform(u, lambda w: F.xxhash64(w)), start(u, 4), start(u, 6),
+            F.transform(u, lambda w: F.xxhash64(w)),
+            F.transform(F.filter(u, lambda w: F.length(w) >= 5), lambda w: F.xxhash64(F.substring(w, 1, 5), F.lit("…"))),
             F.array(
                 whole("repeated", 10 * (many - F.greatest(F.size(u), F.lit(1))) / many),
                 whole("length", F.log2(many)),
@@ -118,34 +116,39 @@ def fit_logistic(rows: list[list[int]], domain: list[int], n_marks: int, n_domai
 
     rows: the marks of each labelled document.
     """
+    rows = [[*r, n_marks] for r in rows]  # the last mark, which all have, carries the bias
     size = np.array([len(r) for r in rows])
     at, mark = np.repeat(np.arange(len(rows)), size), np.fromiter((m for r in rows for m in r), np.int64, int(size.sum()))
     want = np.eye(n_domains)[domain]
+    # marks are scaled by how often they occur, so that rare ones are learnt as fast as common ones
+    scale = 1 / np.sqrt(np.maximum(np.bincount(mark, minlength=n_marks + 1), 1))[:, None]
+    ridge = np.full((n_marks + 1, 1), cfg.penalty) * scale**2
+    ridge[-1] = 0
 
-    def scores(w: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(at, w[mark, i], len(rows)) for i in range(n_domains)], 1) + b
+    def scores(w: np.ndarray) -> np.ndarray:
+        w = w * scale
+        return np.stack([np.bincount(at, w[mark, i], len(rows)) for i in range(w.shape[1])], 1)
 
     def back(x: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(mark, x[at, i], n_marks) for i in range(n_domains)], 1)
-
-    v = np.ones((n_marks, n_domains)), np.ones(n_domains)
-    for _ in range(20):  # the greatest curvature, by power iteration
-        x = scores(*v)
-        v = back(x), x.sum(0)
-        norm = math.sqrt((v[0] ** 2).sum() + (v[1] ** 2).sum())
-        v = v[0] / norm, v[1] / norm
-    step = 1 / (0.55 * norm + cfg.penalty)
-    w, b = np.zeros((n_marks, n_domains)), np.zeros(n_domains)
-    w2, b2, k = w, b, 1.0
+        return np.stack([np.bincount(mark, x[at, i], n_marks + 1) for i in range(x.shape[1])], 1) * scale
+
+    v = np.ones((n_marks + 1, 1))
+    for _ in range(30):  # the greatest curvature, by power iteration
+        v = back(scores(v))
+        norm = math.sqrt((v**2).sum())
+        v = v / norm
+    step = 1 / (0.55 * norm + ridge.max())
+    w = w2 = np.zeros((n_marks + 1, n_domains))
+    k = 1.0
     for _ in range(cfg.rounds):
-        z = scores(w2, b2)
+        z = scores(w2)
         p = np.exp(z - z.max(1, keepdims=True))
-        miss = p / p.sum(1, keepdims=True) - want
-        w3, b3 = w2 - step * (back(miss) + cfg.penalty * w2), b2 - step * miss.sum(0)
+        w3 = w2 - step * (back(p / p.sum(1, keepdims=True) - want) + ridge * w2)
         k3 = (1 + math.sqrt(1 + 4 * k * k)) / 2
-        w2, b2 = w3 + (k - 1) / k3 * (w3 - w), b3 + (k - 1) / k3 * (b3 - b)
-        w, b, k = w3, b3, k3
-    return w, b
+        w2 = w3 + (k - 1) / k3 * (w3 - w)
+        w, k = w3, k3
+    w = w * scale
+    return w[:-1], w[-1]
 
 
 def numbered(best: list[int], slots: int) -> tuple[list[int], list[int]]:
@@ -161,7 +164,7 @@ def known_marks(found: Column, table: list[int], number: list[int]) -> Column:
     """The distinct numbers of those hashes in ``found`` that the table has."""
     hashes, numbers, size = constant(table, "bigint"), constant(number, "int"), F.lit(len(table))
     at = lambda w: F.pmod(w, size).cast("int")
-    return F.array_distinct(F.filter(F.transform(found, lambda w: F.when(F.get(hashes, at(w)) == w, F.get(numbers, at(w)))), lambda s: s.isNotNull()))
+    return F.array_distinct(F.transform(F.filter(found, lambda w: F.get(hashes, at(w)) == w), lambda w: F.get(numbers, at(w))))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str) -> Evidence:
