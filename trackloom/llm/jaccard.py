@@ -353,7 +353,7 @@ class HeavyRegions:
                 return checked
             # the pivot: of the members outside the largest component, the one with the smallest share of rare shingles
             order = F.struct((1 - F.col("h") / F.col("n")).alias("o"), F.xxhash64("set_id", F.lit(k)), F.col("set_id").alias("p"), F.col("n").alias("np"), F.col("h").alias("hp"))
-            pivots = self._odd(todo).groupBy("s", "g").agg(F.min(order).alias("t")).select("s", "g", "t.p", "t.np", "t.hp")
+            pivots = scratch.save(self._odd(todo).groupBy("s", "g").agg(F.min(order).alias("t")).select("s", "g", "t.p", "t.np", "t.hp"))
             met = self._joined(todo, pivots).withColumn("self", F.col("p") == F.col("set_id"))
             asked = met.filter(~F.col("self") & self._may("n", "np", "h", "hp"))
             pairs = scratch.save(asked.select(*_ordered_pair("set_id", "p", "n", "np")).distinct())
@@ -377,7 +377,7 @@ class HeavyRegions:
         """Members with odd: whether they are outside their region's largest component."""
         size = todo.groupBy("s", "g", "c").agg(F.count(F.lit(1)).alias("m"))
         top = size.groupBy("s", "g").agg(F.max(F.struct("m", "c")).alias("t")).select("s", "g", F.col("t.c").alias("top"))
-        return self._joined(todo, top).withColumn("odd", F.col("c") != F.col("top")).drop("top")
+        return self._joined(todo, self.scratch.save(top)).withColumn("odd", F.col("c") != F.col("top")).drop("top")
 
     def _odd(self, todo: DataFrame) -> DataFrame:
         return self._marked(todo).filter("odd").drop("odd")
@@ -385,7 +385,7 @@ class HeavyRegions:
     def _unsettled(self, members: DataFrame, label: DataFrame) -> DataFrame:
         """Members with their component, of the regions that have more than one."""
         c = members.join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
-        c = c.select(*members.columns, F.coalesce("component", "set_id").alias("c"))
+        c = self.scratch.save(c.select(*members.columns, F.coalesce("component", "set_id").alias("c")))
         open_ = c.groupBy("s", "g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
         return self.scratch.save(self._joined(c, open_.select("s", "g")))
 
