@@ -137,3 +137,56 @@ def vendor_court() -> dict[int, tuple[float, float]]:
     ]
     cm = dict(enumerate(left)) | {i: (v["length"] - left[j][0], left[j][1]) for i, j in FULL_MIRROR.items()}
     return {i: (x / 30.48, 50.0 - y / 30.48) for i, (x, y) in cm.items()}
+
+
+def _arc(line: str, cx: float, cy: float, radius: float, start: float, stop: float, n: int, closed: bool = True, side: float = 1.0):
+    """(line, i, x, y) of n points on an arc; side -1 turns it over."""
+    from pyspark.sql import functions as F
+
+    angle = F.lit(start) + F.col("i") * (stop - start) / (n - 1 if closed else n)
+    return F.sequence(F.lit(0), F.lit(n - 1)), lambda: (F.lit(line), F.col("i"), cx + side * radius * F.cos(angle), cy + radius * F.sin(angle))
+
+
+def _table(spark: SparkSession, straight: list[tuple[str, list[tuple[float, float]]]], arcs: list) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    rows = [(name, i, float(x), float(y)) for name, points in straight for i, (x, y) in enumerate(points)]
+    out = spark.createDataFrame(rows, "line string, i int, x double, y double")
+    for steps, cols in arcs:
+        line, i, x, y = cols()
+        out = out.unionByName(spark.range(1).select(F.explode(steps).alias("i")).select(line.alias("line"), i.cast("int").alias("i"), x.alias("x"), y.alias("y")))
+    return out
+
+
+def full_lines(spark: SparkSession) -> DataFrame:
+    """(line, i, x, y): the lines of the full court as points in order; round ones in sixty steps."""
+    from math import pi
+
+    turn, arc, (inset, reach) = 2 * pi, PROFILES["nba"][1], PROFILES["nba"][2]
+    far, lane = 2 * LENGTH, PROFILES["nba"][0]
+    straight = [("outer", [(0, 0), (far, 0), (far, WIDTH), (0, WIDTH), (0, 0)]), ("half", [(LENGTH, 0), (LENGTH, WIDTH)])]
+    arcs = [_arc("center-circle", LENGTH, CENTER_X, CIRCLE, 0.0, turn, 60)]
+    for name, x, s in (("left", 0.0, 1.0), ("right", far, -1.0)):
+        line = x + s * FREE_THROW_Y
+        straight.append((f"{name}-paint", [(x, CENTER_X - lane), (line, CENTER_X - lane), (line, CENTER_X + lane), (x, CENTER_X + lane)]))
+        straight += [(f"{name}-corner-{k}", [(x, y), (x + s * reach, y)]) for k, y in (("low", inset), ("high", WIDTH - inset))]
+        arcs += [_arc(f"{name}-circle", line, CENTER_X, CIRCLE, 0.0, turn, 60), _arc(f"{name}-arc", x + s * RIM_Y, CENTER_X, arc, -1.2, 1.2, 60, side=s)]
+    return _table(spark, straight, arcs)
+
+
+CURVES = {"three", "center", "halfcourt", "ft-circle"}
+
+
+def half_curves(spark: SparkSession, names: list[str], profile: str = "nba") -> DataFrame:
+    """(line, i, x, y): the asked curves of the half court as points in order; an unknown name is an error."""
+    from math import pi
+
+    if unknown := sorted(set(names) - CURVES):
+        raise ValueError(f"unknown curves: {', '.join(unknown)}")
+    arcs = {
+        "three": _arc("three", CENTER_X, RIM_Y, PROFILES[profile][1], 0.39, pi - 0.39, 80),
+        "center": _arc("center", CENTER_X, LENGTH, CIRCLE, pi, 2 * pi, 40),
+        "ft-circle": _arc("ft-circle", CENTER_X, FREE_THROW_Y, CIRCLE, 0.0, 2 * pi, 40, closed=False),
+    }
+    straight = [("halfcourt", [(0.5 + k, LENGTH) for k in range(50)])] if "halfcourt" in names else []
+    return _table(spark, straight, [arcs[n] for n in names if n in arcs]).filter(f"y <= {LENGTH} + 1e-9")

@@ -110,53 +110,62 @@ class RegistrarRule:
     least: int = 4
 
 
-class Registrar:
-    """Frame-by-frame registration: anchors smoothed in the image, the last good one kept for a while, then nothing."""
-
-    def __init__(self, rule: RegistrarRule = RegistrarRule()):
-        self.rule = rule
-        full = courts.full_court()
-        self.feet = np.array([full[i] for i in courts.SMOOTHED])
-        self.reset()
-
-    def reset(self) -> None:
-        self.anchors, self.h, self.misses = None, None, 0
-
-    def update(self, fit: np.ndarray | None) -> np.ndarray | None:
-        if fit is None:
-            self.misses += 1
-            if self.h is not None and self.misses <= self.rule.max_misses:
-                return self.h
-            if self.misses > self.rule.max_misses:
-                self.reset()
-            return None
-        self.misses = 0
-        seen = apply_homography(np.linalg.inv(fit), self.feet)
-        a = self.rule.alpha
-        self.anchors = seen if self.anchors is None else (1 - a) * self.anchors + a * seen
-        smooth = solve_homography(self.anchors, self.feet)
-        self.h = fit if smooth is None else smooth
-        return self.h
+def _averaged(w: Window, alpha: float, v: str, add) -> Column:
+    """Exponential average of the rows of a window: the weight of older ones falls under what a double can hold."""
+    back = int(np.ceil(-38 / np.log(1 - alpha))) if alpha < 1 else 1
+    rows = F.collect_list(v).over(w.rowsBetween(-back, 0))
+    return F.aggregate(F.slice(rows, 2, back), rows[0], lambda e, x: add(e, x, alpha))
+
+
+def smoothed_anchors(fits: DataFrame, rule: RegistrarRule = RegistrarRule()) -> DataFrame:
+    """fits(clip_id, frame, h) with good (a frame with a fit), last (misses since one), run and the averaged anchors.
+
+    The anchors are a few floor points seen through the inverse fit; they are averaged over the good frames of a
+    run, and a run ends where more than max_misses frames in a row have no fit. Windows over a clip's frames do all
+    of it: no state is carried by hand.
+    """
+    full = courts.full_court()
+    order = Window.partitionBy("clip_id").orderBy("frame")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    f = fits.withColumns({"good": F.col("h").isNotNull(), "n": F.row_number().over(order)})
+    at = F.when(F.col("good"), F.col("n"))
+    f = f.withColumn("last", F.col("n") - F.max(at).over(so_far))
+    gap = F.col("n") - F.max(at).over(order.rowsBetween(Window.unboundedPreceding, -1)) - 1
+    f = f.withColumn("_new", F.when(F.col("good") & F.coalesce(gap > rule.max_misses, F.lit(True)), 1).otherwise(0))
+    f = f.withColumn("run", F.sum("_new").over(so_far))
+    # one lambda for all points, with the inverse as a value: written out for each it would be a huge expression
+    feet = F.array(*[g.point(F.lit(full[i][0]), F.lit(full[i][1])) for i in courts.SMOOTHED])
+    pair = lambda p: F.array(p["x"], p["y"])
+    seen = lambda back: F.flatten(F.transform(feet, lambda p: pair(g.project(back, p["x"], p["y"]))))
+    f = f.withColumn("_seen", F.when(F.col("good"), F.transform(F.array(g.inverse(F.col("h"))), seen)[0]))
+    within = Window.partitionBy("clip_id", "run", "good").orderBy("frame")
+    mean = _averaged(within, rule.alpha, "_seen", lambda e, x, al: F.zip_with(e, x, lambda p, q: (1 - al) * p + al * q))
+    return f.withColumn("anchors", F.when(F.col("good"), mean)).drop("_new", "_seen", "n")
 
 
 def registered(keypoints: DataFrame, frames: DataFrame, rule: RegistrarRule = RegistrarRule()) -> DataFrame:
     """(clip_id, frame, h) for every row of frames(clip_id, frame); h is null where registration is unavailable.
 
-    Fits are made for all frames in parallel; only the smoothing, whose state is one small array, runs in the
-    order of a clip's frames.
+    A frame with a fit has the homography of its averaged anchors, or its own if they determine none; one without
+    keeps the last for up to max_misses frames. Both kinds of fit are made for all frames in parallel.
     """
     base = frames.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("frame").cast("long").alias("frame"))
     fits = base.join(fit_frames(keypoints, rule.threshold, rule.least).select("clip_id", "frame", "h"), ["clip_id", "frame"], "left")
+    full = courts.full_court()
+    feet = np.array([full[i] for i in courts.SMOOTHED])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        reg, out = Registrar(rule), []
-        pdf = pdf.sort_values("frame")
-        for h in pdf["h"]:
-            now = reg.update(None if h is None else np.array(h).reshape(3, 3))
-            out.append(None if now is None else now.ravel())
-        return pdf[["clip_id", "frame"]].assign(h=out)
+    def refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for own, anchors in zip(pdf["h"], pdf["anchors"], strict=True):
+                h = None if anchors is None else solve_homography(np.asarray(anchors, float).reshape(-1, 2), feet)
+                out.append(own if h is None else h.ravel())
+            yield pdf[["clip_id", "frame", "last"]].assign(h=out)
 
-    return fits.groupBy("clip_id").applyInPandas(run, "clip_id string, frame long, h array<double>")
+    done = smoothed_anchors(fits, rule).select("clip_id", "frame", "last", "h", "anchors").mapInPandas(refit, "clip_id string, frame long, last int, h array<double>")
+    so_far = Window.partitionBy("clip_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.when(F.col("last") <= rule.max_misses, F.last("h", ignorenulls=True).over(so_far))
+    return done.select("clip_id", "frame", held.alias("h"))
 
 
 def registration_rate(found: DataFrame, least: float = 0.8, key: str = "clip_id") -> DataFrame:
@@ -168,33 +177,44 @@ def registration_rate(found: DataFrame, least: float = 0.8, key: str = "clip_id"
 def accumulated_motion(motions: DataFrame, key: str = "clip_id") -> DataFrame:
     """(clip, frame, h): products of the frame-to-frame matrices; null or missing motion is the identity.
 
-    motions(clip, frame, affine: row-major 2x3). The fold runs in the JVM over a clip's ordered array.
+    motions(clip, frame, affine: row-major 2x3). The product is a fold along a clip, one step a frame.
     """
     one = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)])
-    m = F.coalesce(g.promote(F.col("affine")), one)
-    lists = motions.select(key, "frame", m.alias("m")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("frame", "m"))).alias("s"))
-    item = "struct<frame:bigint,h:array<double>>"
+    kind = motions.schema[key].dataType.simpleString()
 
-    def step(a: Column, r: Column) -> Column:
-        last = F.when(F.size(a) > 0, F.element_at(a, -1)["h"]).otherwise(one)
-        prod = F.array(*[sum(last[3 * i + k] * r["m"][3 * k + j] for k in range(3)) for i in range(3) for j in range(3)])
-        return F.array_append(a, F.struct(r["frame"].cast("long").alias("frame"), prod.alias("h")))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, out = pdf.sort_values("frame", kind="stable"), np.eye(3), []
+        for m in pdf["m"]:
+            now = now @ np.asarray(m, float).reshape(3, 3)
+            out.append(now.ravel())
+        return pdf[[key, "frame"]].assign(h=out)
 
-    out = F.aggregate("s", F.array().cast(f"array<{item}>"), step)
-    return lists.select(key, F.explode(out).alias("x")).select(key, "x.frame", "x.h")
+    m = motions.select(key, F.col("frame").cast("long").alias("frame"), F.coalesce(g.promote(F.col("affine")), one).alias("m"))
+    return m.groupBy(key).applyInPandas(fold, f"{key} {kind}, frame long, h array<double>")
 
 
 def ema(values: DataFrame, alpha: float, key: str = "clip_id") -> DataFrame:
     """values(clip, frame, v) with the exponential average e; a null v keeps the last one."""
-    lists = values.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("s"))
-
-    def step(a: Column, r: Column) -> Column:
-        last = F.when(F.size(a) > 0, F.element_at(a, -1)["e"])
-        e = F.coalesce((1 - alpha) * last + alpha * r["v"], r["v"], last)
-        return F.array_append(a, F.struct(r["frame"].cast("long").alias("frame"), e.alias("e")))
-
-    out = F.aggregate("s", F.array().cast("array<struct<frame:bigint,e:double>>"), step)
-    return lists.select(key, F.explode(out).alias("x")).select(key, "x.frame", "x.e")
+    known = F.col("v").isNotNull()
+    v = values.select(key, F.col("frame").cast("long").alias("frame"), F.col("v").cast("double").alias("v"), known.alias("_k"))
+    mean = _averaged(Window.partitionBy(key, "_k").orderBy("frame"), alpha, "v", lambda e, x, al: (1 - al) * e + al * x)
+    so_far = Window.partitionBy(key).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return v.withColumn("_e", F.when(F.col("_k"), mean)).select(key, "frame", F.last("_e", ignorenulls=True).over(so_far).alias("e"))
+
+
+def curve_normals(points: DataFrame, key: list[str], order: str = "i") -> DataFrame:
+    """points(…, i, x, y) with the unit normal (nx, ny) of the curve: across half the way from the point before to the
+    next, at the ends from or to the point itself; (0, 0) where the curve stands still."""
+    w = Window.partitionBy(*key).orderBy(order)
+
+    def slope(c: str) -> Column:
+        back, ahead, here = F.lag(c).over(w), F.lead(c).over(w), F.col(c)
+        return F.when(back.isNull() & ahead.isNull(), 0.0).when(back.isNull(), ahead - here).when(ahead.isNull(), here - back).otherwise((ahead - back) / 2)
+
+    out = points.withColumns({"_tx": slope("x"), "_ty": slope("y")})
+    size = F.sqrt(F.col("_tx") * F.col("_tx") + F.col("_ty") * F.col("_ty"))
+    size = F.when(size > 0, size).otherwise(1.0)
+    return out.withColumns({"nx": -F.col("_ty") / size, "ny": F.col("_tx") / size}).drop("_tx", "_ty")
 
 
 def reprojection(points: DataFrame, h: Column) -> DataFrame:

@@ -61,3 +61,12 @@ def read_frames(frames: DataFrame, every: int, key: str = "clip_id") -> DataFram
     """Of the analysed frames the first of every ``every``."""
     w = Window.partitionBy(key).orderBy("frame")
     return frames.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") - 1) % every == 0).drop("_n")
+
+
+def first_frames(frames: DataFrame, stride: int = 1, max_frames: int | None = None, key: str = "clip_id") -> DataFrame:
+    """Every stride-th frame by its number, of each clip the first max_frames of these."""
+    kept = frames.filter(F.col("frame") % stride == 0)
+    if max_frames is None:
+        return kept
+    w = Window.partitionBy(key).orderBy("frame")
+    return kept.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_frames).drop("_r")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,10 @@ EVENT = "struct<frame:int,outcome:string,ball_x:double,ball_y:double,resolved_fr
 
 def fill_gaps(ball: DataFrame, max_gap: int, key: str = "clip_id") -> DataFrame:
     """ball(clip, i, bx, by_) with nulls filled linearly in runs of at most max_gap between known points."""
-    w = Window.partitionBy(key).orderBy("i")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("bx").isNotNull(), F.struct("i", "bx", "by_"))
-    out = ball.withColumns({"_p": F.last(known, ignorenulls=True).over(back), "_n": F.first(known, ignorenulls=True).over(ahead)})
+    so_far = lambda by: Window.partitionBy(key).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.last(F.when(F.col("bx").isNotNull(), F.struct("i", "bx", "by_")), ignorenulls=True)
+    # the next known point is the last one when the frames are read backwards
+    out = ball.withColumns({"_p": known.over(so_far("i")), "_n": known.over(so_far(F.desc("i")))})
     span = F.col("_n.i") - F.col("_p.i")
     share = F.when((span > 0) & (span - 1 <= max_gap), (F.col("i") - F.col("_p.i")) / span)
     fill = lambda c: F.coalesce(F.col(c), F.col(f"_p.{c}") + share * (F.col(f"_n.{c}") - F.col(f"_p.{c}")))
@@ -133,15 +135,27 @@ def match_events(events: DataFrame, truths: DataFrame, tolerance: float = 2.0, k
     t = truths.select(key, "truth_ord", F.col("time_s").alias("tt"), cell("time_s").alias("cell"))
     near = e.join(t, [key, "cell"]).withColumn("d", F.abs(F.col("te") - F.col("tt"))).filter(F.col("d") <= tolerance)
     per = near.groupBy(key, "te", "event_ord").agg(F.array_sort(F.collect_list(F.struct("d", "truth_ord"))).alias("c"))
-    lists = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("te", "event_ord", "c"))).alias("todo"))
-    none = F.array().cast("array<struct<event_ord:long,truth_ord:long>>")
-
-    def take(a: Column, r: Column) -> Column:
-        free = F.filter(r["c"], lambda c: ~F.exists(a, lambda m: m["truth_ord"] == c["truth_ord"]))
-        pair = F.struct(r["event_ord"].cast("long").alias("event_ord"), F.get(free, F.lit(0))["truth_ord"].cast("long").alias("truth_ord"))
-        return F.when(F.size(free) > 0, F.array_append(a, pair)).otherwise(a)
-
-    pairs = lists.select(key, F.explode(F.aggregate("todo", none, take)).alias("m")).select(key, "m.event_ord", "m.truth_ord")
+    # events more than two tolerances apart share no truth, so each run of closer ones is matched by itself
+    w = Window.partitionBy(key).orderBy("te", "event_ord")
+    per = per.withColumn("_new", F.coalesce(F.col("te") - F.lag("te").over(w) > 2 * tolerance, F.lit(True)).cast("int"))
+    per = per.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = per.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("te", "event_ord", "c"))).alias("todo"))
+    lists = lists.select(key, F.transform("todo", lambda r: r["event_ord"].cast("long")).alias("e"), F.transform("todo", lambda r: F.transform(r["c"], lambda c: c["truth_ord"].cast("long"))).alias("t"))
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for clip, es, near_ in zip(pdf[key], pdf["e"], pdf["t"], strict=True):
+                taken: set = set()
+                for e_, ts in zip(es, near_, strict=True):
+                    free = next((x for x in ts if x not in taken), None)
+                    if free is not None:
+                        taken.add(free)
+                        out.append((clip, e_, free))
+            yield pd.DataFrame(out, columns=[key, "event_ord", "truth_ord"])
+
+    kind = events.schema[key].dataType.simpleString()
+    pairs = lists.mapInPandas(take, f"{key} {kind}, event_ord long, truth_ord long")
     all_e = events.select(key, F.col("event_ord").cast("long").alias("event_ord"))
     all_t = truths.select(key, F.col("truth_ord").cast("long").alias("truth_ord"))
     lost = all_e.join(pairs, [key, "event_ord"], "left_anti").withColumn("truth_ord", F.lit(None).cast("long"))
