@@ -19,11 +19,14 @@ def _clip() -> Column:
     return F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", "")
 
 
-def mot(spark: SparkSession, path: str) -> DataFrame:
-    """(clip_id, frame, id, x, y, w, h, conf) of header-less CSV files; no or negative confidence is 1."""
+def mot(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """(clip_id, frame, id, x, y, w, h, conf) of header-less CSV files; no or negative confidence is 1.
+
+    folder: the key of the folders that name the clips, if it is not the files that name them.
+    """
     df = spark.read.schema(MOT).csv(path, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).filter("frame is not null")
     conf = F.when(F.coalesce(F.col("conf"), F.lit("")).isin("", "-1"), 1.0).otherwise(F.col("conf").cast("double"))
-    return df.select(_clip().alias("clip_id"), "frame", "id", "x", "y", "w", "h", conf.alias("conf"))
+    return df.select((F.col(folder) if folder else _clip()).alias("clip_id"), "frame", "id", "x", "y", "w", "h", conf.alias("conf"))
 
 
 def mot_frames(boxes: DataFrame, key: str = "clip_id") -> DataFrame:

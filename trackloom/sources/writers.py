@@ -67,6 +67,24 @@ def yolo_pose_lines(images: DataFrame, points: DataFrame) -> DataFrame:
     return out.select("file_name", F.coalesce("value", F.lit("")).alias("value"))
 
 
+def stats_payload(stats: DataFrame, meta: DataFrame, key: str = "clip_id") -> DataFrame:
+    """(clip, value): one JSON text per clip with its meta row and its players, longest distance first.
+
+    stats(clip, track_id, …) and meta(clip, …) may have any further columns; a clip without players has an empty list.
+    """
+    cols = [c for c in stats.columns if c != key]
+    row = F.struct((-F.col("distance_ft")).alias("o"), F.struct(*cols).alias("p"))
+    per = stats.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["p"]).alias("players"))
+    none = F.array().cast(per.schema["players"].dataType)
+    out = meta.select(key, F.struct(*[c for c in meta.columns if c != key]).alias("meta")).join(per, key, "left")
+    return out.select(key, F.to_json(F.struct("meta", F.coalesce("players", none).alias("players")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_texts(texts: DataFrame, path: str, key: str = "clip_id") -> None:
+    """texts(clip, value) as text files, a folder for each clip."""
+    texts.write.partitionBy(key).mode("overwrite").text(path)
+
+
 def box_score(totals: DataFrame, meta: DataFrame) -> DataFrame:
     """The box score as one JSON text: schema_version 1, the residual and a row per number, longest time first."""
     rows = totals.agg(F.array_sort(F.collect_list(F.struct((-F.col("seconds")).alias("o"), "number", "segments", "seconds", "distance_ft", "avg_speed_mph", "top_speed_mph"))).alias("r"))
