@@ -50,7 +50,7 @@ class MixConfig:
 
     targets: dict[str, float] = field(default_factory=lambda: {"clean": 0.95, "junk": 0.05, "toxic": 0.0})
     sample: int = 20_000
-    slots: int = 1 << 12
+    slots: int = 1 << 10
     least: int = 5
     clear: float = 20.0
     penalty: float = 0.1
@@ -68,9 +68,8 @@ def domain_of(labels: DataFrame) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """The lower-case words of a text; repeated signs and bars are words of their own, single punctuation is none."""
-    apart = F.regexp_replace(F.lower(text), r"(\p{Punct})\1+|\|", " $0 ")
-    bare = F.regexp_replace(apart, r"(?<!\p{Punct})[.,;:!?\"'()](?!\p{Punct})", " ")
+    """The lower-case words of a text; signs that repeat and bars are words of their own, other punctuation is none."""
+    bare = F.regexp_replace(F.lower(text), r"(\p{Punct})\1+|(\|)|[.,;:!?\"'()]", " $1$1$2 ")
     return F.filter(F.split(bare, SPACE), lambda w: w != "")
 
 
@@ -102,7 +101,7 @@ def constant(values: list, kind: str) -> Column:
 
 @dataclass(frozen=True)
 class Evidence:
-    """The classifier: a weight of each domain, a table of the marks' hashes, one to a slot at most, with their
+    """The classifier: a weight of each domain, a table of the marks' hashes, each in one of its two slots, with their
     numbers, and the weights of each domain by number."""
 
     bias: list[float]
@@ -151,20 +150,39 @@ def fit_logistic(rows: list[list[int]], domain: list[int], n_marks: int, n_domai
     return w[:-1], w[-1]
 
 
+def places(w: int, size: int) -> tuple[int, int]:
+    """The two slots that a hash may have."""
+    return w % size, (w >> 32) % size
+
+
 def numbered(best: list[int], slots: int) -> tuple[list[int], list[int]]:
-    """The least table of ``slots`` or more in which no two hashes share a slot, and the place of each in ``best``."""
-    size = next(m for m in count(max(slots, len(best) ** 2 // 8)) if len({w % m for w in best}) == len(best))
-    table, number = [0] * size, [0] * size
-    for i, w in enumerate(best):
-        table[w % size], number[w % size] = w, i
-    return table, number
+    """The least table of ``slots`` or more, and four for each hash, in which each has one of its two slots alone;
+    and the place of each in ``best``. An empty slot holds 0 and -1."""
+    for size in count(max(slots, 4 * len(best), 1)):
+        held: dict[int, int] = {}
+        for i in range(len(best)):
+            at, now = places(best[i], size)[0], i
+            for _ in range(200):  # who was there moves to its other slot
+                now, held[at] = held.get(at, -1), now
+                if now < 0:
+                    break
+                p, q = places(best[now], size)
+                at = q if at == p else p
+            if now >= 0:
+                break
+        else:
+            return [best[held[k]] if k in held else 0 for k in range(size)], [held.get(k, -1) for k in range(size)]
+    raise AssertionError
 
 
 def known_marks(found: Column, table: list[int], number: list[int]) -> Column:
     """The distinct numbers of those hashes in ``found`` that the table has."""
     hashes, numbers, size = constant(table, "bigint"), constant(number, "int"), F.lit(len(table))
-    at = lambda w: F.pmod(w, size).cast("int")
-    return F.array_distinct(F.transform(F.filter(found, lambda w: F.get(hashes, at(w)) == w), lambda w: F.get(numbers, at(w))))
+    one = lambda w: F.pmod(w, size).cast("int")
+    two = lambda w: F.pmod(F.shiftright(w, 32), size).cast("int")
+    met = F.filter(found, lambda w: (F.get(hashes, one(w)) == w) | (F.get(hashes, two(w)) == w))
+    of = F.transform(met, lambda w: F.when(F.get(hashes, one(w)) == w, F.get(numbers, one(w))).otherwise(F.get(numbers, two(w))))
+    return F.array_distinct(F.filter(of, lambda n: n >= 0))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str) -> Evidence:
@@ -179,7 +197,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col:
     n = [sizes.get(d, 0) for d in names]
     total = sum(n)
     if not total:
-        return Evidence([0.0] + [-30.0] * (len(names) - 1), [0], [0], [[0.0] for _ in names])
+        return Evidence([0.0] + [-30.0] * (len(names) - 1), [0], [-1], [[0.0] for _ in names])
     counts = met.select("domain", F.explode("m").alias("w")).groupBy("w").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names)], F.count(F.lit(1)).alias("n"))
     off = sum((F.pow(F.col(f"n{i}") - F.col("n") * (k / total), 2) / (F.col("n") * (k / total)) for i, k in enumerate(n) if k), F.lit(0.0))
     # the sampled documents hold these, so their number is bounded by the sample too
