@@ -54,7 +54,7 @@ class MixConfig:
     least: int = 5
     clear: float = 20.0
     penalty: float = 0.1
-    rounds: int = 200
+    rounds: int = 80
     most: float = 8.0
     pull: float = 0.002
     steps: int = 20
@@ -76,7 +76,7 @@ def plain_words(text: Column) -> Column:
 def marks(text: Column) -> Column:
     """Hashes of what a text is judged by: its words, the first five letters of longer ones (inflected forms of
     a word share them), and in coarse steps how often words repeat, how many there are, and the share of capitals."""
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
 
     def found(ws: Column) -> Column:
         many = F.greatest(F.size(ws), F.lit(1))
