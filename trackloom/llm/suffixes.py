@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import COMMON, Scratch, join_spread, parts, sliced
+from .common import COMMON, Scratch, join_spread, parts, release, sliced
 from .shingles import mix, prefix_sums, range_hash
 
 HEAD = struct.Struct("<BBBBqI")  # shared bytes, further bytes, bytes before, windows - 1, text, first window
@@ -53,7 +53,7 @@ class SuffixConfig:
     length: int = 200
     gram: int = 64
     hot: int = 50_000
-    run: int = 16 << 20
+    run: int = 4 << 20
     id_bits: int = 64
 
 
@@ -240,7 +240,7 @@ def runs(found: DataFrame, cfg: SuffixConfig, dealt: tuple[np.ndarray, np.ndarra
             for p in sorted(by):
                 yield batch([(p, coded(sorted(by.pop(p), key=lambda x: x[0])), None, None, None)])
 
-        for b in sliced(batches, 4096):
+        for b in sliced(batches, 1024):
             wins: list[tuple[bytes, int, int]] = []
             for key, text, grams, hot in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
                 if key in done:
@@ -330,6 +330,8 @@ def merged(coded_runs: DataFrame, cfg: SuffixConfig) -> DataFrame:
         if items:
             for c, v in zip(out, repeated_windows(items, cfg), strict=True):
                 c.append(v)
+        del tree, items
+        release()
         return pa.table(dict(zip(("text_id", "b", "e"), map(np.concatenate, out), strict=True)))
 
     return coded_runs.groupBy("part").applyInArrow(work, "text_id long, b long, e long")
