@@ -85,6 +85,31 @@ def test_copies_nulls_and_empty(spark):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
+def test_two_templates_of_a_host(spark):
+    def shop(i):
+        return f"<div class=shop><p>Fine wares daily</p><div class=body><p>Ware number {i} costs {i * 3} coins.</p><p>Packed in lot {i}.</p></div></div>"
+
+    def talk(i):
+        return f"<div class='talk t{i}'><div class=lead><p>Voices of the town</p></div><div class=turns><p>Speech {i} lasted {i + 7} minutes.</p></div></div>"
+
+    rows = [(i, "http://two.org/x", shop(i), None, None) for i in range(40)]
+    rows += [(100 + i, "http://two.org/y", talk(i), None, None) for i in range(25)]
+    rows += [(200 + i, "http://two.org/z", "", None, None) for i in range(30)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"Ware number {i} costs {i * 3} coins.\nPacked in lot {i}." for i in range(40))
+    assert all(got[100 + i] == f"Speech {i} lasted {i + 7} minutes." for i in range(25))
+    assert all(got[200 + i] == "" for i in range(30))
+
+
+def test_a_reference_with_a_text_of_its_own(spark):
+    """The most frequent text of a node is template whatever the reference page has there."""
+    rows = [(i, "http://own.org/x", f"<div><div><p>{'Odd' if i % 8 == 0 else 'Usual'} heading words</p></div><div><p>Story {i} of {i * 5} ends.</p></div></div>", None, None) for i in range(24)]
+    for shift in range(3):  # other pages have the lowest hash
+        moved = [(i, u, h.replace("Story", "Story" + "x" * shift), t, o) for i, u, h, t, o in rows]
+        got = texts(spark, moved)
+        assert all(("heading" in got[i]) == (i % 8 == 0) for i in range(24))
+
+
 def test_salted_join(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
     test_constant_nodes_become_template(spark)

@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are instances of a few templates. One page per host is its reference
-tree, and every page of the host is aligned with it by simple tree matching: nodes match
-only if their labels agree, and the children of matching nodes are aligned in order so
-that most nodes match. Counts per reference node over all pages of the host tell what is
-constant (template) and what varies (content slots). They are combined per task before
+Pages of a host are instances of a few templates, told apart by the set of their block
+elements and classes. One page of each kind is its reference tree, and every page of the
+kind is aligned with it by simple tree matching: nodes match only if their labels agree,
+and the children of matching nodes are aligned in order so that most nodes match. Counts
+per reference node and text over all pages of the kind tell what is constant (template:
+the most frequent text) and what varies (content slots). They are combined per task before
 they are shuffled, so a host with a third of all pages is counted like any other; only
 the reference tree, one page, is sent along with the pages. A text block of a page is
 dropped if its node is template or lies in a region whose role is known from its tag or
@@ -18,6 +19,7 @@ clashing column names are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,16 +68,20 @@ _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BLANK = re.compile(r"\s+")
 _WORD = re.compile(r"\w")
+#: Numbers of pages and posts in class names, which tell no templates apart.
+_DIGITS = re.compile("[0-9]+")
 
 
 @dataclass(frozen=True)
 class WrapperConfig:
     """least: pages with a node before it can be template; constant, constant_in_main: share of them with equal text;
+    least_kind: pages of a shape before it has a reference of its own;
     cells: pairs of children up to which plain lists are faster than arrays, with the same result."""
 
     least: int = 5
     constant: float = 0.8
     least_in_main: int = 20
+    least_kind: int = 20
     constant_in_main: float = 0.95
     cells: int = 2500
 
@@ -181,7 +187,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             at = end.end() if end else n
             texts.append((stack[-1], ""))
             continue
-        nodes.append(Node(tag, f"{tag}.{cls}" if cls else tag, stack[-1], off))
+        nodes.append(Node(tag, f"{tag}.{_DIGITS.sub('', cls)}" if cls else tag, stack[-1], off))
         nodes[stack[-1]].kids.append(len(nodes) - 1)
         stack.append(len(nodes) - 1)
         open_[tag] = open_.get(tag, 0) + 1
@@ -376,42 +382,56 @@ def _running(nodes: list[Node], texts: list[tuple[int, str]], off: list[bool]) -
 
 
 class References:
-    """Parsed reference trees of the hosts lately met by this task."""
+    """Parsed reference trees lately met by this task."""
 
     def __init__(self, limit: int = 200):
         self.limit, self.by = limit, {}
 
-    def of(self, host: str, page: str) -> tuple[list[Node], list[str]]:
-        if host not in self.by:
+    def of(self, host: str, kind: int, page: str) -> list[Node]:
+        if (host, kind) not in self.by:
             if len(self.by) >= self.limit:
                 self.by.clear()
-            nodes, _ = parse(page)
-            self.by[host] = nodes, [own_text(n) for n in nodes]
-        return self.by[host]
+            self.by[host, kind] = parse(page)[0]
+        return self.by[host, kind]
+
+
+def digest(text: str) -> int:
+    """A number of 64 bits for a node's text, 0 for none."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if text else 0
+
+
+def shape(page: Column) -> Column:
+    """A number for the set of block elements with their classes; pages of one template mostly share it.
+
+    Digits in class names count for nothing, since they number pages and posts.
+    """
+    tags = F.regexp_extract_all(page, F.lit(r"<((?i:article|aside|body|div|footer|form|header|main|nav|section)(?=[\s/>])[^>]*)>"), F.lit(1))
+    name = lambda t: F.regexp_extract(t, "^[a-z]+", 0)
+    cls = lambda t: F.regexp_replace(F.regexp_extract(t, r"\sclass\s*=\s*[\"']?([^\"'>]*)", 1), "[0-9]+", "")
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, lambda t: F.concat_ws(".", name(F.lower(t)), cls(F.lower(t)))))))
 
 
 def node_counts(pages: DataFrame, cfg: WrapperConfig) -> DataFrame:
-    """(host, node, met, same): pages aligned with a reference node, and with equal text there."""
+    """(host, kind, node, digest, n): pages aligned with a reference node, by their text there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = References()
         for b in batches:
-            count: dict[tuple[str, int], list[int]] = {}
-            for host, page, ref in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            count: dict[tuple[str, int, int, int], int] = {}
+            for host, kind, page, ref in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 nodes, _ = parse(page)
-                ref_nodes, ref_text = refs.of(host, ref)
-                for i, j in align(nodes, ref_nodes, cfg).items():
-                    if ref_text[j]:
-                        c = count.setdefault((host, j), [0, 0])
-                        c[0] += 1
-                        c[1] += own_text(nodes[i]) == ref_text[j]
+                for i, j in align(nodes, refs.of(host, kind, ref), cfg).items():
+                    key = host, kind, j, digest(own_text(nodes[i]))
+                    count[key] = count.get(key, 0) + 1
             if count:
+                host, kind, node, text = zip(*count, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in count]), pa.array([k[1] for k in count], pa.int32()), pa.array([c[0] for c in count.values()], pa.int64()), pa.array([c[1] for c in count.values()], pa.int64())],
-                    names=["host", "node", "met", "same"],
-                )
+                    [pa.array(host), pa.array(kind, pa.int64()), pa.array(node, pa.int32()), pa.array(text, pa.int64()), pa.array(count.values(), pa.int64())],
+                    names=["host", "kind", "node", "digest", "n"],
+                )
 
-    return pages.select("host", "page", "ref").mapInArrow(run, "host string, node int, met long, same long")
+    columns = [F.col("_host").alias("host"), F.col("_kind").alias("kind"), F.col("_page").alias("page"), F.col("_ref").alias("ref")]
+    return pages.select(*columns).mapInArrow(run, "host string, kind long, node int, digest long, n long")
 
 
 def extract(pages: DataFrame, cfg: WrapperConfig, carried: list[str]) -> DataFrame:
@@ -424,64 +444,80 @@ def extract(pages: DataFrame, cfg: WrapperConfig, carried: list[str]) -> DataFra
         refs = References()
         for b in batches:
             out = []
-            rows = zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_host", "_page", "_ref", "_template", "_template_in_main")), strict=True)
-            for host, page, ref, fixed, fixed_in_main in rows:
+            inputs = ("_host", "_kind", "_page", "_ref", "_template")
+            for host, kind, page, ref, template in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs), strict=True):
                 nodes, texts = parse(page)
-                template = set()
-                if fixed and ref:
-                    want, want_in_main = set(fixed), set(fixed_in_main or ())
+                fixed = set()
+                if template and ref:
+                    want = {t["node"]: (t["digest"], t["in_main"]) for t in template}
                     inner = [False] * len(nodes)
                     for i in range(1, len(nodes)):
                         inner[i] = inner[nodes[i].parent] or nodes[i].tag in MAIN_TAGS
-                    ref_nodes, ref_text = refs.of(host, ref)
-                    for i, j in align(nodes, ref_nodes, cfg).items():
-                        if j in (want_in_main if inner[i] else want) and own_text(nodes[i]) == ref_text[j]:
-                            template.add(i)
-                out.append("\n".join(blocks(nodes, texts, template)))
+                    for i, j in align(nodes, refs.of(host, kind, ref), cfg).items():
+                        if j in want and (want[j][1] or not inner[i]) and digest(own_text(nodes[i])) == want[j][0]:
+                            fixed.add(i)
+                out.append("\n".join(blocks(nodes, texts, fixed)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(carried))] + [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=[*carried, "text", "n_chars"],
             )
 
-    return pages.select(*kept.columns, "_host", "_page", "_ref", "_template", "_template_in_main").mapInArrow(run, schema)
+    return pages.select(*kept.columns, "_host", "_kind", "_page", "_ref", "_template").mapInArrow(run, schema)
 
 
-#: Reference pages up to this many bytes in all, measured first, are broadcast.
+#: A side of fewer bytes, measured first, is broadcast.
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
-def with_hosts(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
-    """pages with what hosts(_host, _ref, …) knows of their host.
+def with_known(pages: DataFrame, known: DataFrame, keys: list[str], size: Column, how: str) -> DataFrame:
+    """pages with what known has for their keys; size is the bytes of a row of known.
 
-    A host may hold a third of all pages, so pages are never gathered by host: few reference pages are
-    broadcast, and many are repeated for each of SALTS parts that a host's pages are dealt to.
+    A host may hold a third of all pages, so pages are never gathered by host: a small side is
+    broadcast, and a larger one is repeated for each of SALTS parts that a key's pages are dealt to.
     """
-    size = hosts.agg(F.coalesce(F.sum(F.octet_length("_ref")), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
-        return pages.join(F.broadcast(hosts), "_host", how)
-    salted = hosts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    if known.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(known), keys, how)
+    salted = known.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     dealt = pages.withColumn("_salt", F.pmod(F.xxhash64("_page"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["_host", "_salt"], how).drop("_salt")
+    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def references(base: DataFrame, scratch: Scratch, cfg: WrapperConfig) -> tuple[DataFrame, DataFrame]:
+    """base with the kind of each page, and (_host, _kind, _ref): one page of each kind.
+
+    A host's most frequent shape is its kind 0, and so is every shape of fewer than cfg.least_kind pages; the others
+    are kinds of their own. Hosts of fewer than cfg.least pages have no reference. A page without tags is
+    only taken where its kind has no other.
+    """
+    pick = F.struct(F.instr("_page", "<") == 0, F.xxhash64("_page"), F.length("_page"))
+    by_shape = scratch.save(base.groupBy("_host", "_shape").agg(F.count(F.lit(1)).alias("_n"), F.min(pick).alias("_pick")))
+    per_host = by_shape.groupBy("_host").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "_shape")).alias("_most"))
+    ranked = by_shape.join(per_host.filter(F.col("_all") >= cfg.least), "_host").withColumn("_main", F.col("_shape") == F.col("_most._shape"))
+    chosen = scratch.save(
+        ranked.filter(F.col("_main") | (F.col("_n") >= cfg.least_kind)).select("_host", "_shape", F.when(F.col("_main"), F.lit(0)).otherwise(F.col("_shape")).alias("_kind"), "_pick")
+    )
+    named = with_known(base, chosen.select("_host", "_shape", "_kind"), ["_host", "_shape"], F.octet_length("_host") + 16, "left")
+    refs = base.withColumn("_pick", pick).join(chosen, ["_host", "_shape", "_pick"]).groupBy("_host", "_kind").agg(F.min("_page").alias("_ref"))
+    return named.withColumn("_kind", F.coalesce("_kind", F.lit(0).cast("long"))), scratch.save(refs)
 
 
 def main_text(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), html_col: str = "html", url_col: str = "url") -> DataFrame:
     """pages without html, with the main text and its length."""
     scratch = Scratch(pages.sparkSession)
-    carried = without(pages.drop(html_col), ["text", "n_chars", "_host", "_page", "_ref", "_template", "_template_in_main"]).columns
+    inner = ["_host", "_page", "_shape", "_kind", "_pick", "_salt", "_ref", "_template"]
+    carried = without(pages.drop(html_col), ["text", "n_chars", *inner]).columns
     host = F.coalesce(F.regexp_extract(F.lower(url_col), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
-    base = pages.select(*[F.col(f"`{c}`") for c in carried], host.alias("_host"), F.coalesce(html_col, F.lit("")).alias("_page"))
-    refs = scratch.save(
-        base.groupBy("_host").agg(F.min_by("_page", F.struct(F.xxhash64("_page"), F.length("_page"))).alias("_ref"), F.count(F.lit(1)).alias("_n"))
-    )
-    several = refs.filter(F.col("_n") >= cfg.least)
-    with_ref = with_hosts(base, several.select("_host", "_ref"), "inner")
-    counts = node_counts(with_ref.select(F.col("_host").alias("host"), F.col("_page").alias("page"), F.col("_ref").alias("ref")), cfg)
-    summed = counts.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
-    strict = (F.col("met") >= cfg.least_in_main) & (F.col("same") >= cfg.constant_in_main * F.col("met"))
-    fixed = summed.filter((F.col("met") >= cfg.least) & (F.col("same") >= cfg.constant * F.col("met")))
-    per_host = scratch.save(
-        fixed.groupBy(F.col("host").alias("_host")).agg(F.collect_list("node").alias("_template"), F.collect_list(F.when(strict, F.col("node"))).alias("_template_in_main"))
-    )
-    known = several.select("_host", "_ref").join(per_host, "_host")
-    return extract(with_hosts(base, scratch.save(known), "left"), cfg, carried)
+    page = F.coalesce(html_col, F.lit(""))
+    base = pages.select(*[F.col(f"`{c}`") for c in carried], host.alias("_host"), page.alias("_page"), shape(page).alias("_shape"))
+    named, refs = references(base, scratch, cfg)
+    size = F.octet_length("_ref")
+    counts = node_counts(with_known(named, refs, ["_host", "_kind"], size, "inner"), cfg)
+    by_text = counts.groupBy("host", "kind", "node", "digest").agg(F.sum("n").alias("n"))
+    summed = by_text.groupBy("host", "kind", "node").agg(F.sum("n").alias("met"), F.max(F.when(F.col("digest") != 0, F.struct("n", "digest"))).alias("top"))
+    strict = (F.col("met") >= cfg.least_in_main) & (F.col("top.n") >= cfg.constant_in_main * F.col("met"))
+    fixed = summed.filter((F.col("met") >= cfg.least) & (F.col("top.n") >= cfg.constant * F.col("met")))
+    node = F.struct("node", F.col("top.digest").alias("digest"), strict.alias("in_main"))
+    template = fixed.groupBy(F.col("host").alias("_host"), F.col("kind").alias("_kind")).agg(F.collect_list(node).alias("_template"))
+    known = scratch.save(refs.join(template, ["_host", "_kind"]))
+    return extract(with_known(named, known, ["_host", "_kind"], size, "left"), cfg, carried)
