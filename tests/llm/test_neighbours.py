@@ -60,6 +60,39 @@ def test_many_cells_and_copies(spark):
     compare(rows, got, 0.9)
 
 
+@pytest.mark.parametrize("cfg", [
+    NeighbourConfig(per_cell=20, cells=12, split=5, block=40, queries=3, rerank=30),
+    NeighbourConfig(per_cell=60, block=25, queries=2, rerank=15),
+])
+def test_two_levels_and_blocks_of_queries(spark, cfg):
+    r = np.random.default_rng(5)
+    x = np.concatenate((r.normal(size=(9, 6))[r.integers(0, 9, 1500)] * 4 + r.normal(size=(1500, 6)) * 0.2, np.repeat(r.normal(size=(1, 6)), 800, 0)))
+    rows = [(i * 20, [float(c) for c in v]) for i, v in enumerate(x[r.permutation(len(x))])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, cfg).collect()
+    compare(rows, got, 0.9)
+
+
+def test_equal_vectors_have_the_smallest_ids(spark):
+    rows = [(i, [1.0, 0.0 if i % 2 else -0.0]) for i in range(300)] + [(1000 + i, [2.0 + i, 0.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, NeighbourConfig(block=4, queries=1)).collect()
+    by = {q: [g.vec_id for g in sorted(got, key=lambda g: g["rank"]) if g.query_id == q] for q in (0, 100, 200, 1000)}
+    assert by == {0: list(range(1, 11)), 100: list(range(10)), 200: list(range(10)), 1000: list(range(10))}
+
+
+def test_repeated_ids(spark):
+    near = [(100, [1.0, 1.0 + k / 100]) for k in range(30)]
+    rows = [*near, (100, [1.0, 1.0]), *[(7, [1.0, 1.5])] * 4, *[(k, [1.0, 2.0 + k]) for k in range(20, 30)], *[(200, [1.0, 1.5])] * 2]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    # every vector of id 100 has its own list, without any row of id 100
+    mine = [g for g in got if g.query_id == 100]
+    assert len(mine) == 300 and 100 not in {g.vec_id for g in mine}
+    assert sum(g.vec_id == 7 for g in mine) == 120 and sum(g.vec_id == 200 for g in mine) == 60
+    other = sorted((g["rank"], g.vec_id) for g in got if g.query_id == 200)
+    assert len(other) == 10 and [v for _, v in other[:4]] == [7] * 4 and {v for _, v in other[4:]} == {100}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [1.0, None]), (9, [inf, 0.0]), (3, [4.0, 5.0]), (2, [1.0, 2.0]), (200, [1e30, -1e30])]

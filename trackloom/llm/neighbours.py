@@ -10,14 +10,19 @@ the best of each block, with all that their coding error may have put behind the
 ranked again by exact distance in double precision.
 
 Centroids and code books are fitted on a bounded sample (``sample`` vectors, those with
-the lowest hash of their id); every row is indexed. Cells are split into blocks of
-bounded size, so a vector that a third of all rows share fills many blocks and no task
-gets them all; each block returns only its best for each query.
+the lowest hash); every vector is indexed. Cells have two levels, the second around
+centroids of what the first leaves, so their number grows with the table while the sample
+does not. Equal vectors are indexed and searched once: of the ids that share one only the
+k + 1 smallest can be among anyone's nearest, and all queries that share one have the same
+nearest but for their own ids. Vectors of a cell and queries that visit it are dealt to
+blocks of bounded size, and each pair of blocks returns only its best for each query.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; ties go to the smaller id; a query with fewer
 candidates gets all of them; rows that repeat an id are candidates each, but not for a
-query of the same id; an empty table gives an empty result.
+query of the same id; a query repeated with the same vector is one query, with different
+vectors one for each; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,27 +31,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import COMMON, Scratch, join_spread
 
 
 @dataclass(frozen=True)
 class NeighbourConfig:
-    """k: neighbours; sample: vectors to fit on; per_cell: vectors in a cell; cells: most cells.
+    """k: neighbours; sample: vectors to fit on; per_cell: vectors in a cell; cells, split: most cells, and parts of each.
 
     sure: share of the sample's own neighbours that the visited cells must hold; least: candidates a query must meet;
-    rerank: vectors of a block that are at least measured exactly for a query; eta: weight of the parallel error.
+    block, queries: vectors and queries of a cell that meet in one group; rerank: vectors of a block that are at
+    least measured exactly for a query; eta: weight of the parallel error.
     """
 
     k: int = 10
     sample: int = 20_000
     per_cell: int = 1024
-    cells: int = 2048
+    cells: int = 1000
+    split: int = 64
     sure: float = 0.98
     least: int = 2000
     block: int = 8192
+    queries: int = 4096
     rerank: int = 120
     eta: float = 4.0
     rounds: int = 8
@@ -76,7 +84,33 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
     return c
 
 
-def probes_for(x: np.ndarray, centres: np.ndarray, cfg: NeighbourConfig, queries: int = 256) -> int:
+class Cells:
+    """Centroids, and the same few centroids of their residuals within each; cell = centroid * parts + part."""
+
+    def __init__(self, x: np.ndarray, total: int, cfg: NeighbourConfig):
+        want = max(1, total // cfg.per_cell)
+        self.coarse = kmeans(x, max(1, min(cfg.cells, len(x) // 20, want)), cfg.rounds)
+        rest = x - self.coarse[self._near(x, self.coarse)]
+        parts = max(1, min(cfg.split, len(x) // 20, -(-want // len(self.coarse))))
+        self.fine = kmeans(rest, parts, cfg.rounds) if parts > 1 else np.zeros((1, x.shape[1]))
+        self.centres = (self.coarse[:, None] + self.fine[None]).reshape(-1, x.shape[1])
+
+    @staticmethod
+    def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        one = self._near(x, self.coarse)
+        return one * len(self.fine) + self._near(x - self.coarse[one], self.fine)
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All cells for each query, nearest centre first."""
+        c = self.centres
+        return np.argsort((c * c).sum(1) - 2 * q @ c.T, 1, kind="stable")
+
+
+def probes_for(x: np.ndarray, cells: Cells, cfg: NeighbourConfig, queries: int = 256) -> int:
     """Cells to visit so that ``sure`` of the neighbours within the sample are met.
 
     Clustered vectors need few; for vectors without any structure it is most of the cells.
@@ -85,11 +119,10 @@ def probes_for(x: np.ndarray, centres: np.ndarray, cfg: NeighbourConfig, queries
     d = (x * x).sum(1) - 2 * q @ x.T
     d[np.arange(len(q)), np.arange(len(q))] = np.inf
     near = np.argsort(d, 1)[:, : min(cfg.k, len(x) - 1)]
-    size = (centres * centres).sum(1)
-    order = np.argsort(size - 2 * q @ centres.T, 1)
-    place = np.argsort(order, 1)
-    cell = (size - 2 * x @ centres.T).argmin(1)
-    return int(np.quantile(place[np.arange(len(q))[:, None], cell[near]], cfg.sure)) + 1 if near.size else len(centres)
+    if not near.size:
+        return len(cells.centres)
+    place = np.argsort(cells.order(q), 1)
+    return int(np.quantile(place[np.arange(len(q))[:, None], cells.of(x)[near]], cfg.sure)) + 1
 
 
 class Codes:
@@ -176,94 +209,136 @@ def nearest(
     """(query_id, rank, vec_id, score): the nearest rows of each row for which is_query holds."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
+    v = F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + 0.0)  # no negative zeros: equal vectors have equal keys
     base = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
+        F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
     lengths = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    out_schema = "query_id long, rank int, vec_id long, score double"
     if not lengths:
-        return spark.createDataFrame([], out_schema)
-    dim, total = lengths[0]["d"], lengths[0]["count"]
-    base = base.filter(F.size("v") == dim)
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cfg.sample).select("v").toPandas()
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = lengths[0]["d"]
+    key = ["h1", "h2"]
+    keyed = base.filter(F.size("v") == dim).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    # a row for each vector and id, however often it is repeated
+    rows = scratch.save(keyed.groupBy(*key, "vec_id").agg(F.first("v").alias("v"), F.max("q").alias("q"), F.count(F.lit(1)).alias("n")))
+    least = F.row_number().over(Window.partitionBy(*key).orderBy("vec_id"))
+    few = rows.select(*key, "vec_id", "v", "n", least.alias("r")).filter(F.col("r") <= cfg.k + 1)
+    held = F.sort_array(F.collect_list(F.struct("vec_id", "n")))  # k + 1 at most
+    distinct = few.groupBy(*key).agg(F.first("v").alias("v"), held.alias("o"))
+    distinct = scratch.save(distinct.select(*key, "v", F.col("o.vec_id").alias("ids"), F.col("o.n").alias("ns")))
+
+    total = distinct.count()
+    sample = distinct.orderBy(*key).limit(cfg.sample).select("v").toPandas()
     x = np.array(sample["v"].tolist(), float).reshape(-1, dim)
-    n_cells = int(max(1, min(cfg.cells, len(x) // 20, total // cfg.per_cell)))
-    found_centres = kmeans(x, n_cells, cfg.rounds)
-    probes = probes_for(x, found_centres, cfg)
-    model = spark.sparkContext.broadcast((found_centres, Codes(x, cfg.eta, 3)))
+    cells = Cells(x, total, cfg)
+    n_cells, probes = len(cells.centres), probes_for(x, cells, cfg)
+    model = spark.sparkContext.broadcast((cells, Codes(x, cfg.eta, 3)))
 
     def index(batches):
-        centres, codes = model.value
+        cells, codes = model.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.array(pdf["v"].tolist(), float).reshape(-1, dim)
-            for i in range(0, len(v), 2048):
-                w = v[i : i + 2048]
-                cell = ((centres * centres).sum(1) - 2 * w @ centres.T).argmin(1)
-                code = codes.encode(w)
+            for i in range(0, len(pdf), 2048):
                 part = pdf.iloc[i : i + 2048]
-                yield pd.DataFrame({
-                    "vec_id": part["vec_id"], "v": part["v"], "q": part["q"], "cell": cell.astype(np.int32),
-                    "code": [c.tobytes() for c in packed(code)],
-                    "err": np.sqrt(((w - codes.decode(code)) ** 2).sum(1)),
-                })
-
-    indexed = scratch.save(base.mapInPandas(index, "vec_id long, v array<double>, q boolean, cell int, code binary, err double"))
-    counts = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # at most cfg.cells rows
-    filled = np.array([counts.get(c, 0) for c in range(n_cells)])
+                w = np.array(part["v"].tolist(), float).reshape(-1, dim)
+                code = codes.encode(w)
+                yield part.assign(
+                    cell=cells.of(w).astype(np.int32), code=[c.tobytes() for c in packed(code)],
+                    err=np.sqrt(((w - codes.decode(code)) ** 2).sum(1)),
+                )
+
+    kinds = "h1 long, h2 long, v array<double>, ids array<long>, ns array<long>"
+    indexed = scratch.save(distinct.mapInPandas(index, f"{kinds}, cell int, code binary, err double"))
+    filled = np.zeros(n_cells, np.int64)
+    for r in indexed.groupBy("cell").count().collect():  # a row a cell
+        filled[r["cell"]] = r["count"]
     blocks = np.maximum(1, -(-filled // cfg.block))
 
+    # an id with several vectors is no candidate for any of its queries, so these are searched each by itself
+    lo_hi = rows.groupBy("vec_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi"))
+    several = lo_hi.filter("lo <> hi").select("vec_id", F.lit(True).alias("alone"))
+    asked = rows.filter("q").select(*key, "v", "vec_id").join(several, "vec_id", "left")
+    asked = asked.withColumn("alone", F.coalesce("alone", F.lit(False)))
+    asked = scratch.save(asked.withColumn("own", F.when(F.col("alone"), F.col("vec_id")).otherwise(F.lit(0))))
+    unit = [*key, "own", "alone"]
+
     def probe(batches):
-        centres, _ = model.value
+        cells, _ = model.value
+        step = max(1, min(256, (1 << 21) // n_cells))
         for pdf in batches:
-            ids, cells, parts, vs = [], [], [], []
-            for qid, v in zip(pdf["vec_id"], pdf["v"], strict=True):
-                order = np.argsort(((centres - v) ** 2).sum(1), kind="stable")
-                met = np.cumsum(filled[order])
-                upto = max(probes, int(np.searchsorted(met, cfg.least)) + 1)
-                for c in order[:upto]:
-                    if filled[c]:
-                        for b in range(blocks[c]):
-                            ids.append(qid), cells.append(c), parts.append(b), vs.append(v)
-            yield pd.DataFrame({"query_id": ids, "cell": np.array(cells, np.int32), "block": np.array(parts, np.int32), "qv": vs})
-
-    queries = indexed.filter("q").select("vec_id", "v").mapInPandas(probe, "query_id long, cell int, block int, qv array<double>")
-    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    stored = indexed.select("vec_id", "v", "code", "err", "cell", F.pmod(F.xxhash64("vec_id", F.lit(1)), n_blocks).cast("int").alias("block"))
-
-    def rank(key, vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i : i + step]
+                at, cell, block = [], [], []
+                for j, order in enumerate(cells.order(np.array(part["qv"].tolist(), float).reshape(-1, dim))):
+                    met = np.cumsum(filled[order])
+                    mine = order[: max(probes, int(np.searchsorted(met, cfg.least)) + 1)]
+                    mine = mine[filled[mine] > 0]
+                    n = blocks[mine]
+                    at.append(np.full(n.sum(), j))
+                    cell.append(np.repeat(mine, n))
+                    block.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                yield part.iloc[np.concatenate(at)].assign(
+                    cell=np.concatenate(cell).astype(np.int32), block=np.concatenate(block).astype(np.int32)
+                )
+
+    units = asked.groupBy(*unit).agg(F.first("v").alias("qv"))
+    visits = scratch.save(units.mapInPandas(probe, "h1 long, h2 long, own long, alone boolean, qv array<double>, cell int, block int"))
+    shares = visits.filter("block = 0").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cfg.queries).cast("int").alias("shares"))
+    parts = F.broadcast(shares)  # a row a cell
+    held = spark.createDataFrame([(c, int(blocks[c])) for c in np.flatnonzero(blocks > 1).tolist()], "cell int, blocks int")
+    share = F.pmod(F.xxhash64(*unit, F.lit(2)), F.col("shares")).cast("int")
+    queries = visits.join(parts, "cell").select(*unit, "qv", "cell", "block", share.alias("share"))
+    block = F.pmod(F.xxhash64(*key, F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int")
+    stored = indexed.join(parts, "cell").join(F.broadcast(held), "cell", "left").select(
+        "v", "ids", "ns", "code", "err", "cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    )
+
+    def rank(group, vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [] for c in (*unit, "score", "vec_id", "n")}
         if len(vecs) and len(qs):
-            vecs = vecs.sort_values("vec_id", kind="stable")
-            v, ids = np.array(vecs["v"].tolist(), float).reshape(-1, dim), vecs["vec_id"].to_numpy()
-            code = np.frombuffer(b"".join(vecs["code"]), np.uint8).reshape(len(ids), -1)
+            # ties at the edge go to smaller ids, which stand first
+            vecs = vecs.iloc[np.argsort([i[0] for i in vecs["ids"]], kind="stable")]
+            v, many = np.array(vecs["v"].tolist(), float).reshape(-1, dim), np.array([len(i) for i in vecs["ids"]])
+            ids, ns, start = np.concatenate(vecs["ids"].tolist()), np.concatenate(vecs["ns"].tolist()), np.cumsum(many) - many
+            code = np.frombuffer(b"".join(vecs["code"]), np.uint8).reshape(len(v), -1)
             half = (v * v).sum(1) / 2
             # an inner product of a query with an error of length e is seldom more than three times |q| e / sqrt(dim)
             slack = vecs["err"].to_numpy() * 3 / dim**0.5
-            for qid, q in zip(qs["query_id"], qs["qv"], strict=True):
+            for h1, h2, own, alone, q in zip(qs["h1"], qs["h2"], qs["own"], qs["alone"], qs["qv"], strict=True):
                 approx = half - table_scan(code, model.value[1].table(q))
-                approx[ids == qid] = np.inf
-                # ties at the edge go to smaller ids, which stand first
-                best = np.argsort(approx, kind="stable")[: cfg.rerank]
-                best = best[ids[best] != qid]
-                if len(best) >= cfg.k:
-                    # whatever may still beat the k-th of these is measured too
-                    bound = np.partition(half[best] - v[best] @ q, cfg.k - 1)[cfg.k - 1]
-                    best = np.union1d(best, np.flatnonzero(approx - slack * np.sqrt(q @ q) <= bound))
-                exact = np.sqrt(((v[best] - q) ** 2).sum(1))
-                top = np.lexsort((ids[best], exact))[: cfg.k]
-                out["query_id"] += [qid] * len(top)
-                out["vec_id"] += ids[best][top].tolist()
+                other = ids != own if alone else np.ones(len(ids), bool)
+                may = np.logical_or.reduceat(other, start)
+                best = np.argsort(np.where(may, approx, np.inf), kind="stable")[: cfg.rerank]
+                best = best[may[best]]
+                if len(best) > cfg.k:
+                    # whatever may still beat the last of these that counts is measured too
+                    bound = np.partition(half[best] - v[best] @ q, cfg.k)[cfg.k]
+                    best = np.union1d(best, np.flatnonzero(may & (approx - slack * np.sqrt(q @ q) <= bound)))
+                if not len(best):
+                    continue
+                exact = np.repeat(np.sqrt(((v[best] - q) ** 2).sum(1)), many[best])
+                at = np.repeat(start[best] - (np.cumsum(many[best]) - many[best]), many[best]) + np.arange(len(exact))
+                exact, at = exact[other[at]], at[other[at]]
+                top = np.lexsort((ids[at], exact))[: cfg.k + 1]
+                for c, x in zip(unit, (h1, h2, own, alone), strict=True):
+                    out[c] += [x] * len(top)
                 out["score"] += exact[top].tolist()
+                out["vec_id"] += ids[at][top].tolist()
+                out["n"] += ns[at][top].tolist()
         return pd.DataFrame(out)
 
-    found = (
-        stored.groupBy("cell", "block").cogroup(queries.groupBy("cell", "block"))
-        .applyInPandas(rank, "query_id long, vec_id long, score double")
-    )
-    hit = F.struct(F.col("score"), F.col("vec_id"))
-    merged = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(hit)), 1, cfg.k).alias("hits"))
-    return merged.select("query_id", F.posexplode("hits").alias("pos", "h")).select(
+    meet = ["cell", "block", "share"]
+    found = stored.groupBy(*meet).cogroup(queries.groupBy(*meet)).applyInPandas(
+        rank, "h1 long, h2 long, own long, alone boolean, score double, vec_id long, n long"
+    )
+    place = F.row_number().over(Window.partitionBy(*unit).orderBy("score", "vec_id"))
+    best = found.withColumn("r", place).filter(F.col("r") <= cfg.k + 1)
+    hits = scratch.save(best.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct("score", "vec_id", "n"))).alias("hits")))
+    # queries that share a vector share its hits
+    sharing = asked.groupBy(*unit).agg(F.count(F.lit(1)).alias("m"))
+    common = sharing.filter(F.col("m") * COMMON > asked.count()).select(*unit)
+    each = join_spread(asked.select(F.col("vec_id").alias("query_id"), *unit), hits, unit, common)
+    own_out = F.filter("hits", lambda h: h["vec_id"] != F.col("query_id"))
+    repeated = F.flatten(F.transform(own_out, lambda h: F.array_repeat(h, F.least(h["n"], F.lit(cfg.k)).cast("int"))))
+    return each.select("query_id", F.posexplode(F.slice(repeated, 1, cfg.k)).alias("pos", "h")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("h.vec_id").alias("vec_id"), F.col("h.score").alias("score")
     )
