@@ -447,12 +447,52 @@ def _short(spark, sf):
     return t.withColumns({"start_frame": start, "end_frame": start + 5 + F.col("track_id") % 11})
 
 
-@query("stitched_court")
+# A clip's tracklets are dealt in order to a list of groups; pick is the group that the tracklet of that step joins.
+_LIKE = "CASE WHEN len(q.f) = len(t.f) AND list_dot_product(q.f, q.f) > 0 AND list_dot_product(t.f, t.f) > 0 THEN list_dot_product(q.f, t.f) / sqrt(list_dot_product(q.f, q.f) * list_dot_product(t.f, t.f)) ELSE 0e0 END"
+_APART = "sqrt((t.sx - q.x) ** 2 + (t.sy - q.y) ** 2)"
+_DIM = "SELECT clip_id, track_id, p, avg(CAST(v AS DOUBLE)) AS v FROM (SELECT clip_id, track_id, unnest(feature) AS v, unnest(range(len(feature))) AS p FROM feats) GROUP BY ALL"
+
+
+def _stitched(gate: str, score: str) -> str:
+    """SQL of the greedy linking: gate and score of a group q and the tracklet t, g frames apart."""
+    g_ = "(t.s - q.e)"
+    one = f"CASE WHEN {gate} THEN {score} END".replace("$gap", g_).replace("$apart", _APART).replace("$like", _LIKE)
+    new = "'e': t.e, 'x': t.ex, 'y': t.ey, 'h': t.eh"
+    return sql(
+        f"""+ dims AS ({_DIM}), mean AS (SELECT clip_id, track_id, list(v ORDER BY p) AS f FROM dims GROUP BY ALL),
+        lf AS (SELECT clip_id, track_id, min(ord) AS ord, (track_id * 7) % 300 AS s, (track_id * 7) % 300 + 5 + track_id % 11 AS e,
+          arg_min((x1 + x2) / 2, i) AS sx, arg_min((y1 + y2) / 2, i) AS sy, arg_max((x1 + x2) / 2, i) AS ex, arg_max((y1 + y2) / 2, i) AS ey,
+          arg_min(y2 - y1, i) AS sh, arg_max(y2 - y1, i) AS eh FROM daily GROUP BY ALL),
+        t AS (SELECT lf.*, coalesce(f, [0e0]) AS f, row_number() OVER (PARTITION BY lf.clip_id ORDER BY s, ord) AS k FROM lf LEFT JOIN mean USING (clip_id, track_id)),
+        st AS (SELECT clip_id, track_id, k, [{{'f': t.f, {new}}}] AS gs, 1 AS pick FROM t WHERE k = 1 UNION ALL
+          SELECT clip_id, track_id, k, CASE WHEN best IS NULL THEN list_append(gs, {{'f': f, 'e': e, 'x': ex, 'y': ey, 'h': eh}})
+              ELSE list_transform(gs, lambda q, j: CASE WHEN j = best THEN {{'f': q.f, 'e': e, 'x': ex, 'y': ey, 'h': eh}} ELSE q END) END,
+            CAST(coalesce(best, len(gs) + 1) AS INTEGER)
+          FROM (SELECT *, CASE WHEN list_max(sc) IS NOT NULL THEN list_position(sc, list_max(sc)) END AS best
+            FROM (SELECT t.*, st.gs, list_transform(st.gs, lambda q: {one}) AS sc FROM st JOIN t ON t.clip_id = st.clip_id AND t.k = st.k + 1)))
+        SELECT clip_id, track_id, min(track_id) OVER (PARTITION BY clip_id, pick) AS canonical_id FROM st""",
+        "daily", "feats", recursive=True,
+    )
+
+
+@query(
+    "stitched_court",
+    _stitched(
+        "$gap > 0 AND $gap / 10e0 <= 1.5e0 AND $apart <= 15 + 25 * $gap / 10e0 AND $like >= -1",
+        "$like - 0.5e0 * $apart / (15 + 25 * $gap / 10e0) - 0.5e0 * $gap / 10e0 / 1.5e0",
+    ),
+)
 def stitched_court(spark, sf):
     return stitch.link(_short(spark, sf), stitch.CourtRule(fps=10.0, least_similarity=-1.0, base_ft=15.0))
 
 
-@query("stitched_pixels")
+@query(
+    "stitched_pixels",
+    _stitched(
+        "$gap > 0 AND $gap <= 20 AND q.h + t.sh > 0 AND $apart <= 2.5e0 * (q.h + t.sh) / 2 AND $like >= -1",
+        "$like - 0.5e0 * $apart / (2.5e0 * (q.h + t.sh) / 2) - 0.5e0 * $gap / 20e0",
+    ),
+)
 def stitched_pixels(spark, sf):
     return stitch.link(_short(spark, sf), stitch.PixelRule(max_gap=20, least_similarity=-1.0))
 

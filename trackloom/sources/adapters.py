@@ -115,10 +115,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appearance vectors of tracks: embeddings by user."""
+    """Appearance vectors of tracks: every embedding, dealt in turn to all users but user 0, who has none."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("feature"))
     users = events(spark, sf_dir).select((F.col("user_id") % 10).alias("clip_id"), F.col("user_id").alias("track_id")).distinct()
-    return users.withColumn("vec_id", F.col("track_id") % 500).join(e, "vec_id").select("clip_id", "track_id", "feature")
+    top = users.agg(F.max("track_id").alias("top"))  # one row
+    dealt = e.join(F.broadcast(top)).select((F.col("vec_id") % F.col("top") + 1).alias("track_id"), "feature")
+    return users.join(dealt, "track_id").select("clip_id", "track_id", "feature")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +157,8 @@ SQL_VIEWS = {
     "daily": f"""SELECT user_id % 10 AS clip_id, user_id AS track_id, event_id AS ord, CAST(d - min(d) OVER () AS INTEGER) AS i, value % 80e0 AS x1, CAST(k % 40 AS DOUBLE) AS y1,
         value % 80e0 + 20 AS x2, CAST(k % 40 AS DOUBLE) + 20 AS y2
         FROM (SELECT *, {_DAY} AS d, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY event_id DESC) AS r FROM ev) WHERE r = 1""",
+    "feats": """SELECT u.clip_id, u.track_id, embedding AS feature FROM (SELECT DISTINCT user_id % 10 AS clip_id, user_id AS track_id FROM ev) u
+        JOIN embeddings e ON u.track_id = e.vec_id % (SELECT max(user_id) FROM ev) + 1""",
     "dets": """SELECT o_custkey AS image_id, o_orderkey AS det_ord, CAST(o_orderkey % 37 AS DOUBLE) AS x1, CAST(o_orderkey % 23 AS DOUBLE) AS y1,
         CAST(o_orderkey % 37 AS DOUBLE) + 20 AS x2, CAST(o_orderkey % 23 AS DOUBLE) + 20 AS y2, o_totalprice + o_orderkey / 1e9 AS score FROM orders""",
     "gts": """SELECT o_custkey AS image_id, o_orderkey AS truth_ord, CAST(o_orderkey % 41 AS DOUBLE) AS x1, CAST(o_orderkey % 19 AS DOUBLE) AS y1,
