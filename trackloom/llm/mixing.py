@@ -69,14 +69,15 @@ def domain_of(labels: DataFrame) -> Column:
 
 def plain_words(text: Column) -> Column:
     """The lower-case words of a text; signs that repeat and bars are words of their own, other punctuation is none."""
-    bare = F.regexp_replace(F.lower(text), r"(\p{Punct})\1+|(\|)|[.,;:!?\"'()]", " $1$1$2 ")
+    # the look-ahead spares letters the three alternatives
+    bare = F.regexp_replace(F.lower(text), r"(?=\p{Punct})(?:(\p{Punct})\1+|(\|)|[.,;:!?\"'()])", " $1$1$2 ")
     return F.filter(F.split(bare, SPACE), lambda w: w != "")
 
 
 def marks(text: Column) -> Column:
     """Hashes of what a text is judged by: its words, the first five letters of longer ones (inflected forms of
     a word share them), and in coarse steps how often words repeat, how many there are, and the share of capitals."""
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
+    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
 
     def found(ws: Column) -> Column:
         many = F.greatest(F.size(ws), F.lit(1))
@@ -102,7 +103,7 @@ def constant(values: list, kind: str) -> Column:
 @dataclass(frozen=True)
 class Evidence:
     """The classifier: a weight of each domain, a table of the marks' hashes, each in one of its two slots, with their
-    numbers, and the weights of each domain by number."""
+    numbers, and the weights of each domain by number, the last of them 0 for hashes that it lacks."""
 
     bias: list[float]
     table: list[int]
@@ -176,13 +177,18 @@ def numbered(best: list[int], slots: int) -> tuple[list[int], list[int]]:
 
 
 def known_marks(found: Column, table: list[int], number: list[int]) -> Column:
-    """The distinct numbers of those hashes in ``found`` that the table has."""
-    hashes, numbers, size = constant(table, "bigint"), constant(number, "int"), F.lit(len(table))
+    """The distinct numbers of the hashes in ``found``; all that the table lacks share the number after the last."""
+    absent = max(number) + 1
+    hashes, numbers = constant(table, "bigint"), constant([absent if n < 0 else n for n in number], "int")
+    size = F.lit(len(table))
     one = lambda w: F.pmod(w, size).cast("int")
     two = lambda w: F.pmod(F.shiftright(w, 32), size).cast("int")
-    met = F.filter(found, lambda w: (F.get(hashes, one(w)) == w) | (F.get(hashes, two(w)) == w))
-    of = F.transform(met, lambda w: F.when(F.get(hashes, one(w)) == w, F.get(numbers, one(w))).otherwise(F.get(numbers, two(w))))
-    return F.array_distinct(F.filter(of, lambda n: n >= 0))
+
+    def of(w: Column) -> Column:
+        first = F.when(F.get(hashes, one(w)) == w, F.get(numbers, one(w)))
+        return first.when(F.get(hashes, two(w)) == w, F.get(numbers, two(w))).otherwise(absent)
+
+    return F.array_distinct(F.transform(found, of))
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col: str) -> Evidence:
@@ -203,12 +209,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col:
     # the sampled documents hold these, so their number is bounded by the sample too
     best = [r["w"] for r in counts.withColumn("off", off).filter((F.col("n") >= cfg.least) & (F.col("off") >= cfg.clear)).select("w").orderBy("w").collect()]
     table, number = numbered(best, cfg.slots)
-    rows = met.select("domain", known_marks(F.col("m"), table, number).alias("s")).collect()
+    rows = met.select("domain", F.array_remove(known_marks(F.col("m"), table, number), len(best)).alias("s")).collect()
     scratch.drop(met)
     weights, bias = fit_logistic([r["s"] for r in rows], [names.index(r["domain"]) for r in rows], len(best), len(names), cfg)
     # a domain without labels has nothing to be fitted to
     bias = [float(b) if k else -30.0 for b, k in zip(bias, n, strict=True)]
-    return Evidence(bias, table, number, [[round(float(x), 4) for x in weights[:, d]] or [0.0] for d in range(len(names))])
+    return Evidence(bias, table, number, [[*(round(float(x), 4) for x in weights[:, d]), 0.0] for d in range(len(names))])
 
 
 def posteriors(found: Column, evidence: Evidence) -> Column:
