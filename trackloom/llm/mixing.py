@@ -103,7 +103,7 @@ def constant(values: list, kind: str) -> Column:
 @dataclass(frozen=True)
 class Evidence:
     """The classifier: a weight of each domain, a table of the marks' hashes, each in one of its two slots, with their
-    numbers, and the weights of each domain by number, the last of them 0 for hashes that it lacks."""
+    numbers, and the weights of each domain by number."""
 
     bias: list[float]
     table: list[int]
@@ -214,7 +214,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, cfg: MixConfig, text_col:
     weights, bias = fit_logistic([r["s"] for r in rows], [names.index(r["domain"]) for r in rows], len(best), len(names), cfg)
     # a domain without labels has nothing to be fitted to
     bias = [float(b) if k else -30.0 for b, k in zip(bias, n, strict=True)]
-    return Evidence(bias, table, number, [[*(round(float(x), 4) for x in weights[:, d]), 0.0] for d in range(len(names))])
+    return Evidence(bias, table, number, [[round(float(x), 4) for x in weights[:, d]] or [0.0] for d in range(len(names))])
 
 
 def posteriors(found: Column, evidence: Evidence) -> Column:
@@ -224,7 +224,7 @@ def posteriors(found: Column, evidence: Evidence) -> Column:
         def total(weights: Column) -> Column:
             return F.aggregate(hit, F.lit(0.0), lambda a, s: a + F.get(weights, s))
 
-        return F.array(*[F.lit(p) + total(constant(r, "double")) for p, r in zip(evidence.bias, evidence.weights, strict=True)])
+        return F.array(*[F.lit(p) + total(constant([*r, 0.0], "double")) for p, r in zip(evidence.bias, evidence.weights, strict=True)])
 
     def soft(s: Column) -> Column:
         return let(
