@@ -104,3 +104,28 @@ a AS (SELECT id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) F
   count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example, count(*) FILTER (WHERE verdict = 'weak') AS n_weak FROM j GROUP BY id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_weak, 0) AS n_weak FROM d LEFT JOIN a USING (id)"""
+
+
+INFILL_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j FROM e),
+p AS (SELECT *, array_to_string(u[1:i], '') AS a, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:], '') AS z FROM f),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END AS output FROM p),
+r AS (SELECT *, regexp_split_to_array(output, '<[PSM]>') AS x FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(a) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+  sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN x[2] || x[4] || x[3] ELSE x[3] || x[4] || x[2] END) AS restored_sha256 FROM r"""
+
+
+def windows_sql(k: int) -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+w AS (SELECT id, doc_id, unnest(generate_series(1, len(ws) - {k - 1})) AS i, ws FROM d WHERE len(ws) >= {k}),
+g AS (SELECT id, doc_id, i, sha256(array_to_string(ws[i:i + {k - 1}], ' ')) AS h FROM w),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+c AS (SELECT DISTINCT id, i + s AS i FROM g JOIN m USING (h), (SELECT unnest(generate_series(0, {k - 1})) AS s) WHERE least < doc_id),
+x AS (SELECT id, count(*) AS n FROM c GROUP BY id),
+p AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+t AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN c USING (id, i) GROUP BY id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN x USING (id) LEFT JOIN t USING (id)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licences, mixing, neighbours, oracles, packing, pii, quality, secrets, suffixes, wrappers
+from . import alignment, infill, jaccard, licences, mixing, neighbours, oracles, packing, pii, quality, secrets, suffixes, windows, wrappers
 from .common import table
 
 
@@ -67,6 +67,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), JOIN)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cfg = alignment.AlignConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = {"groups_sha256": lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256))}
+    return alignment.align(table(spark, sf_dir, "documents"), cfg, ["doc_id"], derive=digest)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.remove_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -78,6 +97,9 @@ QUERIES = {
     "op8_anisotropic_neighbours": op8_anisotropic_neighbours,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_window_dedup": op13_window_dedup,
 }
 
 ORACLE_SQL = {
@@ -85,4 +107,6 @@ ORACLE_SQL = {
     "op6_secret_scan": oracles.secrets_sql(),
     "op7_licence_digests": oracles.licence_sql(),
     "op10_jaccard_join": oracles.jaccard_sql(JOIN.k, JOIN.percent),
+    "op12_fill_in_middle": oracles.INFILL_SQL,
+    "op13_window_dedup": oracles.windows_sql(50),
 }
