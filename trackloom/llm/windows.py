@@ -204,9 +204,10 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, lis
 def _split(keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
     """(range, where) of sorted numbers, by what is left without their low bits."""
     part = keys >> np.uint64(shift)
-    cut = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))) if len(part) else np.empty(0, np.int64)
-    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
-        yield int(part[i]), slice(i, j)
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        if j > i:
+            yield int(part[i]), slice(i, j)
 
 
 def sketch(rows: DataFrame, cfg: WindowConfig, size: int) -> DataFrame:
