@@ -11,7 +11,7 @@ Documents are dealt into blocks and written once, so that every later pass sees
    cells hold two or more. A cell counts at least what each of its windows counts, so a window that
    is repeated anywhere always passes; others pass if all their cells are shared by chance.
 2. Exact grouping. Each block sends the windows that pass, each once, with the least doc_id that
-   it has there; they are grouped by a fingerprint of 128 bits, and a block is told the
+   it has there; they are grouped by a fingerprint of 96 bits, and a block is told the
    corpus's least doc_id where it is less than its own.
 3. Each block removes what is covered.
 
@@ -20,7 +20,7 @@ window of a block, so a passage that a third of all documents share is no more i
 number of blocks. Nothing is broadcast and nothing comes to the driver but the number of bytes.
 
 Words are told apart by a 128-bit digest, windows by two sums of digests times powers modulo
-2^64, finished by a mix: two windows of different words are taken for one with a chance of 2^-110.
+2^64, finished by a mix and kept to 96 bits: two windows of different words are taken for one with a chance of about 2^-90.
 
 Defined cases: a null or empty text has no words; texts under ``words`` words lose nothing; texts
 of any length are one block's at most; windows repeated within one document only stay, and so do
@@ -67,8 +67,8 @@ class WindowConfig:
         return min(60, max(10, int(size * self.cells).bit_length()))
 
     def shift(self, size: int) -> int:
-        """A cell's range is the cell without so many low bits."""
-        return min(self.width_bits(size), self.span.bit_length() - 1)
+        """A cell's range is the cell without so many low bits; a place in it takes three bytes."""
+        return min(24, self.width_bits(size), self.span.bit_length() - 1)
 
 
 class Digests:
@@ -119,6 +119,7 @@ def windows(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     many = np.maximum(counts - (k - 1), 0)
     first = np.cumsum(counts) - counts
     at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    every[1] >>= np.uint64(32)  # 96 bits are enough, and less to send
     return every[:, at], many
 
 
@@ -201,6 +202,16 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, lis
         yield block, ids, texts
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """Numbers under 2^24 in three bytes each."""
+    return np.ascontiguousarray(cells.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _cells(x: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 3).astype(np.int64)
+    return raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+
+
 def _split(keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
     """(range, where) of sorted numbers, by what is left without their low bits."""
     part = keys >> np.uint64(shift)
@@ -222,8 +233,8 @@ def sketch(rows: DataFrame, cfg: WindowConfig, size: int) -> DataFrame:
             for r in range(cfg.depth):
                 c, n = np.unique(cells(h, r, bits), return_counts=True)
                 for part, where in _split(c, shift):
-                    at, many = (c[where] & low).astype("<u4"), n[where] > 1
-                    for o, v in zip(out, (r, part, block, at[~many].tobytes(), at[many].tobytes()), strict=True):
+                    at, many = c[where] & low, n[where] > 1
+                    for o, v in zip(out, (r, part, block, _packed(at[~many]), _packed(at[many])), strict=True):
                         o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["row", "part", "_block", "once", "more"])
@@ -243,13 +254,13 @@ def merged(sketches: DataFrame, cfg: WindowConfig, size: int) -> DataFrame:
             held.append(b)
             for name, step in (("once", 1), ("more", 2)):
                 for x in b.column(name):
-                    at = np.frombuffer(x.as_buffer(), "<u4")
+                    at = _cells(x)
                     count[at] = np.minimum(count[at] + step, 2)
         for b in held:
             out = []
             for once, more in zip(b.column("once"), b.column("more"), strict=True):
-                at = np.frombuffer(once.as_buffer(), "<u4")
-                out.append(np.sort(np.concatenate([at[count[at] > 1], np.frombuffer(more.as_buffer(), "<u4")])).tobytes())
+                at = _cells(once)
+                out.append(_packed(np.sort(np.concatenate([at[count[at] > 1], _cells(more)]))))
             yield pa.RecordBatch.from_arrays([b.column("_block"), b.column("row"), b.column("part"), pa.array(out, pa.binary())], names=["_block", "row", "part", "cells"])
         release()
 
@@ -270,7 +281,7 @@ def candidates(rows: DataFrame, hot: DataFrame, cfg: WindowConfig, size: int) ->
         keep = np.ones(h.shape[1], bool)
         for r in range(cfg.depth):
             mine = right.filter(pc.equal(right.column("row"), r))
-            parts = [(p << shift) + c.astype(np.uint64) for p, c in zip(mine.column("part").to_pylist(), _wide(mine, "cells", "<u4"), strict=True)]
+            parts = [((p << shift) + _cells(c)).astype(np.uint64) for p, c in zip(mine.column("part").to_pylist(), mine.column("cells"), strict=True)]
             passed = np.sort(np.concatenate([*parts, np.empty(0, np.uint64)]))
             c = cells(h[0], r, bits)
             at = np.minimum(np.searchsorted(passed, c), max(0, len(passed) - 1))
@@ -278,7 +289,7 @@ def candidates(rows: DataFrame, hot: DataFrame, cfg: WindowConfig, size: int) ->
         h, least = h[:, keep], least[keep]
         cols: list[list] = [[], [], [], [], []]
         for part, where in _split(h[0], 64 - bits + shift):
-            for o, v in zip(cols, (part, key[0].as_py(), h[0][where].tobytes(), h[1][where].tobytes(), least[where].tobytes()), strict=True):
+            for o, v in zip(cols, (part, key[0].as_py(), h[0][where].tobytes(), h[1][where].astype("<u4").tobytes(), least[where].tobytes()), strict=True):
                 o.append(v)
         release()
         return pa.table([pa.array(o, t) for o, t in zip(cols, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["part", "_block", "h1", "h2", "least"])
@@ -291,7 +302,7 @@ def grouped(found: DataFrame) -> DataFrame:
     """(_block, h1, h2, least): windows of a block whose least doc_id in the corpus is less than in the block."""
 
     def run(t: pa.Table) -> pa.Table:
-        a, b, least = (_wide(t, c, k) for c, k in (("h1", "<u8"), ("h2", "<u8"), ("least", "<i8")))
+        a, b, least = (_wide(t, c, k) for c, k in (("h1", "<u8"), ("h2", "<u4"), ("least", "<i8")))
         n = np.array([len(x) for x in a])
         a, b, least = map(np.concatenate, (a, b, least))
         order = np.lexsort((b, a))
@@ -322,7 +333,7 @@ def _cleaned(rows: DataFrame, less: DataFrame, cfg: WindowConfig) -> DataFrame:
         block = Block(left.column("_text").to_pylist(), cfg)
         h, least, of = block.smallest(ids)
         if right.num_rows and h.shape[1]:
-            a, b, other = (np.concatenate(_wide(right, c, k)) for c, k in (("h1", "<u8"), ("h2", "<u8"), ("least", "<i8")))
+            a, b, other = (np.concatenate(_wide(right, c, k)) for c, k in (("h1", "<u8"), ("h2", "<u4"), ("least", "<i8")))
             order = np.lexsort((b, a))
             a, b, other = a[order], b[order], other[order]
             at = np.searchsorted(h[0], a)
