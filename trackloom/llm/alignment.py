@@ -52,7 +52,7 @@ KEY_CHARS = 100
 ID_BITS = 20
 MARK = (1 << ID_BITS) - 1
 #: Characters of a block of texts.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 UNIT_PARTS = ["a", "a_ends", "b", "b_ends"]
 #: A unit starts at a lone space or line break between other characters.
 UNIT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
