@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, files_and_edits  # noqa: F401  the second registers further queries with the first
+from .plans import catalogue, files_and_edits, perception  # noqa: F401  the others register further queries with the first
 
 
 def queries() -> dict:
