@@ -28,6 +28,7 @@ count are all best; an empty table gives an empty result; other columns of the i
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -78,30 +79,40 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def ranked(path: str, letters: dict[str, int]):
-    """The vocabulary as an encoder by ranks, which is several times faster, if ids follow the order of its merges; else None."""
-    import json
+def byte_bpe(path: str):
+    """(encoder of many texts, bytes of each id) of a byte-level vocabulary.
 
+    If its ids follow the order of its merges it is encoded by ranks, which is several times faster and holds less.
+    """
     import public_tokenizers
     import tiktoken
 
+    letters = byte_letters()
     with open(path, encoding="utf-8") as f:
         d = json.load(f)
-    vocab, merges, cut = d["model"]["vocab"], d["model"]["merges"], d["pre_tokenizer"] or {}
-    one = sorted(vocab[c] for c in letters if c in vocab)
-    if d["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex") or one != list(range(256)):
-        return None
-    ids = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
-    if ids != list(range(256, 256 + len(ids))):
-        return None
-    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if i < 256 + len(ids)}
-    encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda units: [encode(u) for u in units]
+    vocab, cut = d["model"]["vocab"], d["pre_tokenizer"] or {}
+    whole = vocab | {t["content"]: t["id"] for t in d["added_tokens"]}
+    token_bytes = [b""] * (max(whole.values()) + 1)
+    for token, i in whole.items():
+        token_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in d["model"]["merges"]]
+    in_order = sorted(vocab.get(c, -1) for c in letters) + merged == list(range(256 + len(merged)))
+    if in_order and not d["normalizer"] and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex"):
+        ranks = {token_bytes[i]: i for i in range(256 + len(merged))}
+        encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return (lambda texts: [encode(t) for t in texts]), token_bytes
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return (lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]), token_bytes
 
 
 class Side(WordTable):
     """Token ids of each word seen with the space or line break before it, by its 64-bit hash; BAD if they don't join to the word."""
 
+    LIMIT = 500_000
+
     def __init__(self, encode, token_bytes: list[bytes]):
         self.whole, self.token_bytes = encode, token_bytes
         self.length = np.array([len(t) for t in token_bytes], np.int64)
@@ -122,16 +133,8 @@ class Units:
     def __init__(self, cfg: AlignConfig):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        byte_bpe = Tokenizer.from_file(cfg.byte_bpe)
-        byte_bpe.encode_special_tokens = True
-        letters = byte_letters()
-        vocab = byte_bpe.get_vocab(with_added_tokens=True)
-        a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        encode_a = ranked(cfg.byte_bpe, letters) or (lambda texts: [e.ids for e in byte_bpe.encode_batch(texts, add_special_tokens=False)])
+
+        encode_a, a_bytes = byte_bpe(cfg.byte_bpe)
         piece = sentencepiece.SentencePieceProcessor(model_file=cfg.piece)
         pieces = [piece.id_to_piece(i) for i in range(piece.get_piece_size())]
         b_bytes = [bytes([int(p[3:5], 16)]) if piece.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
