@@ -19,7 +19,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *[c for c in quality.ADDED if c != "cleaned"], F.sha2("cleaned", 256).alias("cleaned_sha256"))
+    first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    more = [c for c in quality.ADDED if c not in (*first, "cleaned")]
+    return out.select("doc_id", *first, *more, F.sha2("cleaned", 256).alias("cleaned_sha256"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,12 +32,14 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']
 ASSIGN_PARTS = r"""^((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(.*)$"""
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
+_PEM = r"(?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED) )?PRIVATE KEY-----"
 MORE = {
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "forge": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})",
     "pay": r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "chat": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
-    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    # a key from header to footer; its own headers hold a few dashes, its body none. Without a footer only the header.
+    "pem": rf"-----BEGIN {_PEM}(?:[^-]*(?:-{{1,4}}[^-]+){{0,16}}-----END {_PEM})?",
 }
 KINDS = ["assign", "access", "hex", *MORE]
 ADDED = [
