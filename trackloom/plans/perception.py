@@ -8,7 +8,9 @@ from ..functions import draws
 from ..functions import geometry as g
 from ..operators import camera, evaluation, refinement, registration, splat, tracking
 from ..sources import adapters as a
+from ..sources import frame_ranges
 from ..sources.adapters import sql
+from ..sources.folders import scratch_folder
 from .catalogue import query, r4
 
 # --- tracking: eight users to a clip, each in a lane of its own, so that every match is clear ------------------------
@@ -62,6 +64,24 @@ def tracking_scores(spark, sf):
     return r4(out, "idf1", "idp", "idr", "mota", "motp")
 
 
+# --- frame ranges: files of 50 frames, of which only those that hold asked frames are opened -------------------------
+
+
+@query(
+    "frame_range_rows",
+    sql(
+        """SELECT CAST(clip_id AS VARCHAR) AS clip_id, CAST(i + 1 AS INTEGER) AS frame, CAST(track_id AS INTEGER) AS id, floor(x1) AS x, y1 AS y, 20e0 AS w, 20e0 AS h, 1e0 AS conf
+        FROM daily WHERE i + 1 BETWEEN 5 AND 219 AND (i + 1 - 5) % 3 = 0 AND clip_id <> 3 AND i + 1 < 200""",
+        "daily",
+    ),
+)
+def frame_range_rows(spark, sf):
+    path = scratch_folder(spark) + "/ranges"
+    b = a.daily(spark, sf).select("clip_id", (F.col("i") + 1).alias("frame"), F.col("track_id").alias("id"), F.floor("box.x1").alias("x"), F.col("box.y1").alias("y"), F.lit(20.0).alias("w"), F.lit(20.0).alias("h"), F.lit(1.0).alias("conf"))
+    frame_ranges.write_frames(b, path, span=50)
+    return frame_ranges.read_frames(spark, path, start=5, stop=220, stride=3).where("clip_id <> '3' AND frame < 200")
+
+
 # --- camera motion: planted similarities, a little noise, errors are outliers ----------------------------------------
 
 
