@@ -71,6 +71,14 @@ def test_empty_table_and_clashing_names(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()) == plain(rows, 50)
 
 
+def test_kept_columns(spark):
+    df = spark.createDataFrame([(1, "same words " * 40, "x"), (2, None, "y")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in windows.remove_windows(df).collect()}
+    assert rows[1].text == "same words " * 40 and rows[2].text is None and rows[2].source == "y"
+    assert windows.remove_windows(df, keep=["source"]).columns == ["source", *windows.ADDED]
+    assert windows.remove_windows(df, keep=["text", "doc_id"]).columns == ["text", "doc_id", *windows.ADDED]
+
+
 def test_sketch_never_counts_less(spark):
     cfg = WindowConfig(words=5, block=600, cells=0.01, span=32)
     rows = [(d, t) for d, t in corpus(9, 5) if d is not None]

@@ -84,7 +84,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windows.remove_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = windows.remove_windows(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, packed_up, release, sliced, without
+from .common import Scratch, release, sliced, without
 from .shingles import mix, powers
 
 ADDED = ["n_words", "n_removed", "kept"]
@@ -324,9 +324,9 @@ def grouped(found: DataFrame) -> DataFrame:
     return found.groupBy("part").applyInArrow(run, "_block long, h1 binary, h2 binary, least binary")
 
 
-def _cleaned(rows: DataFrame, less: DataFrame, cfg: WindowConfig) -> DataFrame:
-    """(_in, n_words, n_removed, kept) of every row."""
-    schema = StructType([rows.schema["_in"], *StructType.fromDDL("n_words long, n_removed long, kept binary").fields])
+def _cleaned(rows: DataFrame, less: DataFrame, cfg: WindowConfig, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns, n_words, n_removed and kept of every row."""
+    schema = StructType([*[rows.schema[c] for c in carried], *StructType.fromDDL("n_words long, n_removed long, kept binary").fields])
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = np.array([NONE if i is None else i for i in left.column("_id").to_pylist()], np.int64)
@@ -344,16 +344,23 @@ def _cleaned(rows: DataFrame, less: DataFrame, cfg: WindowConfig) -> DataFrame:
         gone = block.covered((least[of] < doc) & (doc != NONE))
         kept = [b" ".join(compress(w, (~g).tolist())) if g.any() else b" ".join(w) for w, g in zip(block.words, gone, strict=True)]
         release()
-        return pa.table([left.column("_in"), pa.array(block.counts), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array(kept, pa.binary())], names=["_in", *ADDED])
+        made = [pa.array(block.counts), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array(kept, pa.binary())]
+        return pa.table([*[left.column(c) for c in carried], *made], names=[*carried, *ADDED])
 
     return rows.groupBy("_block").cogroup(less.groupBy("_block")).applyInArrow(run, schema)
 
 
-def remove_windows(docs: DataFrame, cfg: WindowConfig = WindowConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of docs and n_words, n_removed (long) and kept: the words that stay, joined by one space."""
+def remove_windows(docs: DataFrame, cfg: WindowConfig = WindowConfig(), key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs in ``keep`` and n_words, n_removed (long) and kept: the words that stay, joined by one space.
+
+    keep: all columns but those called like an added one, unless given. The text is written and shuffled once, kept or not.
+    """
     docs = without(docs, ADDED)
+    keep = docs.columns if keep is None else keep
     scratch = Scratch(docs.sparkSession)
-    rows = packed_up(docs).withColumn("_id", F.col("_in")[key].cast("long")).withColumn("_text", F.col("_in")[text].cast("binary"))
+    others = [c for c in docs.columns if c != text and (c in keep or c == key)]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]).alias("_in")
+    rows = docs.select(packed, F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("binary").alias("_text"))
     rows = scratch.save(_number(rows, cfg))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     hot = scratch.save(merged(sketch(rows, cfg, size), cfg, size))
@@ -361,5 +368,6 @@ def remove_windows(docs: DataFrame, cfg: WindowConfig = WindowConfig(), key: str
     less = scratch.save(grouped(candidates(rows, hot, cfg, size)))
     scratch.drop(hot)
     docs.sparkSession._jvm.System.gc()
-    out = _cleaned(rows, less, cfg)
-    return out.select(*[F.col("_in")[c].alias(c) for c in docs.columns], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    out = _cleaned(rows, less, cfg, ["_in", "_text"] if text in keep else ["_in"])
+    whole = F.col("_text").cast(docs.schema[text].dataType)
+    return out.select(*[whole.alias(c) if c == text else F.col("_in")[c].alias(c) for c in keep], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
