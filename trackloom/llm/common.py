@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -66,6 +67,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
         release()
 
 
+@contextmanager
+def _removing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of a query as soon as it ends: what is written needs them no more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to be read more than once.
 
@@ -80,14 +93,14 @@ class Scratch:
         """Write df and read it back: later uses neither recompute it nor depend on lost executors."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with _removing_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # for drop()
         if self.n == 1:
             fs, p = self._file(self.root)
             fs.deleteOnExit(p)
-        # lets Spark delete the shuffle files of what has been written
-        self.spark._jvm.System.gc()
+        self.spark._jvm.System.gc()  # lets Spark drop the broadcasts of what has been written
         return out
 
     def drop(self, df: DataFrame) -> None:

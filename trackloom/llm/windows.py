@@ -364,10 +364,8 @@ def remove_windows(docs: DataFrame, cfg: WindowConfig = WindowConfig(), key: str
     rows = scratch.save(_number(rows, cfg))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     hot = scratch.save(merged(sketch(rows, cfg, size), cfg, size))
-    docs.sparkSession._jvm.System.gc()  # the sketches' shuffle files go before the next ones come
     less = scratch.save(grouped(candidates(rows, hot, cfg, size)))
     scratch.drop(hot)
-    docs.sparkSession._jvm.System.gc()
     out = _cleaned(rows, less, cfg, ["_in", "_text"] if text in keep else ["_in"])
     whole = F.col("_text").cast(docs.schema[text].dataType)
     return out.select(*[whole.alias(c) if c == text else F.col("_in")[c].alias(c) for c in keep], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
