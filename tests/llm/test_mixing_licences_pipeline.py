@@ -181,6 +181,40 @@ def test_whole_texts_and_spelled_notices(spark):
     assert got[102].licence == ""
 
 
+def _published():
+    """Hand-made files as they are published, and the licence of each."""
+    mit, isc, bsd = (licences.TEXTS[k][1].partition("\n")[2] for k in ("MIT", "ISC", "BSD-3-Clause"))
+    gpl = licences.TEXTS["GPL-3.0"][1]
+    return [
+        ("The MIT License (MIT)\n\nCopyright (c) 2015 Jo Doe\n\n" + mit, "MIT", "permissive"),
+        ("Copyright (c) 2015 Jo Doe\n\n" + mit, "MIT", "permissive"),
+        ("Copyright Jo Doe 2020\n\n" + mit, "MIT", "permissive"),
+        ("MIT License\n\nCopyright Jo Doe and others, 2019-2020.\n\n" + mit, "MIT", "permissive"),
+        ("Copyright (c) 2015, Jo Doe\n\n" + isc, "ISC", "permissive"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2017, Jo Doe\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause", "permissive"),
+        ("Copyright (c) 2017, Jo Doe\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause", "permissive"),
+        ("Copyright (c) 2017, Jo Doe. All rights reserved.\n\n" + bsd, "BSD-3-Clause", "permissive"),
+        (gpl[: gpl.index("How to Apply These Terms")], "GPL-3.0", "copyleft"),
+        (gpl[: gpl.index(licences.END)], "GPL-3.0", "copyleft"),
+        ("Copyright (c) 2017, Jo Doe\nAll rights reserved.\n\n" + mit[:300], "", "reserved"),
+    ]
+
+
+def test_published_forms(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from trackloom.llm import oracles
+
+    cases = _published()
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in licences.scan_licences(df, ["doc_id"]).select("doc_id", *licences.ADDED).collect())
+    assert [(r[1], r[4]) for r in got] == [(licence, terms) for _, licence, terms in cases]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(cases))), "text": [t for t, _, _ in cases]}))
+    assert sorted(con.execute(oracles.licence_sql()).fetchall()) == got
+
+
 def test_licence_query(spark):
     known = {t for _, ts in licences.NOTICES.values() for t in ts}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -4,7 +4,11 @@ Texts are brought to a canonical form: lower case, copyright lines and the like
 equivalent spellings made equal, everything but letters and digits reduced to single
 blanks. The digest of the whole canonical text is joined by hash with the digests of known
 licence texts, and the digest of each line with those of known one-line notices. The table
-of known digests has 32 rows and is broadcast. Column functions only.
+of known digests is fixed, under 100 rows, and is broadcast. Column functions only.
+
+A licence is known with each of its published titles or none, with "All rights reserved." in its
+copyright block or not, and with its appendix or cut after its terms. Those words in the copyright block of a
+known licence reserve nothing, so they add no terms to it; the notice itself is still listed.
 
 Defined cases: null text is empty and matches nothing; a text or line that is empty in its
 canonical form matches nothing; repeated rows are scanned one by one; texts of any length are
@@ -106,14 +110,23 @@ LONG = {
 }
 for _name, _terms in LONG.items():
     TEXTS[_name] = (_terms, (Path(__file__).parent / "licence_texts" / f"{_name}.txt").read_text(encoding="utf-8"))
+# Titles under which the short licences are published, the words of old copyright blocks, and the end of the long ones' terms.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"],
+}
+RIGHTS = "All rights reserved."
+END = "END OF TERMS AND CONDITIONS"
 # Pairs of equivalent spellings, the second one canonical.
 SPELLINGS = [
     ("licenc", "licens"), ("sub-licens", "sublicens"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"),
     ("copyright owner", "copyright holder"), ("favour", "favor"), ("fulfil ", "fulfill "), ("organis", "organiz"), ("analys", "analyz"),
     ("&", " and "), ("http:", "https:"), ("while ", "whilst "),
 ]
-#: Lines that name a holder or a year: running text that happens to start with the word stays.
-COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:copyright[^\p{L}\n]*(?:[0-9<\[\x{00a9}:]|\(c\)|by\b)|\(c\)|\x{00a9})[^\n]*$"
+#: Lines that name a holder or a year, or end with a year: running text that happens to start with the word stays.
+COPYRIGHT = r"(?m)^[^\p{L}\n]*(?:copyright[^\p{L}\n]*(?:[0-9<\[\x{00a9}:]|\(c\)|by\b)[^\n]*|(?:\(c\)|\x{00a9})[^\n]*|copyright\b[^\n]*\b[0-9]{4}[^\p{L}0-9\n]*)$"
 #: Held by every known text or notice before it is made canonical, whatever stands between two words.
 HINT = r"(?i)licen[cs]|permission|copyright|rights|public[^a-zA-Z0-9]+domain|cc0"
 
@@ -131,9 +144,23 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def published() -> list[tuple[str, str, str]]:
+    """(licence, terms, text) of every form that a whole licence is known in."""
+    out = []
+    for name, (terms, text) in TEXTS.items():
+        out.append((name, terms, text))
+        if name in TITLES:
+            body = text.partition("\n")[2]
+            out += [(name, terms, f"{title}\n{rights}\n{body}") for title in ("", *TITLES[name]) for rights in ("", RIGHTS)]
+        before, end, _ = text.partition(END)
+        if end:
+            out += [(name, terms, before), (name, terms, before + end)]
+    return out
+
+
 def known(spark: SparkSession) -> DataFrame:
     """(form, licence, terms, digest) of all known texts and notices."""
-    rows = [("text", k, terms, t) for k, (terms, t) in TEXTS.items()]
+    rows = [("text", *x) for x in published()]
     rows += [("line", k, terms, t) for k, (terms, ts) in NOTICES.items() for t in ts]
     df = spark.createDataFrame(rows, "form string, licence string, terms string, t string")
     return df.select("form", "licence", "terms", digest(F.col("t")).alias("digest")).dropDuplicates(["form", "digest"])
@@ -166,7 +193,9 @@ def scan_licences(docs: DataFrame, keep: list[str], text_col: str = "text") -> D
     )
     whole = F.broadcast(known(docs.sparkSession).filter("form = 'text'").select(F.col("digest").alias("_whole"), "licence", F.col("terms").alias("_whole_terms")))
     out = found.join(whole, "_whole", "left").join(notices, "_row", "left")
-    terms = F.array_sort(F.array_distinct(F.concat(F.coalesce("_terms", F.array().cast("array<string>")), F.when(F.col("_whole_terms").isNotNull(), F.array("_whole_terms")).otherwise(F.array().cast("array<string>")))))
+    told = F.coalesce("_terms", F.array().cast("array<string>"))
+    told = F.when(F.col("_whole_terms").isNotNull(), F.array_remove(told, "reserved")).otherwise(told)
+    terms = F.array_sort(F.array_distinct(F.concat(told, F.when(F.col("_whole_terms").isNotNull(), F.array("_whole_terms")).otherwise(F.array().cast("array<string>")))))
     out = out.withColumns({
         "licence": F.coalesce("licence", F.lit("")), "notices": F.coalesce("notices", F.lit("")),
         "n_notices": F.coalesce("n_notices", F.lit(0)).cast("long"), "terms": F.array_join(terms, ","),

@@ -40,24 +40,24 @@ SELECT *, n_words < {cfg.min_words} OR 100 * n_repeat_words > {cfg.max_repeat_pe
 
 
 def _canonical(x: str) -> str:
-    out = rf"regexp_replace(lower({x}), '(?m)^[^\p{{L}}\n]*(?:copyright[^\p{{L}}\n]*(?:[0-9<\[\x{{00a9}}:]|\(c\)|by\b)|\(c\)|\x{{00a9}})[^\n]*$', ' ', 'g')"
+    out = f"regexp_replace(lower({x}), '{licences.COPYRIGHT}', ' ', 'g')"
     for a, b in licences.SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
     return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 def licence_sql() -> str:
-    texts = ", ".join(f"('{k}', '{terms}', '{_quoted(t)}')" for k, (terms, t) in licences.TEXTS.items())
+    texts = ", ".join(f"('{k}', '{terms}', '{_quoted(t)}')" for k, terms, t in licences.published())
     lines = ", ".join(f"('{k}', '{terms}', '{_quoted(t)}')" for k, (terms, ts) in licences.NOTICES.items() for t in ts)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
 kt(licence, terms, t) AS (VALUES {texts}), kl(licence, terms, t) AS (VALUES {lines}),
-ct AS (SELECT licence, terms, {_canonical('t')} AS form FROM kt), cl AS (SELECT DISTINCT licence, terms, {_canonical('t')} AS form FROM kl),
+ct AS (SELECT DISTINCT licence, terms, {_canonical('t')} AS form FROM kt), cl AS (SELECT DISTINCT licence, terms, {_canonical('t')} AS form FROM kl),
 wh AS (SELECT id, {_canonical('text')} AS form FROM d), ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d), lf AS (SELECT id, {_canonical('line')} AS form FROM ln),
 w AS (SELECT id, licence, terms FROM wh JOIN ct USING (form)),
 n AS (SELECT id, licence, terms FROM lf JOIN cl USING (form)),
 a AS (SELECT id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notices FROM n GROUP BY id),
-t AS (SELECT id, string_agg(DISTINCT terms, ',' ORDER BY terms) AS terms FROM (SELECT id, terms FROM w UNION ALL SELECT id, terms FROM n) GROUP BY id)
+t AS (SELECT id, string_agg(DISTINCT terms, ',' ORDER BY terms) AS terms FROM (SELECT id, terms FROM w UNION ALL SELECT id, terms FROM n WHERE terms <> 'reserved' OR id NOT IN (SELECT id FROM w)) GROUP BY id)
 SELECT doc_id, coalesce(w.licence, '') AS licence, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices, coalesce(t.terms, '') AS terms
 FROM d LEFT JOIN w USING (id) LEFT JOIN a USING (id) LEFT JOIN t USING (id)"""
 
