@@ -85,6 +85,16 @@ def test_copies_nulls_and_empty(spark):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
+def test_repeated_pages_are_no_template(spark):
+    article, plain = "<body><article><h1>Head</h1><p>The whole story.</p></article></body>", "<div><div><p>Running text of a page.</p></div></div>"
+    rows = [(i, "http://one.org/a", article, None, None) for i in range(25)] + [(100 + i, "http://two.org/a", plain, None, None) for i in range(7)]
+    rows += [(200 + i, "http://three.org/a", f"<div><div><p>Shop of the year</p></div><div><p>Text {i // 3} of many things.</p></div></div>", None, None) for i in range(36)]
+    got = texts(spark, rows)
+    assert all(got[i] == "Head\nThe whole story." for i in range(25))
+    assert all(got[100 + i] == "Running text of a page." for i in range(7))
+    assert all(got[200 + i] == f"Text {i // 3} of many things." for i in range(36))
+
+
 def test_two_templates_of_a_host(spark):
     def shop(i):
         return f"<div class=shop><p>Fine wares daily</p><div class=body><p>Ware number {i} costs {i * 3} coins.</p><p>Packed in lot {i}.</p></div></div>"

@@ -13,8 +13,8 @@ class. What is left is kept: the text in article or main elements if there are a
 every block with words outside links, every heading, and the whole of the densest region.
 
 Defined cases: null html gives an empty text; pages without a url share one nameless
-host; copies of a page are extracted one by one; an empty table gives an empty result;
-clashing column names are replaced.
+host; copies of a page are extracted one by one, but count as one page of their host, so a page is never
+template because it is repeated; an empty table gives an empty result; clashing column names are replaced.
 """
 
 from __future__ import annotations
@@ -412,26 +412,37 @@ def shape(page: Column) -> Column:
 
 
 def node_counts(pages: DataFrame, cfg: WrapperConfig) -> DataFrame:
-    """(host, kind, node, digest, n): pages aligned with a reference node, by their text there."""
+    """(host, kind, node, digest, n): pages aligned with a reference node, by their text there; each counts by its ``_weight``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = References()
         for b in batches:
-            count: dict[tuple[str, int, int, int], int] = {}
-            for host, kind, page, ref in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            count: dict[tuple[str, int, int, int], float] = {}
+            for host, kind, page, ref, weight in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 nodes, _ = parse(page)
                 for i, j in align(nodes, refs.of(host, kind, ref), cfg).items():
                     key = host, kind, j, digest(own_text(nodes[i]))
-                    count[key] = count.get(key, 0) + 1
+                    count[key] = count.get(key, 0) + weight
             if count:
                 host, kind, node, text = zip(*count, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(host), pa.array(kind, pa.int64()), pa.array(node, pa.int32()), pa.array(text, pa.int64()), pa.array(count.values(), pa.int64())],
+                    [pa.array(host), pa.array(kind, pa.int64()), pa.array(node, pa.int32()), pa.array(text, pa.int64()), pa.array(count.values(), pa.float64())],
                     names=["host", "kind", "node", "digest", "n"],
                 )
 
-    columns = [F.col("_host").alias("host"), F.col("_kind").alias("kind"), F.col("_page").alias("page"), F.col("_ref").alias("ref")]
-    return pages.select(*columns).mapInArrow(run, "host string, kind long, node int, digest long, n long")
+    columns = [F.col("_host").alias("host"), F.col("_kind").alias("kind"), F.col("_page").alias("page"), F.col("_ref").alias("ref"), F.col("_weight").alias("weight")]
+    return pages.select(*columns).mapInArrow(run, "host string, kind long, node int, digest long, n double")
+
+
+def weighted(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """pages with ``_weight``: one part in as many as their host has of the same page.
+
+    Copies are counted by digest, combined before the shuffle; only repeated pages have a row to join.
+    """
+    page = F.xxhash64("_page").alias("_copy")
+    copies = scratch.save(pages.groupBy("_host", page).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1"))
+    met = with_known(pages.withColumn("_copy", page), copies, ["_host", "_copy"], F.octet_length("_host") + 24, "left")
+    return met.withColumn("_weight", 1 / F.coalesce("_copies", F.lit(1))).drop("_copy", "_copies")
 
 
 def extract(pages: DataFrame, cfg: WrapperConfig, carried: list[str]) -> DataFrame:
@@ -505,15 +516,15 @@ def references(base: DataFrame, scratch: Scratch, cfg: WrapperConfig) -> tuple[D
 def main_text(pages: DataFrame, cfg: WrapperConfig = WrapperConfig(), html_col: str = "html", url_col: str = "url") -> DataFrame:
     """pages without html, with the main text and its length."""
     scratch = Scratch(pages.sparkSession)
-    inner = ["_host", "_page", "_shape", "_kind", "_pick", "_salt", "_ref", "_template"]
+    inner = ["_host", "_page", "_shape", "_kind", "_pick", "_salt", "_ref", "_template", "_weight", "_copy", "_copies"]
     carried = without(pages.drop(html_col), ["text", "n_chars", *inner]).columns
     host = F.coalesce(F.regexp_extract(F.lower(url_col), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
     page = F.coalesce(html_col, F.lit(""))
     base = pages.select(*[F.col(f"`{c}`") for c in carried], host.alias("_host"), page.alias("_page"), shape(page).alias("_shape"))
     named, refs = references(base, scratch, cfg)
     size = F.octet_length("_ref")
-    counts = node_counts(with_known(named, refs, ["_host", "_kind"], size, "inner"), cfg)
-    by_text = counts.groupBy("host", "kind", "node", "digest").agg(F.sum("n").alias("n"))
+    counts = node_counts(with_known(weighted(named, scratch), refs, ["_host", "_kind"], size, "inner"), cfg)
+    by_text = counts.groupBy("host", "kind", "node", "digest").agg(F.round(F.sum("n"), 3).alias("n"))  # parts of copies add up to whole pages
     summed = by_text.groupBy("host", "kind", "node").agg(F.sum("n").alias("met"), F.max(F.when(F.col("digest") != 0, F.struct("n", "digest"))).alias("top"))
     strict = (F.col("met") >= cfg.least_in_main) & (F.col("top.n") >= cfg.constant_in_main * F.col("met"))
     fixed = summed.filter((F.col("met") >= cfg.least) & (F.col("top.n") >= cfg.constant * F.col("met")))
