@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import cells
 
 
 def match_reads(reads: DataFrame, boxes: DataFrame, min_ios: float = 0.9, key: str = "clip_id") -> DataFrame:
@@ -13,11 +14,19 @@ def match_reads(reads: DataFrame, boxes: DataFrame, min_ios: float = 0.9, key: s
 
     The threshold is inclusive and of equal boxes the last listed wins; reads without a box drop out.
     """
-    b = boxes.select(key, "frame", "track_id", F.col("box").alias("_b"), F.col("ord").alias("_o"))
-    met = reads.join(b, [key, "frame"]).withColumn("_s", g.ios(F.col("box"), F.col("_b"))).filter(F.col("_s") >= min_ios)
+    frame, rank = [key, "frame"], F.struct(F.col("ord").alias("_o"), "track_id")
+    b = boxes.select(*frame, F.col("box").alias("_b"), rank.alias("_rank"))
+    if min_ios > 0:
+        # a read that lies in a box as a whole has the greatest share, 1, so there the last listed such box wins
+        r = F.col("box")
+        reads = cells.dealt(reads.where(g.area(r) > 0), frame, r["x1"], r["y1"], r["x2"], r["y2"])
+        pairs = reads.join(cells.contenders(reads, b, frame), [*frame, "_cell"])
+    else:
+        pairs = reads.join(b, frame)
+    met = pairs.withColumn("_s", g.ios(F.col("box"), F.col("_b"))).filter(F.col("_s") >= min_ios)
     # equal up to rounding counts as equal
-    best = met.groupBy(key, "frame", "read_id").agg(F.max(F.struct(F.round("_s", 9), "_o", "track_id", "number")).alias("m"))
-    return best.select(key, F.col("m.track_id").alias("track_id"), "frame", "read_id", F.col("m.number").alias("number"))
+    best = met.groupBy(*frame, "read_id").agg(F.max(F.struct(F.round("_s", 9), "_rank", "number")).alias("m"))
+    return best.select(key, F.col("m._rank.track_id").alias("track_id"), "frame", "read_id", F.col("m.number").alias("number"))
 
 
 def without_abstentions(reads: DataFrame, label: str = "unreadable") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import cells
 
 
 class LabelVersions:
@@ -46,8 +47,11 @@ class LabelVersions:
 
 def box_at(boxes: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
     """points(…, px, py) with the ord of the smallest box that holds the point, the first of equals; null without one."""
-    met = points.join(boxes.select(*key, "ord", "box"), key).filter(g.contains(F.col("box"), F.col("px"), F.col("py")))
-    best = met.groupBy(*points.columns).agg(F.min(F.struct(g.area(F.col("box")).alias("a"), "ord")).alias("m"))
+    x, y, b = F.col("px"), F.col("py"), F.col("_b")
+    dealt = cells.dealt(points, key, x, y, x, y)
+    ranked = boxes.select(*key, F.col("box").alias("_b"), F.struct(g.area(F.col("box")).alias("a"), "ord").alias("_rank"))
+    met = dealt.join(cells.contenders(dealt, ranked, key, F.min), [*key, "_cell"]).filter(g.contains(b, x, y))
+    best = met.groupBy(*points.columns).agg(F.min("_rank").alias("m"))
     return points.join(best.select(*points.columns, F.col("m.ord").alias("ord")), points.columns, "left")
 
 
