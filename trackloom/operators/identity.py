@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -42,29 +45,42 @@ def confirm_numbers(votes: DataFrame, min_votes: int = 3, min_share: float = 0.5
     return ranked.filter(sure).select(key, "track_id", "number", "n", "total")
 
 
+def _merged(pdf: pd.DataFrame) -> dict:
+    """Track ids and the smallest id of their group, for the tracks of one number.
+
+    Starts never fall, so a group that has ended before one start has ended before all later ones: those that still run
+    wait in a heap by their end, the free ones in a heap by their number.
+    """
+    rows = pdf.sort_values(["start", "ord", "end", "track_id"], kind="stable", na_position="first")
+    least, ends, at, free, running = [], [], [], [], []
+    for start, end, track in zip(rows["start"], rows["end"], rows["track_id"], strict=True):
+        while running and running[0][0] < start:
+            heapq.heappush(free, heapq.heappop(running)[1])
+        if free and not pd.isna(start):
+            k = heapq.heappop(free)
+            least[k], ends[k] = min(least[k], track), ends[k] if pd.isna(end) else max(ends[k], end)
+        else:
+            k = len(least)
+            least.append(track), ends.append(end)
+        if not pd.isna(ends[k]):  # one without an end takes no other
+            heapq.heappush(running, (ends[k], k))
+        at.append(k)
+    return {"track_id": rows["track_id"].to_numpy(), "canonical_id": [least[k] for k in at]}
+
+
 def merge_by_number(confirmed: DataFrame, spans: DataFrame, key: str = "clip_id") -> DataFrame:
     """(clip, track_id, canonical_id): tracks of one number join the first group that ends before they start.
 
     spans(clip, track_id, start, end, ord). Tracks without a number stand for themselves.
     """
-    t = confirmed.select(key, "track_id", "number").join(spans, [key, "track_id"])
-    lists = t.groupBy(key, "number").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "track_id"))).alias("todo"))
-    none = F.array().cast("array<struct<end:long,ids:array<long>>>")
-
-    def place(a: Column, r: Column) -> Column:
-        fits = F.array_position(F.transform(a, lambda x: r["start"].cast("long") > x["end"]), True)
-        one = F.struct(r["end"].cast("long").alias("end"), F.array(r["track_id"].cast("long")).alias("ids"))
-        joined = F.transform(
-            a,
-            lambda x, i: F.when(
-                i + 1 == fits,
-                F.struct(F.greatest(x["end"], r["end"].cast("long")).alias("end"), F.array_append(x["ids"], r["track_id"].cast("long")).alias("ids")),
-            ).otherwise(x),
-        )
-        return F.when(fits > 0, joined).otherwise(F.array_append(a, one))
-
-    groups = lists.select(key, F.explode(F.aggregate("todo", none, place)).alias("x"))
-    merged = groups.select(key, F.explode("x.ids").alias("track_id"), F.array_min("x.ids").alias("canonical_id"))
+    long = [F.col(c).cast("long").alias(c) for c in ("track_id", "start", "end")]
+    t = confirmed.select(key, "track_id", "number").join(spans, [key, "track_id"]).select(key, "number", *long, "ord")
+    kind = t.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: pdf[key].iloc[0], **_merged(pdf)})
+
+    merged = t.groupBy(key, "number").applyInPandas(run, f"{key} {kind}, track_id long, canonical_id long")
     rest = spans.select(key, F.col("track_id").cast("long").alias("track_id")).join(merged, [key, "track_id"], "left_anti")
     return merged.unionByName(rest.withColumn("canonical_id", F.col("track_id")))
 
