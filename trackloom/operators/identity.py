@@ -142,9 +142,18 @@ def duplicates_over_segments(dups: DataFrame) -> DataFrame:
 
 
 def mined_abstentions(players: DataFrame, numbers: DataFrame, limit: int, seed: int, key: list[str] = ["clip_id", "frame"]) -> DataFrame:  # noqa: B006
-    """Players in whose box no number has its centre: training material for 'unreadable', a seeded draw of at most limit."""
-    c = g.center(F.col("box"))
-    n = numbers.select(*key, c.alias("_c"))
-    p = players.withColumn("_id", F.monotonically_increasing_id())
-    hit = p.join(n, key).filter(g.contains(F.col("box"), F.col("_c.x"), F.col("_c.y"))).select("_id")
-    return p.join(hit, "_id", "left_anti").drop("_id").orderBy(F.rand(seed)).limit(limit)
+    """Players in whose box no number has its centre: training material for 'unreadable', a seeded draw of at most limit.
+
+    A box that holds all of a cell's centres is settled by that; only the others are compared with centres. The greatest
+    limit that Spark takes asks for all, which needs no draw.
+    """
+    c, b = g.center(F.col("box")), F.col("box")
+    n = cells.dealt(numbers.select(*key, c.alias("_c")), key, c_x := F.col("_c.x"), c_y := F.col("_c.y"), c_x, c_y)
+    places = cells.extents(n, key)
+    distinct = players.select(*key, "box").distinct()
+    sure = distinct.join(places, key).where(cells.holds(b)).select(*key, "box").distinct()
+    rest = distinct.join(sure, [*key, "box"], "left_anti")
+    near = rest.join(places, key).where(cells.touches(b)).select(*key, "_cell", "box")
+    hit = near.join(n, [*key, "_cell"]).where(g.contains(b, c_x, c_y)).select(*key, "box").distinct()
+    left = players.join(sure.unionByName(hit), [*key, "box"], "left_anti")
+    return left if limit >= 2**31 - 1 else left.orderBy(F.rand(seed)).limit(limit)
