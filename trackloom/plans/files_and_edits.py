@@ -81,8 +81,9 @@ def coco_annotations(spark, sf):
 def yolo_files(spark, sf):
     path, k = scratch_folder(spark) + "/yolo", _kp5(spark, sf)
     images = k.select("image_id").distinct().select("image_id", F.concat(F.lit("im"), "image_id").alias("file_name"), F.lit(128.0).alias("width"), F.lit(128.0).alias("height"))
-    writers.yolo_pose_lines(images, k).select("value").write.text(path)
-    return r4(readers.yolo_boxes(spark, path), "cx", "cy", "w", "h").select("cx", "cy", "w", "h")
+    # in full digits, and rounded as SQL rounds, in binary: six digits would be rounded twice
+    writers.yolo_pose_lines(images, k, digits=None).select("value").write.text(path)
+    return readers.yolo_boxes(spark, path).select(*[(F.round(F.col(c) * 10000) / 10000).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query("ocr_files", sql("SELECT 'crop' || event_id AS image, CASE WHEN k % 5 = 0 THEN 'unreadable' ELSE CAST(k AS VARCHAR) END AS label FROM ev"))

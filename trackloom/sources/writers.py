@@ -50,8 +50,12 @@ def coco_records(points: DataFrame) -> DataFrame:
     return per.select("image_id", F.to_json(F.struct("image_id", "keypoints", "num_keypoints", box.alias("bbox"))).alias("value"))
 
 
-def yolo_pose_lines(images: DataFrame, points: DataFrame) -> DataFrame:
-    """(file_name, value): a pose label line per image, empty where an image has no points; coordinates in shares of the image."""
+def yolo_pose_lines(images: DataFrame, points: DataFrame, digits: int | None = 6) -> DataFrame:
+    """(file_name, value): a pose label line per image, empty where an image has no points; coordinates in shares of the image.
+
+    Without digits, numbers are written in full, so that they are read back as they were.
+    """
+    text = lambda c: c.cast("string") if digits is None else F.format_string(f"%.{digits}f", c)
     n = lambda v, by: F.when(F.col("v") > 0, F.col(v) / F.col(by)).otherwise(0.0)
     p = points.join(images.select("image_id", "width", "height"), "image_id").select("image_id", "kp", "v", n("x", "width").alias("x"), n("y", "height").alias("y"))
     vis = F.col("v") > 0
@@ -59,10 +63,10 @@ def yolo_pose_lines(images: DataFrame, points: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("kp", "x", "y", "v"))).alias("k"),
         *[f(F.when(vis, F.col(c))).alias(a) for f, c, a in ((F.min, "x", "x1"), (F.min, "y", "y1"), (F.max, "x", "x2"), (F.max, "y", "y2"))],
     )
-    f6 = lambda c: F.format_string("%.6f", F.coalesce(c, F.lit(0.0)))
+    part = lambda c: text(F.coalesce(c, F.lit(0.0)))
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    head = F.concat_ws(" ", F.lit("0"), f6((x1 + x2) / 2), f6((y1 + y2) / 2), f6(x2 - x1), f6(y2 - y1))
-    tail = F.array_join(F.transform("k", lambda q: F.concat_ws(" ", F.format_string("%.6f", q["x"]), F.format_string("%.6f", q["y"]), q["v"].cast("string"))), " ")
+    head = F.concat_ws(" ", F.lit("0"), part((x1 + x2) / 2), part((y1 + y2) / 2), part(x2 - x1), part(y2 - y1))
+    tail = F.array_join(F.transform("k", lambda q: F.concat_ws(" ", text(q["x"]), text(q["y"]), q["v"].cast("string"))), " ")
     out = images.select("image_id", "file_name").join(per.select("image_id", F.concat_ws(" ", head, tail).alias("value")), "image_id", "left")
     return out.select("file_name", F.coalesce("value", F.lit("")).alias("value"))
 
