@@ -49,14 +49,15 @@ def matched(points: DataFrame, pixels: DataFrame, params: DataFrame, rule: Refin
     is looked up by an equi-join on its cell, so only pixels that some sample hits are ever paired. Of equally dark ones the
     sample nearest the point, then the one before it, is taken.
     """
-    rows = points.join(params, KEY)
+    # points, samples and targets are many to a frame, which sizes guessed from the files do not tell: none is broadcast
+    rows = points.hint("merge").join(params, KEY)
     x, y, _ = _seen(F.col("p"), F.col("fx"), F.col("fy"))
     rows = curve_normals(rows.withColumns({"x": x, "y": y}), [*KEY, "curve"])
     t = F.explode(F.sequence(F.lit(-rule.search), F.lit(rule.search))).alias("t")
     samples = rows.where((F.col("nx") != 0) | (F.col("ny") != 0)).select(*KEY, "curve", "i", "fx", "fy", "x", "y", "nx", "ny", t)
     sx, sy = F.col("x") + F.col("t") * F.col("nx"), F.col("y") + F.col("t") * F.col("ny")
     samples = samples.withColumns({"sx": sx, "sy": sy}).withColumns({"px": F.rint("sx").cast("int"), "py": F.rint("sy").cast("int")})
-    hit = samples.join(pixels.where(F.col("gray") <= rule.dark), [*KEY, "px", "py"])
+    hit = samples.hint("merge").join(pixels.where(F.col("gray") <= rule.dark), [*KEY, "px", "py"])
     best = hit.groupBy(*KEY, "curve", "i").agg(F.min(F.struct("gray", F.abs("t").alias("far"), "t", "sx", "sy", "fx", "fy", "nx", "ny")).alias("b"))
     return best.select(*KEY, "b.fx", "b.fy", F.col("b.sx").alias("tx"), F.col("b.sy").alias("ty"), "b.nx", "b.ny", F.lit(1.0).alias("weight"))
 
@@ -69,7 +70,7 @@ def anchors(corners: DataFrame, rule: RefineRule) -> DataFrame:
 
 def normal_equations(targets: DataFrame, params: DataFrame, rule: RefineRule) -> DataFrame:
     """(clip_id, frame, p, n, a, b): the upper triangle of the 8 x 8 matrix, row by row, and the right-hand side of one step."""
-    rows = targets.join(params, KEY)
+    rows = targets.hint("merge").join(params, KEY)
     u, v, w = _seen(F.col("p"), F.col("fx"), F.col("fy"))
     rows = rows.withColumns({"u": u, "v": v, "w": w})
     c = F.col
