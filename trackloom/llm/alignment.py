@@ -1,23 +1,16 @@
 """Which tokens of two tokenizers cover the same bytes.
 
-Tokenising is the only Python here. Each text, with a space before it, is cut into units that
-neither tokenizer looks across: a word with the space or line break before it, where white space
-is regular, and else the text itself, in chunks if it is long. A task works through blocks of texts
-and sends, as one row for each block, the tokens (end offset and id) of every distinct unit of the
-block once, and of every document which units it consists of.
-
-Everything else is made by Spark's functions on arrays. The ends that both sides of a unit have
-(array_intersect) are merged as marks into the sorted tokens of either side; joined, split at the
-marks and paired, the tokens become the unit's groups, and a document's groups are those of its units,
-one after the other. A token's bytes follow from its id, so a group's links follow from its
-ids, and links are made once per distinct group of the corpus: the token that covers each byte on
-either side (a run per token, flattened), and one link for every byte (sequence) at which a token of
-a side ends, since such an end closes exactly one stretch that one A and one B token share. A pair's
-count is the sum over the groups that hold it; a unit's sums are those of its groups, and a
-document's (aggregate) those of its units.
-
-Groups that make up more than one of ``FREQUENT`` of all occurrences, so fewer than FREQUENT, are
-looked up by broadcast (long ones by digest); the others, none of which is hot, by a shuffle.
+Each text, with a space before it, is cut into units that neither tokenizer looks across: a word with
+the space or line break before it, where white space is regular, and else the text itself, in chunks
+if it is long. A Python task works through blocks of texts: every distinct unit of a block is tokenised
+once, its tokens are cut into groups at the ends that both sides have, and each end of a token on
+either side closes exactly one stretch that one A and one B token share, which is a link. It sends one
+row for each block: its distinct id pairs with how many links hold them, and of every document its
+groups and its links as places among those pairs.
+
+Spark adds the pairs of all blocks up, finds the highest count of each B id, and joins the counts with
+the pairs of each block, which hold a pair once however frequent it is, so no key is hot. A
+document's sums (aggregate) run over its links, whose counts its block now holds.
 
 Defined cases: a null or empty text, or one whose joined token bytes on either side are not
 space+text (characters that a tokenizer rewrites, bytes that are not UTF-8), has no tokens,
@@ -37,31 +30,27 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import COMMON, Scratch, join_spread, let, sliced, without
+from .common import Scratch, release, sliced, without
 from .packing import WordTable
 from .shingles import mix, word_bounds, word_hashes
 
-#: Groups with more than one of so many occurrences are joined by broadcast; there are fewer such groups than this.
+#: Of no effect any more: nothing is joined by groups. tests/llm/test_alignment.py sets them.
 FREQUENT = 100_000
-#: Longer groups are joined by their digest.
 KEY_CHARS = 100
-#: Tokens travel as end offset and id in one number; the largest id marks a common end.
-ID_BITS = 20
-MARK = (1 << ID_BITS) - 1
 #: Characters of a block of texts.
-BLOCK = 2 << 20
-UNIT_PARTS = ["a", "a_ends", "b", "b_ends"]
+BLOCK = 1 << 19
 #: A unit starts at a lone space or line break between other characters.
 UNIT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
 #: What makes a text irregular: white space of another kind, in a run, or at an end. The units of other texts are words.
 ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 BAD = 0xFFFFFFFF
-SCORES = ["n_groups", "n_links", "n_best", "count_sum"]
-ADDED = ["n_a", "n_b", *SCORES]
+COUNTED = ["n_a", "n_b", "n_groups", "n_links"]
+ADDED = [*COUNTED, "n_best", "count_sum"]
 
 
 @dataclass(frozen=True)
@@ -116,6 +105,7 @@ class Side(WordTable):
     def __init__(self, encode, token_bytes: list[bytes]):
         self.whole, self.token_bytes = encode, token_bytes
         self.length = np.array([len(t) for t in token_bytes], np.int64)
+        self.names = pa.array(np.arange(len(token_bytes))).cast(pa.string())
         self.clear()
 
     def encode(self, words: list[str]) -> list[list[int]]:
@@ -149,6 +139,12 @@ class Units:
         # units are exact only if no piece reaches across the place of a cut
         self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
 
+    def forget(self) -> None:
+        """Give back what the words seen so far take."""
+        for side in self.sides:
+            side.clear()
+        release()
+
     def chunks(self, text: str) -> list[str]:
         """A text with its space, cut between units into chunks of about CHUNK characters."""
         if not self.cuts or len(text) < self.CHUNK:
@@ -209,15 +205,36 @@ def _units(cfg: AlignConfig) -> Units:
     return Units(cfg)
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+def _lists(values: np.ndarray | pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def _tokens(ids: np.ndarray, counts: np.ndarray, length: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Tokens (end offset and id) and ends (end offset and the mark) as an array per unit."""
-    run = np.concatenate([[0], np.cumsum(length[ids])])
-    ends = run[1:] - np.repeat(run[np.cumsum(counts) - counts], counts)
-    return _lists(ends << ID_BITS | ids, counts), _lists(ends << ID_BITS | MARK, counts)
+@dataclass(frozen=True)
+class Aligned:
+    """Groups of each unit as ``a1,a2|b1;a3|b2`` (empty without tokens) and how many; its links, unit after unit, as a_id << 32 | b_id, and how many."""
+
+    texts: pa.Array
+    n_groups: np.ndarray
+    links: np.ndarray
+    n_links: np.ndarray
+
+
+def align_units(sides: list[tuple[np.ndarray, np.ndarray]], vocabularies: tuple[Side, Side]) -> Aligned:
+    """sides: (ids, tokens a unit) of A and B.
+
+    Both sides of a unit join to the same bytes, so offsets run on over all units and every unit ends at a common end.
+    """
+    ends = [np.cumsum(side.length[ids]) for (ids, _), side in zip(sides, vocabularies, strict=True)]
+    stop = np.concatenate([[0], ends[0]])[np.cumsum(sides[0][1])]  # of each unit
+    common, either = np.intersect1d(*ends, assume_unique=True), np.union1d(*ends)
+    texts = []
+    for (ids, _), side, end in zip(sides, vocabularies, ends, strict=True):
+        cuts = np.concatenate([[0], np.searchsorted(end, common) + 1]).astype(np.int32)
+        texts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), side.names.take(pa.array(ids))), ","))
+    n_groups, n_links = (np.diff(np.searchsorted(x, stop, side="right"), prepend=0) for x in (common, either))
+    joined = pc.binary_join(_lists(pc.binary_join_element_wise(*texts, "|"), n_groups), ";")
+    a, b = (ids[np.searchsorted(end, either)] for (ids, _), end in zip(sides, ends, strict=True))
+    return Aligned(joined, n_groups, a << 32 | b, n_links)
 
 
 def _decoded(raw: pa.Scalar) -> str | None:
@@ -227,22 +244,27 @@ def _decoded(raw: pa.Scalar) -> str | None:
         return None
 
 
+def block_row(units: Units, ins: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
+    """One row for a block of texts, its documents with their columns ``ins``."""
+    sides, of, tokens = units.block(texts)
+    made = align_units(sides, units.sides)
+    used, n_units = np.concatenate([*of, np.empty(0, np.int64)]).astype(np.int64), np.array([len(u) for u in of])
+    n = made.n_links[used]
+    pairs, place = np.unique(made.links, return_inverse=True)
+    links = place.astype(np.int32)[np.repeat((np.cumsum(made.n_links) - made.n_links)[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    n_groups, n_links = (np.diff(np.concatenate([[0], np.cumsum(x[used])])[np.cumsum(n_units)], prepend=0) for x in (made.n_groups, made.n_links))
+    groups = pc.binary_join(_lists(made.texts.take(pa.array(used)), n_units), ";")
+    docs = pa.StructArray.from_arrays([pa.concat_arrays(ins), *map(pa.array, (*tokens, n_groups, n_links)), _lists(links, n_links), groups], ["_in", *COUNTED, "links", "groups"])
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.RecordBatch.from_arrays([one(docs), one(pa.array(pairs)), one(pa.array(np.bincount(links, minlength=len(pairs))))], names=["docs", "pairs", "times"])
+
+
 def _blocks(docs: DataFrame, cfg: AlignConfig, text: str, keep: list[str]) -> DataFrame:
-    """(docs, units, times): a row for each block of texts, what its documents consist of, its distinct units, how often each is there."""
+    """(docs, pairs, times): a row for each block of texts, its documents, the distinct pairs of its links, how many links hold each."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_in"), F.col(f"`{text}`").cast("binary").alias("_text"))
     longs, ints = ArrayType(LongType(), False), ArrayType(IntegerType(), False)
-    doc = StructType([rows.schema["_in"], StructField("n_a", LongType()), StructField("n_b", LongType()), StructField("units", ints)])
-    unit = StructType([StructField(c, longs) for c in UNIT_PARTS])
-    schema = StructType([StructField("docs", ArrayType(doc, False)), StructField("units", ArrayType(unit, False)), StructField("times", ints)])
-
-    def row(ins: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
-        units = _units(cfg)
-        sides, of, n = units.block(texts)
-        put = pa.StructArray.from_arrays([c for s, x in zip(units.sides, sides, strict=True) for c in _tokens(*x, s.length)], UNIT_PARTS)
-        used = np.concatenate([*of, np.empty(0, np.int64)]).astype(np.int32)
-        made = pa.StructArray.from_arrays([pa.concat_arrays(ins), *map(pa.array, n), _lists(used, np.array([len(u) for u in of]))], ["_in", "n_a", "n_b", "units"])
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([one(made), one(put), one(pa.array(np.bincount(used, minlength=len(put)).astype(np.int32)))], names=["docs", "units", "times"])
+    doc = StructType([rows.schema["_in"], *[StructField(c, LongType()) for c in COUNTED], StructField("links", ints), StructField("groups", StringType())])
+    schema = StructType([StructField("docs", ArrayType(doc, False)), StructField("pairs", longs), StructField("times", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ins, texts, size = [], [], 0
@@ -252,96 +274,29 @@ def _blocks(docs: DataFrame, cfg: AlignConfig, text: str, keep: list[str]) -> Da
                 texts.append(_decoded(x))
                 size += len(texts[-1] or "") + 64
                 if size > BLOCK:
-                    yield row(ins, texts)
+                    yield block_row(_units(cfg), ins, texts)
                     ins, texts, size = [], [], 0
         if texts:
-            yield row(ins, texts)
+            yield block_row(_units(cfg), ins, texts)
+        ins, texts = [], []
+        _units(cfg).forget()  # the worker lives on beside the stages that follow
 
     return rows.mapInArrow(run, schema)
 
 
-def _id(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(MARK).cast("long")).cast("string")
-
-
-def _cut(tokens: Column, marks: Column) -> Column:
-    """The ids of a side, comma-joined, as one string for each group."""
-    ids = F.transform(F.sort_array(F.concat(tokens, marks)), lambda x: x.bitwiseAND(F.lit(MARK).cast("long")))
-    joined = F.concat(F.array_join(ids.cast("array<string>"), ","), F.lit(","))
-    return F.split(F.rtrim(F.replace(joined, F.lit(f",{MARK},"), F.lit(";")), F.lit(";")), ";", -1)
-
-
-def _groups(unit: Column) -> Column:
-    """The groups of a unit as ``a1,a2|b1;a3|b2``; empty without tokens."""
-    common = F.array_intersect(unit["a_ends"], unit["b_ends"])
-    one = lambda x, y: F.concat(_id(x), F.lit("|"), _id(y))
-    text = let(
-        common,
-        lambda c: F.when((F.size(c) == F.size(unit["a"])) & (F.size(c) == F.size(unit["b"])), F.array_join(F.zip_with(unit["a"], unit["b"], one), ";")).otherwise(
-            F.array_join(F.zip_with(_cut(unit["a"], c), _cut(unit["b"], c), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
-        ),
-    )
-    return F.when(F.size(unit["a"]) == 0, "").otherwise(text)
-
-
-def _lengths(df: DataFrame, cfg: AlignConfig) -> DataFrame:
-    """(side, id, length): the bytes of every token of both vocabularies."""
-    units = Units(cfg)
-    rows = [(side, i, n) for side, of in enumerate(units.sides) for i, n in enumerate(of.length.tolist())]
-    return df.sparkSession.createDataFrame(pa.table({c: [r[k] for r in rows] for k, c in enumerate(("side", "id", "length"))}))
-
-
-def _covers(side: int) -> Column:
-    """The place of the token of a side that covers each byte of a group."""
-    return F.flatten(F.transform(F.filter("tokens", lambda t: t["side"] == side), lambda t, i: F.array_repeat(i, t["length"].cast("int"))))
-
-
-def group_links(groups: DataFrame, cfg: AlignConfig) -> DataFrame:
-    """(group, n, a_id, b_id): every link of each of the distinct groups (group, n)."""
-    sides = F.split("group", "[|]")
-    tokens = groups.select("group", "n", F.posexplode(F.array(sides[0], sides[1])).alias("side", "ids"))
-    tokens = tokens.select("group", "n", "side", F.posexplode(F.split("ids", ",")).alias("pos", "id")).withColumn("id", F.col("id").cast("long"))
-    tokens = tokens.join(F.broadcast(_lengths(groups, cfg)), ["side", "id"])  # two vocabularies
-    whole = tokens.groupBy("group", "n").agg(F.sort_array(F.collect_list(F.struct("side", "pos", "id", "length"))).alias("tokens"))
-    whole = whole.select("group", "n", F.filter("tokens", lambda t: t["side"] == 0)["id"].alias("a"), F.filter("tokens", lambda t: t["side"] == 1)["id"].alias("b"), _covers(0).alias("ca"), _covers(1).alias("cb"))
-    differs = lambda c, p: ~F.get(c, p).eqNullSafe(F.get(c, p + 1))
-    ends = F.filter(F.sequence(F.lit(0), F.size("ca") - 1), lambda p: differs("ca", p) | differs("cb", p))
-    links = F.transform(ends, lambda p: F.struct(F.get("a", F.get("ca", p)).alias("a_id"), F.get("b", F.get("cb", p)).alias("b_id")))
-    return whole.select("group", "n", F.explode(links).alias("l")).select("group", "n", "l.a_id", "l.b_id")
-
-
-def link_counts(links: DataFrame) -> DataFrame:
-    """(a_id, b_id, count, best): how many links of the corpus hold the pair, and whether no pair of the B id has more."""
-    counts = links.groupBy("a_id", "b_id").agg(F.sum("n").alias("count"))
-    most = counts.groupBy("b_id").agg(F.max("count").alias("most"))  # one row per id of a vocabulary
-    return counts.join(F.broadcast(most), "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).alias("best"))
-
-
-def _key(group: str) -> Column:
-    return F.when(F.length(group) <= KEY_CHARS, F.col(group)).otherwise(F.sha2(group, 256))
-
-
-def _unit_scores(blocks: DataFrame, cfg: AlignConfig, scratch: Scratch) -> DataFrame:
-    """(_block, scores): SCORES of every unit of a block, in order."""
-    split = lambda c: F.explode(F.split(c, ";"))
-    used = blocks.select(F.explode(F.arrays_zip("texts", "times")).alias("u")).where("u.texts <> ''").select(split("u.texts").alias("group"), "u.times")
-    groups = scratch.save(used.groupBy("group").agg(F.sum("times").alias("n")))
-    links = scratch.save(group_links(groups, cfg))
-    counts = scratch.save(link_counts(links))
-    n_links, total = links.count(), groups.agg(F.sum("n")).first()[0] or 0
-    often = links.groupBy("a_id", "b_id").count().where(F.col("count") * COMMON > n_links).select("a_id", "b_id")
-    known = join_spread(links, counts, ["a_id", "b_id"], often).groupBy("group", "n")
-    known = known.agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    scores = scratch.save(known.select(_key("group").alias("key"), "n", F.lit(1).cast("long").alias("n_groups"), *SCORES[1:]))
-    units = blocks.select("_block", F.posexplode("texts").alias("unit", "text")).select("_block", "unit", split("text").alias("group"))
-    units = units.select("_block", "unit", _key("group").alias("key"))
-    frequent = F.broadcast(scores.where(F.col("n") * FREQUENT > total).drop("n"))
-    first = units.join(frequent, "key", "left")
-    sums = [F.sum(c).alias(c) for c in SCORES]
-    often, rare = first.where("n_groups IS NOT NULL").drop("key"), first.where("n_groups IS NULL").select("_block", "unit", "key")
-    each = often.unionByName(rare.join(scores.drop("n"), "key", "left").drop("key")).groupBy("_block", "unit").agg(*sums)
-    whole = F.struct("unit", *[F.coalesce(c, F.lit(0)).alias(c) for c in SCORES])
-    return each.groupBy("_block").agg(F.sort_array(F.collect_list(whole)).alias("scores"))
+def link_counts(blocks: DataFrame) -> DataFrame:
+    """(pair, count): how many links of the corpus hold the pair, a_id << 32 | b_id."""
+    rows = blocks.select(F.explode(F.arrays_zip("pairs", "times")).alias("p"))
+    return rows.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("count"))
+
+
+def block_scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """(_block, scores): (at, count, best) of every pair of a block, in order; best is 1 if no pair of the B id has more links, else 0."""
+    b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b_id")
+    most = counts.groupBy(b_id).agg(F.max("count").alias("most"))  # one row per id of a vocabulary
+    known = counts.select("pair", "count", b_id).join(F.broadcast(most), "b_id").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+    rows = blocks.select("_block", F.posexplode("pairs").alias("at", "pair")).join(known, "pair")
+    return rows.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("scores"))
 
 
 def align(docs: DataFrame, cfg: AlignConfig, keep: list[str] | None = None, text: str = "text", derive: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -353,12 +308,10 @@ def align(docs: DataFrame, cfg: AlignConfig, keep: list[str] | None = None, text
     scratch = Scratch(docs.sparkSession)
     derive = {"groups": lambda g: g} if derive is None else derive
     keep = keep if keep is not None else without(docs, [*ADDED, *derive]).columns
-    blocks = _blocks(docs, cfg, text, keep).select("docs", F.transform("units", _groups).alias("texts"), "times")
-    joined = lambda d: F.array_join(F.transform(d["units"], lambda i: F.get("texts", i)), ";")
-    made = F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in ("_in", "n_a", "n_b", "units")], F.struct(*[f(joined(d)).alias(c) for c, f in derive.items()], F.lit(0).alias("_")).alias("made")))
-    blocks = scratch.save(blocks.select(F.monotonically_increasing_id().alias("_block"), made.alias("docs"), "texts", "times"))
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in SCORES])
-    summed = lambda d: F.aggregate(d["units"], zero, lambda s, i: let(F.get("scores", i), lambda x: F.struct(*[(s[c] + x[c]).alias(c) for c in SCORES])))
-    whole = blocks.select("_block", "docs").join(_unit_scores(blocks, cfg, scratch), "_block", "left")
-    out = whole.select(F.explode(F.transform("docs", lambda d: F.struct(d["_in"].alias("_in"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), d["made"].alias("made"), summed(d).alias("sums")))).alias("d"))
-    return out.select(*[F.col("d")["_in"][c].alias(c) for c in keep], "d.n_a", "d.n_b", *[F.col("d")["sums"][c].alias(c) for c in SCORES], *[F.col("d")["made"][c].alias(c) for c in derive])
+    blocks = _blocks(docs, cfg, text, keep)
+    made = F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in ("_in", *COUNTED, "links")], F.struct(*[f(d["groups"]).alias(c) for c, f in derive.items()], F.lit(0).alias("_")).alias("made")))
+    blocks = scratch.save(blocks.select(F.monotonically_increasing_id().alias("_block"), made.alias("docs"), "pairs", "times"))
+    scores = block_scores(blocks, scratch.save(link_counts(blocks)))
+    total = lambda c, name: F.aggregate(F.col("d")["links"], F.lit(0).cast("long"), lambda s, i: s + F.get("scores", i)[c]).alias(name)
+    out = blocks.select("_block", F.explode("docs").alias("d")).join(scores, "_block", "left").select("d", total("best", "n_best"), total("count", "count_sum"))
+    return out.select(*[F.col("d")["_in"][c].alias(c) for c in keep], *[f"d.{c}" for c in COUNTED], "n_best", "count_sum", *[F.col("d")["made"][c].alias(c) for c in derive])
