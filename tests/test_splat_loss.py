@@ -32,3 +32,4 @@ def test_no_cells_are_shuffled(spark):
     df = __spark_entry__.queries()["detection_loss"](spark, __spark_entry__.SMOKE)
     above, below = df._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode(heat", 1)
     assert "Join" not in above and "explode" not in below
+    assert "aggregate(peaks" not in above and "aggregate(peaks" in below  # once an image, not once a cell

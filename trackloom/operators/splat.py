@@ -142,7 +142,8 @@ def grid_loss(images: DataFrame, grid: int, predict: Callable[[Column, Column, C
     off = lambda got, p, *pairs: sum((F.abs(got[a] - p[b]) for a, b in pairs), F.lit(0.0))
     total = lambda *pairs: F.aggregate("peaks", F.lit(0.0), lambda s, p: s + off(predict(F.col("image_id"), p["ix"], p["iy"]), p, *pairs))
     rows = with_heat(images.select("image_id", "peaks"), grid)
-    rows = rows.select("image_id", total(("pw", "w"), ("ph", "h")).alias("s"), total(("pdx", "dx"), ("pdy", "dy")).alias("o"), F.posexplode("heat").alias("c", "heat"))
+    rows = rows.select("image_id", total(("pw", "w"), ("ph", "h")).alias("s"), total(("pdx", "dx"), ("pdy", "dy")).alias("o"), "heat")
+    rows = rows.select("image_id", "s", "o", F.posexplode("heat").alias("c", "heat"))  # apart from the sums, which are made once an image
     got = predict(F.col("image_id"), F.floor(F.col("c") / grid).cast("int"), (F.col("c") % grid).cast("int"))
     is_peak = F.col("heat") == 1.0  # nowhere else
     once = lambda c: F.coalesce(F.sum(F.when(F.col("c") == 0, F.col(c))), F.lit(0.0)).alias(c)
