@@ -4,9 +4,9 @@ Each text, with a space before it, is cut into units that neither tokenizer look
 the space or line break before it, where white space is regular, and else the text itself, in chunks
 if it is long. A Python task works through blocks of texts: every distinct unit of a block is tokenised
 once, its tokens are cut into groups at the ends that both sides have, and each end of a token on
-either side closes exactly one stretch that one A and one B token share, which is a link. It sends one
-row for each block: its distinct id pairs with how many links hold them, and of every document its
-groups and its links as places among those pairs.
+either side closes exactly one stretch that one A and one B token share, which is a link. It sends a few
+small rows for each block, which bear its number: its distinct id pairs with how many links hold them, and of
+every document its groups and its links as places among those pairs.
 
 Spark adds the pairs of all blocks up, finds the highest count of each B id, and joins the counts with
 the pairs of each block, which hold a pair once however frequent it is, so no key is hot. A
@@ -31,6 +31,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -44,6 +45,8 @@ FREQUENT = 100_000
 KEY_CHARS = 100
 #: Characters of a block of texts.
 BLOCK = 1 << 19
+#: Links, and pairs, of a row that a block is sent in; a document's links stay in one row.
+PIECE = 1 << 13
 #: A unit starts at a lone space or line break between other characters.
 UNIT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
 #: What makes a text irregular: white space of another kind, in a run, or at an end. The units of other texts are words.
@@ -259,25 +262,38 @@ def block_row(units: Units, ins: list[pa.Array], texts: list[str | None]) -> pa.
     return pa.RecordBatch.from_arrays([one(docs), one(pa.array(pairs)), one(pa.array(np.bincount(links, minlength=len(pairs))))], names=["docs", "pairs", "times"])
 
 
+def pieces(block: int, row: pa.RecordBatch) -> pa.RecordBatch:
+    """A block's row as rows of about PIECE links and PIECE pairs: (_block, docs, start, pairs, times), start being the place of a row's first pair."""
+    docs, pairs, times = (row.column(c).flatten() for c in ("docs", "pairs", "times"))
+    size = np.cumsum(np.asarray(docs.field("n_links")) + 64) // PIECE  # never falls
+    n = int(max(size[-1] + 1, -(-len(pairs) // PIECE)))
+    cut = lambda at, x: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), x)
+    at, start = np.searchsorted(size, np.arange(n + 1)), np.minimum(np.arange(n + 1) * PIECE, len(pairs))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), cut(at, docs), pa.array(start[:-1]), cut(start, pairs), cut(start, times)], names=["_block", "docs", "start", "pairs", "times"])
+
+
 def _blocks(docs: DataFrame, cfg: AlignConfig, text: str, keep: list[str]) -> DataFrame:
-    """(docs, pairs, times): a row for each block of texts, its documents, the distinct pairs of its links, how many links hold each."""
+    """(_block, docs, start, pairs, times): rows of a block of texts, its documents, the distinct pairs of its links, how many links hold each.
+
+    A block is several rows, as rows of megabytes fill the memory of whatever reads, writes or sorts them by the row.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_in"), F.col(f"`{text}`").cast("binary").alias("_text"))
     longs, ints = ArrayType(LongType(), False), ArrayType(IntegerType(), False)
     doc = StructType([rows.schema["_in"], *[StructField(c, LongType()) for c in COUNTED], StructField("links", ints), StructField("groups", StringType())])
-    schema = StructType([StructField("docs", ArrayType(doc, False)), StructField("pairs", longs), StructField("times", longs)])
+    schema = StructType([StructField("_block", LongType()), StructField("docs", ArrayType(doc, False)), StructField("start", LongType()), StructField("pairs", longs), StructField("times", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ins, texts, size = [], [], 0
+        block, ins, texts, size = TaskContext.get().partitionId() << 33, [], [], 0
         for b in sliced(batches, 64):
             for k, x in enumerate(b.column("_text")):
                 ins.append(b.column("_in").slice(k, 1))
                 texts.append(_decoded(x))
                 size += len(texts[-1] or "") + 64
                 if size > BLOCK:
-                    yield block_row(_units(cfg), ins, texts)
-                    ins, texts, size = [], [], 0
+                    yield pieces(block, block_row(_units(cfg), ins, texts))
+                    block, ins, texts, size = block + 1, [], [], 0
         if texts:
-            yield block_row(_units(cfg), ins, texts)
+            yield pieces(block, block_row(_units(cfg), ins, texts))
         ins, texts = [], []
         _units(cfg).forget()  # the worker lives on beside the stages that follow
 
@@ -291,12 +307,13 @@ def link_counts(blocks: DataFrame) -> DataFrame:
 
 
 def block_scores(blocks: DataFrame, counts: DataFrame) -> DataFrame:
-    """(_block, scores): (at, count, best) of every pair of a block, in order; best is 1 if no pair of the B id has more links, else 0."""
+    """(_block, scores): the count of every pair of a block, in order, below zero if no pair of the B id has more links."""
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b_id")
     most = counts.groupBy(b_id).agg(F.max("count").alias("most"))  # one row per id of a vocabulary
-    known = counts.select("pair", "count", b_id).join(F.broadcast(most), "b_id").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    rows = blocks.select("_block", F.posexplode("pairs").alias("at", "pair")).join(known, "pair")
-    return rows.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("scores"))
+    score = F.when(F.col("count") == F.col("most"), -F.col("count")).otherwise(F.col("count")).alias("score")
+    known = counts.select("pair", "count", b_id).join(F.broadcast(most), "b_id").select("pair", score)
+    rows = blocks.select("_block", "start", F.posexplode("pairs").alias("at", "pair")).select("_block", (F.col("start") + F.col("at")).alias("at"), "pair").join(known, "pair")
+    return rows.groupBy("_block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "score"))), lambda s: s["score"]).alias("scores"))
 
 
 def align(docs: DataFrame, cfg: AlignConfig, keep: list[str] | None = None, text: str = "text", derive: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -310,8 +327,8 @@ def align(docs: DataFrame, cfg: AlignConfig, keep: list[str] | None = None, text
     keep = keep if keep is not None else without(docs, [*ADDED, *derive]).columns
     blocks = _blocks(docs, cfg, text, keep)
     made = F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in ("_in", *COUNTED, "links")], F.struct(*[f(d["groups"]).alias(c) for c, f in derive.items()], F.lit(0).alias("_")).alias("made")))
-    blocks = scratch.save(blocks.select(F.monotonically_increasing_id().alias("_block"), made.alias("docs"), "pairs", "times"))
+    blocks = scratch.save(blocks.select("_block", made.alias("docs"), "start", "pairs", "times"))
     scores = block_scores(blocks, scratch.save(link_counts(blocks)))
-    total = lambda c, name: F.aggregate(F.col("d")["links"], F.lit(0).cast("long"), lambda s, i: s + F.get("scores", i)[c]).alias(name)
-    out = blocks.select("_block", F.explode("docs").alias("d")).join(scores, "_block", "left").select("d", total("best", "n_best"), total("count", "count_sum"))
+    total = lambda f, name: F.aggregate(F.col("d")["links"], F.lit(0).cast("long"), lambda s, i: s + f(F.get("scores", i))).alias(name)
+    out = blocks.select("_block", F.explode("docs").alias("d")).join(scores, "_block", "left").select("d", total(lambda x: F.shiftrightunsigned(x, 63), "n_best"), total(F.abs, "count_sum"))
     return out.select(*[F.col("d")["_in"][c].alias(c) for c in keep], *[f"d.{c}" for c in COUNTED], "n_best", "count_sum", *[F.col("d")["made"][c].alias(c) for c in derive])
