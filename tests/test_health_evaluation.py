@@ -194,3 +194,27 @@ def test_box_expressions(spark):
     assert tuple(r.w) == (5, -5, 25, 35) and tuple(r.t) == (2, 4, 8, 9)
     assert tuple(r.c) == (5, 10) and tuple(r.f) == (5, 20) and (r.k, r.z) == (0.0, 0.0)
     assert tuple(r.s) == (0, 0, 20, 10) and tuple(r.o) == (4, 3, 6, 7)
+
+
+def test_transport_is_an_assignment_of_alike_units():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        n, m = r.integers(1, 6, 2)
+        cost = np.where(r.random((n, m)) < 0.7, r.integers(0, 9, (n, m)) / 8, np.inf)
+        ns, ms = r.integers(1, 4, n), r.integers(1, 4, m)
+        flow, spread = evaluation.transport(cost, ns, ms), cost.repeat(ns, 0).repeat(ms, 1)
+        pairs = evaluation.assignment(spread)
+        assert (flow.sum(1) <= ns).all() and (flow.sum(0) <= ms).all() and flow.sum() == len(pairs)
+        assert (np.where(flow > 0, cost, 0) * flow).sum() == pytest.approx(sum(spread[x] for x in pairs))
+
+
+def test_alike_boxes_are_compared_once(spark):
+    """Forty equal tracks on each side make one pair a frame, not 1,600; one more truth stays without a match."""
+    truth = [(f, i, 3 * f) for f in range(4) for i in range(41)] + [(f, 99, 500) for f in range(4)]
+    pred = [(f, 100 + i, 3 * f + 1) for f in range(4) for i in range(40)] + [(f, 199, 500) for f in range(4)]
+    truth, pred = mot(spark, truth), mot(spark, pred)
+    assert evaluation._candidates(truth, pred, 0.5).count() == 8
+    r = evaluation.mot_metrics(truth, pred).first()
+    assert (r.num_unique_objects, r.num_switches, r.mostly_tracked, r.mostly_lost, r.num_fragmentations) == (42, 0, 41, 1, 0)
+    assert (r.idr, r.idp, r.mota) == (pytest.approx(41 / 42), 1.0, pytest.approx(41 / 42))
+    assert r.motp == pytest.approx(40 * (1 - 9 / 11) / 41)
